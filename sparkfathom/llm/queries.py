@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfathom.llm import exact_dedup
+from sparkfathom.llm import exact_dedup, pii, secrets, sharding, spans
 
 #: A to Z lower-cased and nothing else, as DuckDB writes it.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -38,8 +38,47 @@ SELECT doc_id,
 FROM (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents)
 """
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 shards whose row counts differ by one at most (law ``rows``)."""
+    text = F.col("text")
+    docs = documents(spark, sf_dir).select(
+        "doc_id",
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+    )
+    return sharding.shuffle_into_shards(docs, 16).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text: counts and a digest of the base spans, all spans."""
+    found = pii.find_pii(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[spans.count(F.col("pii_base"), k).alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(spans.listing(F.col("pii_base")), 256).alias("base_sha256"),
+        spans.listing(F.col("pii_all")).alias("spans"),
+        F.array_join(F.transform("pii_scores", lambda x: F.format_number(x, 2)), ",").alias("scores"),
+    )
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text: counts and a digest of the base spans, all spans."""
+    model = secrets.train(secrets.labelled_samples(spark))
+    found = secrets.find_secrets(documents(spark, sf_dir).select("doc_id", "text"), model)
+    return found.select(
+        "doc_id",
+        *[spans.count(F.col("secret_base"), k).alias(f"n_{k}") for k in secrets.BASE],
+        F.sha2(spans.listing(F.col("secret_base")), 256).alias("base_sha256"),
+        spans.listing(F.col("secret_all")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op5_pii": op5_pii,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_secrets": op7_secrets,
 }
 
 ORACLES: dict[str, str] = {"op6_exact_dedup": _OP6_SQL}
