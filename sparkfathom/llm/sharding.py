@@ -33,7 +33,7 @@ MAX_PARTITIONS = 4096
 MAX_BUCKETS = 4096
 
 #: Rows that a partition or a bucket should hold while those bounds allow it.
-ROWS_PER_PARTITION = 50_000
+ROWS_PER_PARTITION = 4_000
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
