@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfathom.llm import exact_dedup, pii, secrets, sharding, spans
+from sparkfathom.llm import exact_dedup, pii, secrets, sentencepiece_codec, sharding, spans, token_counts
+
+#: The vocabulary of the token queries, by the name its package knows.
+VOCABULARY = "piece_bpe_32k.model"
+
+#: Tokens above which a document is over the limit.
+TOKEN_LIMIT = 4096
 
 #: A to Z lower-cased and nothing else, as DuckDB writes it.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -74,11 +80,25 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text, checked against the library and decoded again."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return sentencepiece_codec.encode(docs, VOCABULARY).drop("text")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every text, and whether it is over the limit."""
+    counted = token_counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"), VOCABULARY)
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_pii": op5_pii,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secrets": op7_secrets,
+    "op8_token_counts": op8_token_counts,
 }
 
 ORACLES: dict[str, str] = {"op6_exact_dedup": _OP6_SQL}
