@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfathom.llm import exact_dedup, pii, secrets, sentencepiece_codec, sharding, spans, token_counts
+from sparkfathom.llm import exact_dedup, pii, quality, secrets, sentencepiece_codec, sharding, spans, token_counts
 
 #: The vocabulary of the token queries, by the name its package knows.
 VOCABULARY = "piece_bpe_32k.model"
@@ -92,6 +92,19 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text by a machine that learns outside the held-out fold."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    machine = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score(docs, machine).drop("text")
+    return scored.select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op4_sentencepiece": op4_sentencepiece,
@@ -99,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secrets": op7_secrets,
     "op8_token_counts": op8_token_counts,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {"op6_exact_dedup": _OP6_SQL}
