@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfathom.llm import exact_dedup, pii, quality, secrets, sentencepiece_codec, sharding, spans, token_counts
+from sparkfathom.llm import exact_dedup, mixing, pii, quality, secrets, sentencepiece_codec, sharding, spans, token_counts
 
 #: The vocabulary of the token queries, by the name its package knows.
 VOCABULARY = "piece_bpe_32k.model"
@@ -80,6 +80,17 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all documents takes of each, towards weighted targets."""
+    docs = documents(spark, sf_dir).select(
+        F.col("doc_id").alias("ident"),
+        "source",
+        mixing.word_count(F.col("text")).alias("size"),
+        F.lit(0).cast("long").alias("tie"),
+    )
+    return mixing.taken_by_document(docs).withColumnRenamed("ident", "doc_id")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text, checked against the library and decoded again."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -107,6 +118,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op3_mixing": op3_mixing,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_pii": op5_pii,
     "op6_exact_dedup": op6_exact_dedup,
