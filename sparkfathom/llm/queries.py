@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfathom.llm import exact_dedup, mixing, pii, quality, secrets, sentencepiece_codec, sharding, spans, token_counts
+from sparkfathom.llm import exact_dedup, mixing, nearest, pii, quality, secrets, sentencepiece_codec, sharding, spans, token_counts
 
 #: The vocabulary of the token queries, by the name its package knows.
 VOCABULARY = "piece_bpe_32k.model"
@@ -103,6 +103,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of each query by inner product."""
+    found = nearest.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
+    return found.select("query_id", "rank", F.col("ident").alias("vec_id"), "score")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every text by a machine that learns outside the held-out fold."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -124,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secrets": op7_secrets,
     "op8_token_counts": op8_token_counts,
+    "op9_nearest": op9_nearest,
     "op10_quality": op10_quality,
 }
 
