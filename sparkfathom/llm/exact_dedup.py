@@ -12,7 +12,7 @@
 
 Everything runs in DataFrame functions. Partial aggregation folds a hot digest
 before the shuffle; where rows must meet their entry, hot digests (at most
-``HOT_SHARE`` of them) are salted. Texts move only for documents that pass a
+``shared.HOT_SHARE`` of them) are salted. Texts move only for documents that pass a
 bounded filter of repeated digests.
 """
 
@@ -23,13 +23,6 @@ from pyspark.sql import functions as F
 
 from sparkfathom.llm import shared
 
-#: Words of 64 bits in the filter of repeated digests: 2 MiB of bits at most.
-FILTER_WORDS = 1 << 18
-
-#: Rows of one hot digest that share a salt.
-ROWS_PER_SALT = 20_000
-
-
 class LsmIndex:
     """A digest index in the shared folder.
 
@@ -74,25 +67,9 @@ class LsmIndex:
         self.runs = []
         return self.level
 
-    def hot(self) -> DataFrame:
-        """``(digest, salts)`` of the hot digests: ``HOT_SHARE`` rows at most."""
-        total = self.level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()["s"]
-        least = max(ROWS_PER_SALT, total // shared.HOT_SHARE)
-        salts = F.ceil(F.col("n") / F.lit(ROWS_PER_SALT)).cast("int")
-        return self.level.where(F.col("n") > least).select("digest", salts.alias("salts"))
-
     def lookup(self, rows: DataFrame, salt_by: str) -> DataFrame:
-        """``rows(digest, ...)`` with ``n`` and ``keep_id`` of their entry.
-
-        Rows of a hot digest spread over salts by ``salt_by`` and its entry is
-        repeated for each, so no task gets all of them.
-        """
-        hot = F.broadcast(self.hot())
-        salt = F.pmod(F.xxhash64(salt_by), F.coalesce("salts", F.lit(1))).cast("int")
-        left = rows.join(hot, "digest", "left").withColumn("salt", salt).drop("salts")
-        copies = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
-        right = self.level.join(hot, "digest", "left").withColumn("salt", F.explode(copies)).drop("salts")
-        return left.join(right, ["digest", "salt"]).drop("salt")
+        """``rows(digest, ...)`` with ``n`` and ``keep_id`` of their entry, hot digests salted."""
+        return shared.salted_lookup(rows, self.level, "digest", "n", salt_by)
 
 
 def digest_of(text: Column, bits: int = 256) -> Column:
@@ -100,36 +77,6 @@ def digest_of(text: Column, bits: int = 256) -> Column:
     return F.substring(F.unhex(F.sha2(text, 256)), 1, bits // 8)
 
 
-def repeated_filter(entries: DataFrame) -> DataFrame:
-    """A bitmap of the digests that occur more than once.
-
-    ``FILTER_WORDS`` rows at most, whatever the input: it may be broadcast. A
-    digest outside it is certainly unique; one inside it may be either.
-    """
-    spot = F.xxhash64("digest")
-    return (
-        entries.where("n > 1")
-        .select(
-            F.pmod(spot, F.lit(FILTER_WORDS)).cast("int").alias("word"),
-            F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(digest), 32), 64) as int))").alias("bit"),
-        )
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bits"))
-    )
-
-
-def maybe_repeated(rows: DataFrame, entries: DataFrame) -> DataFrame:
-    """Rows whose digest passes the filter; only these ship their text."""
-    bit = F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(digest), 32), 64) as int))")
-    word = F.pmod(F.xxhash64("digest"), F.lit(FILTER_WORDS)).cast("int")
-    return (
-        rows.withColumn("word", word)
-        .join(F.broadcast(repeated_filter(entries)), "word")
-        .where(bit.bitwiseAND(F.col("bits")) != 0)
-        .drop("word", "bits")
-    )
-
-
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", bits: int = 256
 ) -> DataFrame:
@@ -179,7 +126,7 @@ def unequal(base: DataFrame, entries: DataFrame) -> DataFrame:
     task folds its own members first, so a hot digest ships two texts a task.
     """
     return (
-        maybe_repeated(base, entries)
+        shared.maybe_among(base, entries.where("n > 1").select("digest"), "digest")
         .groupBy("digest")
         .agg(F.min("body").alias("least"), F.max("body").alias("greatest"))
         .where("least != greatest")

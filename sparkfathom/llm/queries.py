@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfathom.llm import exact_dedup, mixing, nearest, pii, quality, secrets, sentencepiece_codec, sharding, spans, token_counts
+from sparkfathom.llm import (
+    exact_dedup,
+    mixing,
+    near_dedup,
+    nearest,
+    pii,
+    quality,
+    secrets,
+    sentencepiece_codec,
+    sharding,
+    spans,
+    token_counts,
+)
 
 #: The vocabulary of the token queries, by the name its package knows.
 VOCABULARY = "piece_bpe_32k.model"
@@ -80,6 +92,17 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 4-word shingles have a similarity of 0.8 or more."""
+    groups = near_dedup.near_groups(documents(spark, sf_dir), width=4, percent=80)
+    return groups.select(
+        F.col("ident").alias("doc_id"),
+        "n_shingles",
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("ident") == F.col("component"), F.lit(False)).alias("kept"),
+    )
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents takes of each, towards weighted targets."""
     docs = documents(spark, sf_dir).select(
@@ -124,6 +147,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_near_dedup": op2_near_dedup,
     "op3_mixing": op3_mixing,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_pii": op5_pii,

@@ -45,6 +45,56 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Words of 64 bits in a filter that is broadcast: 2 MiB of bits at most.
+FILTER_WORDS = 1 << 18
+
+#: Rows of one hot key that share a salt.
+ROWS_PER_SALT = 20_000
+
+
+def _bit(key: str) -> Column:
+    return F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({key}), 32), 64) as int))")
+
+
+def maybe_among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` may be in ``wanted``; those left out certainly are not.
+
+    The filter is a bitmap of ``FILTER_WORDS`` rows at most, whatever the input,
+    so it may be broadcast. It only spares work: an exact join follows it.
+    """
+    word = F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS)).cast("int")
+    bitmap = (
+        wanted.select(word.alias("__word"), _bit(key).alias("__bit"))
+        .groupBy("__word")
+        .agg(F.bit_or("__bit").alias("__bits"))
+    )
+    return (
+        rows.withColumn("__word", word)
+        .join(F.broadcast(bitmap), "__word")
+        .where(_bit(key).bitwiseAND(F.col("__bits")) != 0)
+        .drop("__word", "__bits")
+    )
+
+
+def salted_lookup(rows: DataFrame, entries: DataFrame, key: str, count_col: str, salt_by: str) -> DataFrame:
+    """``rows`` with the columns of the one entry of their key.
+
+    ``entries`` has ``count_col``, the rows of its key. Hot keys, those with more
+    than one row in HOT_SHARE, number HOT_SHARE at most and are broadcast; their
+    rows spread over salts by ``salt_by`` and their entries are repeated, so no
+    task gets all of them. Rows whose key has no entry are left out.
+    """
+    total = entries.agg(F.coalesce(F.sum(count_col), F.lit(0)).alias("s")).first()["s"]
+    least = max(ROWS_PER_SALT, total // HOT_SHARE)
+    salts = F.ceil(F.col(count_col) / F.lit(ROWS_PER_SALT)).cast("int")
+    hot = F.broadcast(entries.where(F.col(count_col) > least).select(key, salts.alias("__salts")))
+    salt = F.pmod(F.xxhash64(salt_by), F.coalesce("__salts", F.lit(1))).cast("int")
+    left = rows.join(hot, key, "left").withColumn("__salt", salt).drop("__salts")
+    copies = F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)
+    right = entries.join(hot, key, "left").withColumn("__salt", F.explode(copies)).drop("__salts")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A to Z and nothing else.
 
