@@ -4,8 +4,9 @@
 library: normaliser, metaspace marker, unigram scores or pair merges, byte
 fallback and decoder. Texts are split where no merge can cross, distinct
 pre-tokens are encoded in multithreaded batches, and texts are put together from
-ids of their pre-tokens. Each text is then checked against the sentencepiece
-library: where the two differ, the latter's ids are taken and the row says so.
+ids of their pre-tokens. Each pre-token is checked against the sentencepiece
+library when it is met: where the two differ, the latter's ids are taken and the
+rows that hold it say so.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from sparkfathom.llm import piece_model, token_counts
 from sparkfathom.llm.piece_model import BPE, BYTE, CONTROL, MARK, UNKNOWN, PieceModel
 
 #: Distinct pre-tokens whose ids a worker remembers, and their longest.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 
 #: Pre-tokens that are encoded as one string, and characters of text at a time.
 PARTS, CHARACTERS = 512, 1 << 20
@@ -76,44 +77,64 @@ def backend(model: PieceModel, dummy_prefix: bool | None = None):
     return tokenizer
 
 
-def cut_at(ids: list[int], mark: int) -> list[list[int]]:
-    """The lists between the marks."""
-    ends = [*(i for i, x in enumerate(ids) if x == mark), len(ids)]
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    return [ids[a:b] for a, b in zip(starts, ends, strict=True)]
+def cut_at(ids: list[int], mark: int) -> list[bytes]:
+    """The ids between the marks, each run as the bytes of 32-bit integers."""
+    flat = np.array(ids, np.int32)
+    raw, cuts = flat.tobytes(), (4 * np.flatnonzero(flat == mark)).tolist()
+    return [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """A function from texts to their ids by the rebuilt tokenizer.
+def encoder(path: str) -> Callable[[list[str]], list[tuple[bytes, bool]]]:
+    """A function from texts to the bytes of their 32-bit ids, and their parity.
 
-    Unknown pre-tokens of all texts go to it in strings of PARTS of them, with a
-    line feed between two, which is a byte token that nothing merges with.
+    Unknown pre-tokens of all texts go to the rebuilt tokenizer in strings of
+    PARTS of them, with a line feed between two, which is a byte token that
+    nothing merges with. The same strings go to the library; where ids of a
+    pre-token differ, the library's are taken and texts that hold it lose parity.
     """
-    model = piece_model.load(path)
+    model, library = piece_model.load(path), token_counts.processor(path)
     if not model.splits_safely():
         whole = backend(model)
-        return lambda texts: [x.ids for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def whole_texts(texts: list[str]) -> list[tuple[bytes, bool]]:
+            ours = whole.encode_batch_fast(texts, add_special_tokens=False)
+            theirs = library.encode(texts, num_threads=1)
+            return [(np.array(b, np.int32).tobytes(), a.ids == b) for a, b in zip(ours, theirs, strict=True)]
+
+        return whole_texts
     parts_only = backend(model, dummy_prefix=False)
     line_feed = next(i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE and p == "<0x0A>")
-    memory: dict[str, list[int]] = {"\n": [line_feed]}
+    start = {"\n": np.int32(line_feed).tobytes()}
+    memory: dict[str, bytes] = dict(start)
+    repaired: set[str] = set()
 
-    def learn(fresh: list[str]) -> dict[str, list[int]]:
+    def learn(fresh: list[str]) -> dict[str, bytes]:
         joined = ["\n".join(fresh[i : i + PARTS]) for i in range(0, len(fresh), PARTS)]
-        encoded = parts_only.encode_batch_fast(joined, add_special_tokens=False)
-        return dict(zip(fresh, chain.from_iterable(cut_at(x.ids, line_feed) for x in encoded), strict=True))
-
-    def to_ids(texts: list[str]) -> list[list[int]]:
-        split = [list(piece_model.pretokens(t)) for t in texts]
-        fresh = {p for doc in split for parts in doc for p in parts}.difference(memory)
-        known = learn(list(fresh)) if fresh else {}
-        if len(memory) > REMEMBERED:
-            known |= {p: memory[p] for doc in split for parts in doc for p in parts if p in memory}
+        ours = parts_only.encode_batch_fast(joined, add_special_tokens=False)
+        # The library puts a dummy space first: a line feed of its own shields the first part.
+        theirs = library.encode(["\n" + x for x in joined], num_threads=1)
+        known: dict[str, bytes] = {}
+        for at, (got, want) in enumerate(zip(ours, theirs, strict=True)):
+            some = fresh[at * PARTS : (at + 1) * PARTS]
+            known.update(zip(some, cut_at(want[2:], line_feed), strict=True))
+            if got.ids != want[2:]:
+                mine = zip(some, cut_at(got.ids, line_feed), strict=True)
+                repaired.update(p for p, x in mine if x != known[p])
+        return known
+
+    def to_ids(texts: list[str]) -> list[tuple[bytes, bool]]:
+        split = [[p for parts in piece_model.pretokens(t) for p in parts] for t in texts]
+        fresh = set(chain.from_iterable(split)).difference(memory)
+        if len(memory) + len(fresh) > REMEMBERED:
             memory.clear()
-            memory["\n"] = [line_feed]
-        memory.update(known)
-        out = [list(chain.from_iterable(map(memory.__getitem__, chain.from_iterable(doc)))) for doc in split]
-        for p in known:
+            memory.update(start)
+            repaired.clear()
+            fresh = set(chain.from_iterable(split)).difference(memory)
+        if fresh:
+            memory.update(learn(list(fresh)))
+        out = [(b"".join(map(memory.__getitem__, parts)), not repaired or repaired.isdisjoint(parts)) for parts in split]
+        for p in fresh:
             if len(p) > LONGEST:
                 del memory[p]
         return out
@@ -174,20 +195,19 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = piece_model.vocabulary_path(vocabulary)
-        to_ids, to_text, library = encoder(path), decoder(path), token_counts.processor(path)
+        to_ids, to_text = encoder(path), decoder(path)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             flat, ends, parity, same = [], [0], [], []
             for group in groups(texts):
-                for text, ids in zip(group, to_ids(group), strict=True):
-                    want = library.encode(text)
-                    flat.append(np.array(want, np.int32))
-                    ends.append(ends[-1] + len(want))
-                    parity.append(ids == want)
-                    same.append(to_text(want) == text.replace(MARK, " "))
-            ids = pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.array([], np.int32))
-            )
+                for text, (raw, alike) in zip(group, to_ids(group), strict=True):
+                    ids = np.frombuffer(raw, np.int32)
+                    flat.append(raw)
+                    ends.append(ends[-1] + len(ids))
+                    parity.append(alike)
+                    same.append(to_text(ids.tolist()) == text.replace(MARK, " "))
+            flat_ids = pa.array(np.frombuffer(b"".join(flat), np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat_ids)
             counts = pa.array(np.diff(np.array(ends, np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], ids, counts, pa.array(parity, pa.bool_()), pa.array(same, pa.bool_())],
