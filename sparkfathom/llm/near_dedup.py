@@ -382,3 +382,16 @@ def near_groups(
     alone = scanned.where("class is null").select("ident", "n_shingles", F.col("ident").alias("component"))
     at_home = F.when(F.col("ident").isNotNull(), F.coalesce("component", "ident"))
     return found.select("ident", "n_shingles", at_home.alias("component")).unionByName(alone)
+
+
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
+) -> DataFrame:
+    """``docs`` with one document of each group: the one with the smallest identifier.
+
+    Columns and their order stay. Documents without words and those with a null
+    identifier stay; rows that repeat a kept identifier all stay.
+    """
+    groups = near_groups(docs, id_col, text_col, width, percent)
+    gone = shared.materialise(groups.where("ident != component").select(F.col("ident").alias("__gone")).distinct(), "near-gone")
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
