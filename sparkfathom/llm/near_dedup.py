@@ -15,6 +15,10 @@ similarity threshold exceeds the distance with a probability below 1e-7.
    in blocks on signatures, and what is close enough on full sets. After that,
    every pair within the distance is either linked or inside one component.
 
+Before sets are compared, bitmaps of their shingles bound the similarity from
+above: a bit of one that the other lacks is a shingle that it lacks. The bound
+loses nothing and keeps most sets from moving.
+
 No pairs of a group are emitted. Links stay distributed.
 """
 
@@ -33,11 +37,14 @@ from sparkfathom.llm.components import components
 from sparkfathom.llm.shingles import MinHash, WordHashes, digest_of, shingle_set, words_of
 
 #: Signature places, bits of each, places in a chunk, and errors that a key allows.
-SIZE, BITS, CHUNK, ERRORS = 64, 16, 4, 1
+SIZE, BITS, CHUNK, ERRORS = 48, 16, 4, 1
 
 #: Signatures that differ in more places than these are not compared further.
 DISTANCE = SIZE // CHUNK * (ERRORS + 1) - 1
 
+#: Bits of the bitmap of a set.
+MAP_BITS = 2048
+
 #: Components of a bucket, and members of a component, that meet in one task.
 TILE, BLOCK = 512, 256
 
@@ -69,6 +76,27 @@ def linked(common: int, a: int, b: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    bits = np.zeros(MAP_BITS, np.uint8)
+    bits[shingles % np.uint64(MAP_BITS)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
+def may_link(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these bitmaps and sizes can be similar enough; never wrongly false."""
+    only_a = np.bitwise_count(a & ~b).sum(-1, dtype=np.int64)
+    only_b = np.bitwise_count(b & ~a).sum(-1, dtype=np.int64)
+    return np.minimum(n_a - only_a, n_b - only_b) * (100 + percent) >= percent * (n_a + n_b)
+
+
+def first_shared_key(differ: np.ndarray) -> np.ndarray:
+    """The number of the first key that two signatures share, from where they differ."""
+    chunks = differ.reshape(len(differ), SIZE // CHUNK, CHUNK)
+    wrong = chunks.sum(2)
+    chunk = (wrong <= ERRORS).argmax(1)
+    return chunk * CHUNK + chunks[np.arange(len(differ)), chunk].argmax(1)
+
+
 def common_counts(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of ``left[i]`` and ``right[j]``, sets as sorted arrays.
 
@@ -116,10 +144,13 @@ def signatures_of(docs: DataFrame, id_col: str, text_col: str, width: int) -> Da
     return given.mapInArrow(run, "ident long, n_shingles long, class binary, signature binary")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``(node, shingles)`` of the wanted documents, shingles as packed 64-bit hashes.
+def packed_sets(
+    docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int, maps: bool
+) -> DataFrame:
+    """``(node, n, packed)`` of the wanted documents: their shingles or their bitmap.
 
-    A bounded filter of the wanted identifiers keeps other texts from moving.
+    A bounded filter of the wanted identifiers keeps other texts out of Python,
+    and only packed rows move to the exact join.
     """
     given = docs.select(docs[id_col].cast("long").alias("node"), docs[text_col].cast("binary").alias("text"))
     some = shared.maybe_among(given, wanted, "node")
@@ -127,12 +158,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, widt
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [
-                shingle_set(words_of(t.as_py() or b""), hashes, width).tobytes() for t in batch.column("text")
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+            sets = [shingle_set(words_of(t.as_py() or b""), hashes, width) for t in batch.column("text")]
+            packed = pa.array([(bitmap(s) if maps else s).tobytes() for s in sets], pa.binary())
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), sizes, packed], ["node", "n", "packed"])
 
-    return some.mapInArrow(run, "node long, shingles binary").join(wanted, "node", "left_semi")
+    return some.mapInArrow(run, "node long, n long, packed binary").join(wanted, "node", "left_semi")
 
 
 def key_rows(classes: DataFrame) -> DataFrame:
@@ -150,19 +181,26 @@ def key_rows(classes: DataFrame) -> DataFrame:
     return made.select(F.explode("keys").alias("key"), "node")
 
 
-def confirmed_stars(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar enough."""
-    shape = lambda side: classes.select(
-        F.col("node").alias(side), F.col("signature").alias(f"{side}_sig"), F.col("n").alias(f"{side}_n")
+def close_stars(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` that signatures and bitmaps do not rule out."""
+    side = lambda name: shape.select(
+        *[F.col(c).alias(name if c == "node" else f"{name}_{c}") for c in ("node", "n", "signature", "map")]
     )
-    packed = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"))
-    ratio = (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
 
-    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                x, y = unpack(frame["a_sig"], np.uint16, SIZE), unpack(frame["b_sig"], np.uint16, SIZE)
-                yield frame.loc[(x != y).sum(1) <= DISTANCE, ["a", "b"]]
+                x, y = (unpack(frame[f"{c}_signature"], np.uint16, SIZE) for c in "ab")
+                p, q = (unpack(frame[f"{c}_map"], np.uint64, MAP_BITS // 64) for c in "ab")
+                can = may_link(p, frame["a_n"].to_numpy(), q, frame["b_n"].to_numpy(), percent)
+                yield frame.loc[can & ((x != y).sum(1) <= DISTANCE), ["a", "b"]]
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose full sets are similar enough."""
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("packed").alias(f"{name}_set"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,17 +210,16 @@ def confirmed_stars(pairs: DataFrame, classes: DataFrame, sets: DataFrame, perce
                 keep.append(linked(len(np.intersect1d(one, two, True)), len(one), len(two), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    close = pairs.join(shape("a"), "a").join(shape("b"), "b").where(ratio)
-    close = close.select("a", "b", "a_sig", "b_sig").mapInPandas(near, "a long, b long")
-    both = close.join(packed("a"), "a").join(packed("b"), "b").select("a", "b", "a_set", "b_set")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
     return both.mapInArrow(check, "a long, b long")
 
 
 def close_components(members: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs ``(a, b)`` of components that a bucket shows to be close.
 
-    ``members`` has ``key, comp, n, signature``, a row for each component of a
-    bucket; a null signature stands for several members and is always close.
+    ``members`` has ``key, comp, n, signature, map``, a row for each component of
+    a bucket; a null signature stands for several members and is always close.
+    Two single members are compared in the first bucket that they share only.
     Large buckets are cut into tiles, and tasks stream through their rows.
     """
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -193,7 +230,10 @@ def close_components(members: DataFrame, percent: int) -> DataFrame:
         .withColumn("tiles", tiles)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("key", F.least("own", "other").alias("ta"), F.greatest("own", "other").alias("tb"), "own", "comp", "n", "signature")
+        .select(
+            "key", F.least("own", "other").alias("ta"), F.greatest("own", "other").alias("tb"), "own", "comp", "n",
+            "signature", "map",
+        )
     )
     dealt = dealt.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb")
 
@@ -202,14 +242,17 @@ def close_components(members: DataFrame, percent: int) -> DataFrame:
         raw = rows.column("signature").to_pylist()
         many = np.array([x is None for x in raw])
         sig = unpack([x or bytes(2 * SIZE) for x in raw], np.uint16, SIZE)
+        maps = unpack([x or bytes(MAP_BITS // 8) for x in rows.column("map").to_pylist()], np.uint64, MAP_BITS // 64)
+        number = rows.column("key")[0].as_py() >> (BITS * (CHUNK - 1))
         ta, tb = rows.column("ta")[0].as_py(), rows.column("tb")[0].as_py()
         first = np.flatnonzero(own_ == ta)
         out = []
         for i in first:
             rest = np.arange(i + 1, len(comp)) if ta == tb else np.flatnonzero(own_ == tb)
-            fits = np.minimum(n[i], n[rest]) * 100 >= np.maximum(n[i], n[rest]) * percent
-            near = (sig[rest] != sig[i]).sum(1) <= DISTANCE
-            got = rest[many[i] | many[rest] | (fits & near)]
+            differ = sig[rest] != sig[i]
+            near = (differ.sum(1) <= DISTANCE) & (first_shared_key(differ) == number)
+            near[near] = may_link(maps[i], n[i], maps[rest[near]], n[rest[near]], percent)
+            got = rest[many[i] | many[rest] | near]
             out.append(np.stack([np.full(len(got), comp[i]), comp[got]], 1))
         pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
         return pairs.min(1), pairs.max(1)
@@ -246,7 +289,7 @@ def close_components(members: DataFrame, percent: int) -> DataFrame:
 def linked_components(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of components between which some link is confirmed.
 
-    ``members`` has ``node, comp, signature, shingles``. The larger component of
+    ``members`` has ``node, comp, signature, map, shingles``. The larger component of
     each pair is cut into blocks; members of the others meet them block by block,
     so that a set travels once for each block and not for each pair.
     """
@@ -271,14 +314,14 @@ def linked_components(pairs: DataFrame, members: DataFrame, percent: int) -> Dat
         members.join(grid, members["comp"] == grid["big"])
         .withColumn("col", spread(F.col("cols")))
         .withColumn("row", every("rows"))
-        .select("big", "row", "col", "comp", "signature", "shingles")
+        .select("big", "row", "col", "comp", "signature", "map", "shingles")
     )
     right = (
         members.join(faced.select("big", "small"), F.col("comp") == F.col("small"))
         .join(grid.select("big", "rows", "cols"), "big")
         .withColumn("row", spread(F.col("rows")))
         .withColumn("col", every("cols"))
-        .select(*[F.col(c).alias(f"other_{c}") for c in ("big", "row", "col", "comp", "signature", "shingles")])
+        .select(*[F.col(c).alias(f"other_{c}") for c in ("big", "row", "col", "comp", "signature", "map", "shingles")])
     )
 
     def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
@@ -287,11 +330,12 @@ def linked_components(pairs: DataFrame, members: DataFrame, percent: int) -> Dat
             left_sets = [np.frombuffer(x, np.uint64) for x in one["shingles"]]
             right_sets = [np.frombuffer(x, np.uint64) for x in two["other_shingles"]]
             x, y = unpack(one["signature"], np.uint16, SIZE), unpack(two["other_signature"], np.uint16, SIZE)
+            p, q = (unpack(c, np.uint64, MAP_BITS // 64) for c in (one["map"], two["other_map"]))
             m, n = np.array([len(s) for s in left_sets]), np.array([len(s) for s in right_sets])
             i, j = [], []
             for at in range(len(y)):
-                fits = np.minimum(m, n[at]) * 100 >= np.maximum(m, n[at]) * percent
-                got = np.flatnonzero(fits & ((x != y[at]).sum(1) <= DISTANCE))
+                can = may_link(p, m, q[at], n[at], percent)
+                got = np.flatnonzero(can & ((x != y[at]).sum(1) <= DISTANCE))
                 i.append(got)
                 j.append(np.full(len(got), at))
             i, j = np.concatenate(i), np.concatenate(j)
@@ -335,43 +379,48 @@ def near_groups(
     buckets = shared.materialise(keys.join(hubs, "key"), "near-buckets")
     votes = buckets.where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("node").agg(F.max_by("hub", F.struct("votes", -F.col("hub"))).alias("hub"))
-    stars = best.select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    sets = shared.materialise(
-        sets_of(docs, buckets.select("node").distinct(), id_col, text_col, width), "near-sets"
+    maps = packed_sets(docs, buckets.select("node").distinct(), id_col, text_col, width, True)
+    shape = shared.materialise(
+        maps.select("node", "n", F.col("packed").alias("map")).join(classes.select("node", "signature"), "node"),
+        "near-shapes",
     )
-    confirmed = shared.materialise(confirmed_stars(stars, classes, sets, percent), "near-stars")
-    labels = components(confirmed)
+    stars = shared.materialise(
+        close_stars(best.select(F.col("node").alias("a"), F.col("hub").alias("b")), shape, percent), "near-stars"
+    )
+
+    def full_sets(wanted: DataFrame) -> DataFrame:
+        return shared.materialise(packed_sets(docs, wanted, id_col, text_col, width, False), "near-sets")
+
+    starred = full_sets(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    labels = components(shared.materialise(confirmed(stars, starred, percent), "near-links"))
 
     # What the stars left apart inside a bucket: components are compared with each other.
-    shape = classes.select("node", "signature", "n")
     inside = buckets.select("key", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     rows = inside.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("node"))
     several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    single = lambda c: F.when(F.col("m") == 1, F.col(c)).alias(c)
     members = (
         rows.join(several, "key", "left_semi")
         .join(shape, "node")
-        .select("key", "comp", "n", F.when(F.col("m") == 1, F.col("signature")).alias("signature"))
+        .select("key", "comp", "n", single("signature"), single("map"))
     )
     close = shared.materialise(close_components(members, percent), "near-close")
     if close.count():
         ends = close.select(F.explode(F.array("a", "b")).alias("comp")).distinct()
-        whole = (
-            sets.join(labels, "node", "left")
+        placed = (
+            shape.join(labels, "node", "left")
             .withColumn("comp", F.coalesce("comp", "node"))
             .join(ends, "comp", "left_semi")
-            .join(shape.select("node", "signature"), "node")
-            .select("node", "comp", "signature", "shingles")
         )
-        more = linked_components(close, shared.materialise(whole, "near-members"), percent)
+        sets = full_sets(placed.select("node").distinct())
+        whole = placed.join(sets.select("node", F.col("packed").alias("shingles")), "node")
+        more = linked_components(close, whole, percent)
         bridges = components(shared.materialise(more, "near-bridges")).select(
             F.col("node").alias("comp"), F.col("comp").alias("root")
         )
-        labels = labels.unionByName(  # components of one class that a bridge reaches
-            bridges.select(F.col("comp").alias("node"), F.col("comp")).join(labels, "node", "left_anti")
-        )
-        labels = shared.materialise(
-            labels.join(bridges, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "near-labels"
-        )
+        lone = bridges.select(F.col("comp").alias("node"), F.col("comp")).join(labels, "node", "left_anti")
+        joined = labels.unionByName(lone).join(bridges, "comp", "left")
+        labels = shared.materialise(joined.select("node", F.coalesce("root", "comp").alias("comp")), "near-labels")
 
     named = classes.join(labels, "node", "left").select(
         "class", "rows", F.coalesce("comp", "node").alias("component")
