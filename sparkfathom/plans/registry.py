@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from sparkfathom.plans import evaluation_queries, lifecycle_queries, search_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
+_MODULES = (search_queries, text_queries, lifecycle_queries, evaluation_queries)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
