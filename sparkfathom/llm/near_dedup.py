@@ -48,6 +48,10 @@ MAP_BITS = 2048
 #: Components of a bucket, and members of a component, that meet in one task.
 TILE, BLOCK = 512, 256
 
+#: Members of a component in a bucket up to which each is compared by itself there;
+#: a larger part of a component is taken as close to all that share the bucket.
+FEW = 32
+
 
 def keys_of(signatures: np.ndarray) -> np.ndarray:
     """The keys of each signature, one for each chunk and place left out.
@@ -217,9 +221,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def close_components(members: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs ``(a, b)`` of components that a bucket shows to be close.
 
-    ``members`` has ``key, comp, n, signature, map``, a row for each component of
-    a bucket; a null signature stands for several members and is always close.
-    Two single members are compared in the first bucket that they share only.
+    ``members`` has ``key, comp, n, signature, map``; a null signature stands for
+    many members of a component and is close to all others of the bucket. Two
+    members are compared only in the first bucket that they share.
     Large buckets are cut into tiles, and tasks stream through their rows.
     """
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -252,7 +256,7 @@ def close_components(members: DataFrame, percent: int) -> DataFrame:
             differ = sig[rest] != sig[i]
             near = (differ.sum(1) <= DISTANCE) & (first_shared_key(differ) == number)
             near[near] = may_link(maps[i], n[i], maps[rest[near]], n[rest[near]], percent)
-            got = rest[many[i] | many[rest] | near]
+            got = rest[(many[i] | many[rest] | near) & (comp[rest] != comp[i])]
             out.append(np.stack([np.full(len(got), comp[i]), comp[got]], 1))
         pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
         return pairs.min(1), pairs.max(1)
@@ -396,13 +400,15 @@ def near_groups(
 
     # What the stars left apart inside a bucket: components are compared with each other.
     inside = buckets.select("key", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rows = inside.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("node"))
+    rows = inside.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
-    single = lambda c: F.when(F.col("m") == 1, F.col(c)).alias(c)
+    mixed = rows.join(several, "key", "left_semi")
+    many = mixed.where(F.col("m") > FEW).select("key", "comp", F.lit(None).cast("long").alias("node"))
+    few = inside.join(mixed.where(F.col("m") <= FEW).select("key", "comp"), ["key", "comp"], "left_semi")
     members = (
-        rows.join(several, "key", "left_semi")
-        .join(shape, "node")
-        .select("key", "comp", "n", single("signature"), single("map"))
+        few.select("key", "comp", "node").unionByName(many)
+        .join(shape, "node", "left")
+        .select("key", "comp", F.coalesce("n", F.lit(0)).alias("n"), "signature", "map")
     )
     close = shared.materialise(close_components(members, percent), "near-close")
     if close.count():
