@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from sparkfathom.functions import text as T
 from sparkfathom.functions import vectors as V
@@ -75,7 +76,8 @@ def embed_batch(provider: Provider, texts: list[str]) -> list[tuple[list[float]
     def one(text: str) -> tuple[list[float] | None, str | None]:
         try:
             parts = T.halves(text, lambda t: not over(t))
-            return pooled(provider.embed(parts)), None
+            made = provider.embed(parts)
+            return (made[0] if len(made) == 1 else pooled(made)), None
         except Refused as e:
             return None, str(e)
 
@@ -99,7 +101,9 @@ def embed(chunks: DataFrame, provider: Callable[[], Provider], text_col: str = "
 
     A retryable failure fails the task, and Spark runs it again.
     """
-    schema = chunks.schema.add("embedding", "array<float>").add("error", "string")
+    schema = T_.StructType(
+        [*chunks.schema, T_.StructField("embedding", T_.ArrayType(T_.FloatType())), T_.StructField("error", T_.StringType())]
+    )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = provider()

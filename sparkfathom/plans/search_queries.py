@@ -248,18 +248,20 @@ _HYBRID_SCOPED = _hybrid_sql("AND d.lang IN ('en', 'fr')", _SHOWN)
 
 
 def fusion_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two whole rankings of all vectors fused; the lexical one leads."""
-    e = table(spark, sf_dir, "embeddings").where("label < 3").select(F.col("vec_id").alias("document_id"), "embedding")
-    q = F.array(*[F.lit(x) for x in first_vector(spark, sf_dir)])
-    one = e.select("document_id", F.row_number().over(Window.orderBy(V.cosine_distance(F.col("embedding"), q), "document_id")).alias("rank"))
-    two = e.where("document_id > 20").select("document_id", F.row_number().over(Window.orderBy(F.desc("document_id"))).alias("rank"))
+    """The 50 nearest vectors and the 50 longest documents, fused; the latter lead."""
+    c = corpus(spark, sf_dir)
+    near = knn.nearest(c.vectors, first_vector(spark, sf_dir), 50)
+    long = c.chunks.select("chunk_id", F.char_length("content").alias("n")).orderBy(F.desc("n"), "chunk_id").limit(50)
+    one = near.select(F.col("chunk_id").alias("document_id"), F.row_number().over(Window.orderBy("distance", "chunk_id")).alias("rank"))
+    two = long.select(F.col("chunk_id").alias("document_id"), F.row_number().over(Window.orderBy(F.desc("n"), "chunk_id")).alias("rank"))
     fused = fusion.combined(fusion.rrf(one, two), "lexical")
     return fused.select("document_id", "v_rank", "l_rank", F.round("rrf", 9).alias("rrf"), "rank")
 
 
-_FUSION = f"""WITH {_Q}, s AS (SELECT vec_id, {_D["cosine"]} AS d FROM embeddings e, q WHERE label < 3),
+_FUSION = f"""WITH {_Q}, s AS (SELECT vec_id, {_D["cosine"]} AS d FROM embeddings e, q WHERE vec_id IN (SELECT doc_id FROM documents)
+ORDER BY d, vec_id LIMIT 50), t AS (SELECT doc_id, length(text) AS n FROM documents ORDER BY n DESC NULLS LAST, doc_id LIMIT 50),
 v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY d, vec_id) AS v_rank FROM s),
-l AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id DESC) AS l_rank FROM s WHERE vec_id > 20),
+l AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n DESC, doc_id) AS l_rank FROM t),
 u AS (SELECT coalesce(v.id, l.id) AS id, v_rank, l_rank,
       coalesce(1.0 / (60 + v_rank), 0)::DOUBLE + coalesce(1.0 / (60 + l_rank), 0)::DOUBLE AS rrf FROM v FULL JOIN l ON v.id = l.id)
 SELECT id AS document_id, v_rank, l_rank, round(rrf, 9) AS rrf,

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text suffixes, directories that are passed over, the largest file,
 #: and how long a command may take.
@@ -122,7 +123,8 @@ class Registry:
             {"text": plain_text(F.col("content")), "error": F.lit(None).cast("string")}
         )
         if others:
-            schema = files.schema.add("text", "string").add("error", "string")
+            fresh = [T.StructField(n, T.StringType()) for n in ("text", "error")]
+            schema = T.StructType([*files.schema, *fresh])
 
             def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for frame in frames:
