@@ -364,6 +364,7 @@ def near_groups(
     are one document. A null identifier has a null component and no links; an
     empty table gives an empty result.
     """
+    shared.modest_batches(docs.sparkSession)
     scanned = shared.materialise(signatures_of(docs, id_col, text_col, width), "near-docs")
     classes = shared.materialise(
         scanned.where("class is not null and ident is not null")
@@ -431,12 +432,12 @@ def near_groups(
     named = classes.join(labels, "node", "left").select(
         "class", "rows", F.coalesce("comp", "node").alias("component")
     )
+    linkable = F.col("class").isNotNull() & F.col("ident").isNotNull()
     found = shared.salted_lookup(
-        scanned.where("class is not null"), shared.materialise(named, "near-named"), "class", "rows", "ident"
+        scanned.where(linkable), shared.materialise(named, "near-named"), "class", "rows", "ident"
     )
-    alone = scanned.where("class is null").select("ident", "n_shingles", F.col("ident").alias("component"))
-    at_home = F.when(F.col("ident").isNotNull(), F.coalesce("component", "ident"))
-    return found.select("ident", "n_shingles", at_home.alias("component")).unionByName(alone)
+    alone = scanned.where(~linkable).select("ident", "n_shingles", F.col("ident").alias("component"))
+    return found.select("ident", "n_shingles", "component").unionByName(alone)
 
 
 def drop_near_copies(
