@@ -100,6 +100,16 @@ def targets_of(sizes: list[int], weights: list[float], most: int = MOST) -> list
     return target
 
 
+def whole_words(targets: list[float]) -> list[int]:
+    """Targets in whole words with the same sum: the largest fractions round up."""
+    words = [int(t + 1e-6) for t in targets]
+    left = round(sum(targets)) - sum(words)
+    by_fraction = sorted(range(len(targets)), key=lambda i: (words[i] - targets[i], i))
+    for i in by_fraction[: max(left, 0)]:
+        words[i] += 1
+    return words
+
+
 def draw_counts(needs: list[int], n_shards: int, seed: int = SEED) -> np.ndarray:
     """Blocks of each source in each shard, ``(n_shards, sources)``.
 
@@ -127,7 +137,7 @@ class Plan:
     def __init__(self, sources: list[str | None], sizes: list[int], weights: list[float], block: int, n_shards: int):
         self.sources, self.sizes, self.block = sources, sizes, block
         self.targets = targets_of(sizes, weights)
-        self.words = [min(round(t), MOST * n) for t, n in zip(self.targets, sizes, strict=True)]
+        self.words = whole_words(self.targets)
         self.blocks = [-(-n // block) for n in sizes]
         self.keys = [(i + 1) * 1_000_003 + SEED for i in range(len(sources))]
         self.needs, self.last = [], []
@@ -308,7 +318,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         docs[source_col].cast("string").alias("source"),
         word_count(docs[text_col]).alias("size"),
         F.xxhash64(docs[text_col]).alias("tie"),
-        F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("doc"),
+        F.struct(*shared.named(*docs.columns)).alias("doc"),
     )
     placed, mixed = mix(keyed, plan_of(keyed))
     runs = mixed.groupBy("src", "bucket", "row", "pass").agg(
