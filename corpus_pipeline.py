@@ -24,7 +24,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     machine = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.score(docs, machine, score_col="__score")
-    return scored.where("__score >= 0.5").select(*docs.columns)
+    return scored.where("__score >= 0.5").select(*shared.named(*docs.columns))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -150,4 +150,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     keyed = docs.withColumns({digest + "_of": digest_of(body), ident + "_of": docs[id_col].cast("long")})
     same = (keyed[digest + "_of"] == gone[digest]) & keyed[ident + "_of"].eqNullSafe(gone[ident])
-    return keyed.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(gone, same, "left_anti").select(*shared.named(*docs.columns))

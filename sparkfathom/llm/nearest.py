@@ -179,6 +179,7 @@ def search(
     without a vector that takes part, gives an empty result.
     """
     spark = vectors.sparkSession
+    shared.modest_batches(spark)
     rows = valid(vectors, id_col, vec_col)
     first = Window.partitionBy("v").orderBy("ident")
     classes = shared.materialise(

@@ -29,13 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkfathom.llm import shared
+
 #: Labelled rows that the machine is fitted on, at most.
 TRAIN_ROWS = 6000
 
 BUCKETS, RANK, EPOCHS, BATCH, SEED = 1 << 14, 8, 12, 64, 11
 
 #: Distinct words whose hash and shape a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 STATISTICS = [
     "log_words", "word_length", "upper", "repeated_next", "symbol_tail", "symbol_only", "distinct", "alnum",
@@ -186,6 +188,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Machine:
     """Fit a machine; features are computed in the cluster."""
+    shared.modest_batches(docs.sparkSession)
     schema = "doc_id long, quality int, ids array<int>, x array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,15 +218,11 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", score_col:
     Texts are scored whole. An existing column named as the score is replaced.
     """
     names = [c for c in docs.columns if c != score_col]
-    given = docs.select(*[docs[c] for c in names], F.coalesce(docs[text_col], F.lit("")).alias("__text"))
-    schema = T.StructType([*given.drop("__text").schema, T.StructField(score_col, T.DoubleType())])
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         words, m = Words(), model.value
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            scores = pa.array([m.score(*features(t.as_py(), words)) for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*names, score_col])
+        return lambda texts: [pa.array([m.score(*features(t.as_py(), words)) for t in texts], pa.float64())]
 
-    return given.mapInArrow(run, schema)
+    text = F.coalesce(docs[text_col], F.lit(""))
+    return shared.with_arrow_columns(docs, names, text, [T.StructField(score_col, T.DoubleType())], start)

@@ -13,7 +13,6 @@ pair of characters of a fixed alphabet, so it may be a literal in the plan.
 from __future__ import annotations
 
 import math
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sparkfathom.llm import piece_model, token_counts
+from sparkfathom.llm import piece_model, shared, token_counts
 from sparkfathom.llm.piece_model import BPE, BYTE, CONTROL, MARK, UNKNOWN, PieceModel
 
 #: Distinct pre-tokens whose ids a worker remembers, and their longest.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 
 #: Pre-tokens that are encoded as one string, and characters of text at a time.
 PARTS, CHARACTERS = 512, 1 << 20
@@ -85,6 +85,10 @@ def cut_at(ids: list[int], mark: int) -> list[bytes]:
 
 
 @lru_cache(maxsize=4)
+def parts_backend(path: str):
+    return backend(piece_model.load(path), dummy_prefix=False)
+
+
 def encoder(path: str) -> Callable[[list[str]], list[tuple[bytes, bool]]]:
     """A function from texts to the bytes of their 32-bit ids, and their parity.
 
@@ -92,6 +96,7 @@ def encoder(path: str) -> Callable[[list[str]], list[tuple[bytes, bool]]]:
     PARTS of them, with a line feed between two, which is a byte token that
     nothing merges with. The same strings go to the library; where ids of a
     pre-token differ, the library's are taken and texts that hold it lose parity.
+    The memory of pre-tokens lives as long as the function: one task.
     """
     model, library = piece_model.load(path), token_counts.processor(path)
     if not model.splits_safely():
@@ -103,7 +108,7 @@ def encoder(path: str) -> Callable[[list[str]], list[tuple[bytes, bool]]]:
             return [(np.array(b, np.int32).tobytes(), a.ids == b) for a, b in zip(ours, theirs, strict=True)]
 
         return whole_texts
-    parts_only = backend(model, dummy_prefix=False)
+    parts_only = parts_backend(path)
     line_feed = next(i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE and p == "<0x0A>")
     start = {"\n": np.int32(line_feed).tobytes()}
     memory: dict[str, bytes] = dict(start)
@@ -187,17 +192,15 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFram
     both. Texts of any length are encoded whole. Rows are
     independent: nothing is shuffled. Columns with the new names are replaced.
     """
-    made = ("token_ids", "n_tokens", "parity", "round_trip")
-    names = [c for c in docs.columns if c not in made]
-    given = docs.select(*[docs[c] for c in names], docs[text_col].alias("__text"))
     kinds = (T.ArrayType(T.IntegerType()), T.LongType(), T.BooleanType(), T.BooleanType())
-    schema = T.StructType([*given.drop("__text").schema, *map(T.StructField, made, kinds)])
+    made = [T.StructField(n, k) for n, k in zip(("token_ids", "n_tokens", "parity", "round_trip"), kinds, strict=True)]
+    names = [c for c in docs.columns if c not in [f.name for f in made]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         path = piece_model.vocabulary_path(vocabulary)
         to_ids, to_text = encoder(path), decoder(path)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+
+        def compute(texts: pa.Array) -> list[pa.Array]:
             flat, ends, parity, same = [], [0], [], []
             for group in groups(texts):
                 for text, (raw, alike) in zip(group, to_ids(group), strict=True):
@@ -206,28 +209,22 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFram
                     ends.append(ends[-1] + len(ids))
                     parity.append(alike)
                     same.append(to_text(ids.tolist()) == text.replace(MARK, " "))
-            flat_ids = pa.array(np.frombuffer(b"".join(flat), np.int32))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat_ids)
+            values = pa.array(np.frombuffer(b"".join(flat), np.int32))
             counts = pa.array(np.diff(np.array(ends, np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], ids, counts, pa.array(parity, pa.bool_()), pa.array(same, pa.bool_())],
-                [*names, *made],
-            )
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            return [lists, counts, pa.array(parity, pa.bool_()), pa.array(same, pa.bool_())]
+
+        return compute
 
-    return given.mapInArrow(run, schema)
+    return shared.with_arrow_columns(docs, names, docs[text_col], made, start)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "token_ids", text_col: str = "text") -> DataFrame:
     """``encoded`` with ``text_col`` decoded from ``ids_col``; null ids give null."""
     names = [c for c in encoded.columns if c != text_col]
-    given = encoded.select(*[encoded[c] for c in names], encoded[ids_col].alias("__ids"))
-    schema = given.drop("__ids").schema.add(text_col, "string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         to_text = decoder(piece_model.vocabulary_path(vocabulary))
-        for batch in batches:
-            rows = batch.column(batch.num_columns - 1)
-            texts = pa.array([None if (x := v.as_py()) is None else to_text(x) for v in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], [*names, text_col])
+        return lambda rows: [pa.array([None if (x := v.as_py()) is None else to_text(x) for v in rows], pa.string())]
 
-    return given.mapInArrow(run, schema)
+    return shared.with_arrow_columns(encoded, names, encoded[ids_col], [T.StructField(text_col, T.StringType())], start)

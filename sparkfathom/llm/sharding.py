@@ -105,7 +105,7 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = 16, seed: int = 7) -> Dat
     names = [c for c in df.columns if c not in ("shard", "slot")]
     numbered = df.select(
         F.monotonically_increasing_id().alias("row"),
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("kept"),
+        F.struct(*shared.named(*names)).alias("kept"),
     )
     pinned = shared.materialise(numbered, "shard-rows")
     total = pinned.count()

@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A key is hot when it holds more than one row in HOT_SHARE, so there are at
 #: most HOT_SHARE hot keys and a table of them may be broadcast.
@@ -45,6 +48,17 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one Arrow batch takes to a Python worker, at most: texts can be long.
+BATCH_ROWS = 1000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, so that workers hold few texts at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 #: Words of 64 bits in a filter that is broadcast: 2 MiB of bits at most.
 FILTER_WORDS = 1 << 18
 
@@ -95,6 +109,35 @@ def salted_lookup(rows: DataFrame, entries: DataFrame, key: str, count_col: str,
     return left.join(right, [key, "__salt"]).drop("__salt")
 
 
+def named(*names: str) -> list[Column]:
+    """Columns by name, whatever characters the names hold."""
+    return [F.col(f"`{n}`") for n in names]
+
+
+def with_arrow_columns(
+    df: DataFrame, names: list[str], value: Column, made: list[T.StructField],
+    start: Callable[[], Callable[[pa.Array], list[pa.Array]]],
+) -> DataFrame:
+    """The columns ``names`` of ``df``, and ``made`` computed from ``value`` in Python.
+
+    ``start`` is called once for each task and gives a function from one batch
+    of values to the new columns. Inside, columns go by position, so their names
+    may hold any characters.
+    """
+    modest_batches(df.sparkSession)
+    given = df.select(*[c.alias(f"c{i}") for i, c in enumerate(named(*names))], value.alias("value"))
+    kept = [T.StructField(f.name, f.dataType) for f in given.schema[:-1]]
+    labels = [f.name for f in (*kept, *made)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = start()
+        for batch in batches:
+            fresh = compute(batch.column(batch.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *fresh], labels)
+
+    return given.mapInArrow(run, T.StructType([*kept, *made])).toDF(*names, *[f.name for f in made])
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A to Z and nothing else.
 

@@ -13,7 +13,7 @@ import numpy as np
 import xxhash
 
 #: Distinct words whose hash a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 

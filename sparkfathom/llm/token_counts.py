@@ -8,17 +8,18 @@ rest go to the tokenizer, each distinct one once while a bounded memory keeps it
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from sparkfathom.llm import piece_model
+from sparkfathom.llm import piece_model, shared
 
 #: Distinct pre-tokens whose counts a worker remembers, and their longest.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 
 
 @lru_cache(maxsize=4)
@@ -52,9 +53,11 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(s for s, n in zip(strings, alone(path, strings), strict=True) if n == 1)
 
 
-@lru_cache(maxsize=4)
 def counter(path: str) -> Callable[[str], int]:
-    """A function that counts the tokens of a text as the library would."""
+    """A function that counts the tokens of a text as the library would.
+
+    Its memory of pre-tokens lives as long as it does: one task.
+    """
     if not piece_model.load(path).splits_safely():
         return lambda text: len(processor(path).encode(text))
     shortcut = dict.fromkeys(whole_tokens(path), 1) | {"\n": 1}
@@ -91,17 +94,15 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Da
     ``n_bytes`` or ``n_tokens`` are replaced.
     """
     names = [c for c in docs.columns if c not in (text_col, "n_bytes", "n_tokens")]
-    given = docs.select(*[docs[c] for c in names], docs[text_col].alias("__text"))
-    schema = given.drop("__text").schema.add("n_bytes", "long").add("n_tokens", "long")
+    made = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         count = counter(piece_model.vocabulary_path(vocabulary))
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+
+        def compute(texts: pa.Array) -> list[pa.Array]:
             sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
-            tokens = pa.array([count(t.as_py() or "") for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], sizes, tokens], [*names, "n_bytes", "n_tokens"]
-            )
+            return [sizes, pa.array([count(t.as_py() or "") for t in texts], pa.int64())]
+
+        return compute
 
-    return given.mapInArrow(run, schema)
+    return shared.with_arrow_columns(docs, names, docs[text_col], made, start)
