@@ -364,6 +364,17 @@ class Engine:
         frame = self.spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{k} {kinds.get(k, 'long')}" for k in rows[0]))
         return doctor.status_report(frame)
 
+    def health(self, tries: int = 3) -> dict:
+        """Whether the provider answers, and with vectors of the dimension it claims."""
+        own, error = self.provider(), "no answer"
+        for _ in range(tries):
+            try:
+                dimension = len(own.embed(["dimension probe"])[0])
+                return {"ok": dimension == own.dimension, "dimension": dimension, "provider": self.provider_name}
+            except Exception as e:
+                error = f"{type(e).__name__}: {e}"
+        return {"ok": False, "error": error, "provider": self.provider_name}
+
     def check(self) -> list[dict]:
         """All integrity checks."""
         stored = {r["kind"]: json.loads(r["config_json"]) for r in self.read("profiles").orderBy("id").collect()}

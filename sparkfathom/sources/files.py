@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 from collections.abc import Callable, Iterator
 
@@ -37,10 +38,21 @@ def in_ignored_directory(path: Column, root: str) -> Column:
     return F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda p: p.isin(*IGNORED_DIRECTORIES))
 
 
+def symbolic_links(root: str) -> list[str]:
+    """Links below a local directory; none for other stores."""
+    return [
+        os.path.join(where, name)
+        for where, folders, names in os.walk(root)
+        for name in (*folders, *names)
+        if os.path.islink(os.path.join(where, name))
+    ]
+
+
 def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = TEXT_SUFFIXES, content: bool = True) -> DataFrame:
     """``path, size, modified, content, suffix`` of the admitted files below ``root``.
 
-    Content is read only where a later step uses it.
+    Content is read only where a later step uses it. Symbolic links below a local
+    root are refused.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     plain = F.regexp_replace("path", "^file:/*", "/")
@@ -49,6 +61,8 @@ def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = TEXT_SUFFIX
         & ~in_ignored_directory(F.col("path"), root)
         & (F.col("length") <= MAX_FILE_BYTES)
     )
+    if links := symbolic_links(root):
+        kept = kept.join(spark.createDataFrame([(x,) for x in links], "path string"), "path", "left_anti")
     columns = ["path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), suffix_of(F.col("path")).alias("suffix")]
     return kept.select(*columns, *(["content"] if content else []))
 

@@ -42,7 +42,7 @@ def test_build_promote_search_and_change(spark, tmp_path, docs):
     assert e.promote("papers").result == "blocked_by_failures" and e.promote("papers", force=True).result == "promote"
     assert e.promote("papers").result == "no_ready"
     assert paths(e.search("rareword"))[0] == "c.txt" and paths(e.search("cell biology proteins", 1)) == ["b.md"]
-    assert all(c["ok"] for c in e.check())
+    assert all(c["ok"] for c in e.check()) and e.health() == {"ok": True, "dimension": 16, "provider": "hash"}
 
     os.rename(os.path.join(docs, "a.txt"), os.path.join(docs, "sub", "a.txt"))  # moved: keeps its work
     os.remove(os.path.join(docs, "empty.txt"))

@@ -151,3 +151,18 @@ def test_validation():
     for bad in ("", "-x", "a b", "x" * 101):
         with pytest.raises(ValueError):
             validation.check_collection_name(bad)
+
+
+def test_sql_functions_agree_with_columns(spark):
+    from sparkfathom.functions import sql
+
+    sql.register(spark)
+    row = spark.sql(
+        "SELECT cosine_distance(array(1D, 0D), array(1D, 1D)) c, l2_distance(array(1D, 0D), array(0D, 1D)) l, inner_product(array(2D, 1D), array(1D, 1D)) d, "
+        "vector_normalise(array(3D, 4D)) n, vector_normalise(array(0D)) z, lexemes('The Cat-2') t, longest_run('a bcd') r, text_preview(' a  b ') p"
+    ).first()
+    assert row.c == pytest.approx(1 - 2**-0.5) and row.l == pytest.approx(2**0.5) and row.d == 3.0
+    assert (row.n, row.z, row.t, row.r, row.p) == ([0.6, 0.8], [0.0], ["the", "cat", "2"], 3, "a b")
+    spark.createDataFrame([(1, "a b c d e"), (2, None)], "id int, t string").createOrReplaceTempView("chunk_input")
+    rows = spark.sql("SELECT id, c.* FROM chunk_input, LATERAL chunk_words(t, 3, 1) c ORDER BY chunk_index").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, "a b c"), (1, 1, "c d e")]

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ def tree(tmp_path):
 
 
 def test_scan_admits_supported_files_outside_ignored_directories(spark, tree):
+    os.symlink(f"{tree}/a.txt", f"{tree}/link.txt")
     names = {r.path.rsplit("/", 1)[-1] for r in files.scan(spark, tree, content=False).collect()}
     assert names == {"a.txt", "b.md", "bad.txt", "empty.txt", "upper.TXT"}
     assert "content" not in files.scan(spark, tree, content=False).columns
