@@ -145,6 +145,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Every pair that shares a shingle, its similarity, and what each document reaches.
+_OP2_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS t FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(t) = 0 THEN []::VARCHAR[] WHEN len(t) < 4 THEN [array_to_string(t, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i : i + 3], ' '))) END AS gs FROM w),
+s AS (SELECT doc_id, len(gs) AS n, unnest(gs) AS shingle FROM g),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS m, b.n AS n, count(*) AS c
+      FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p WHERE 100 * c >= 80 * (m + n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.reached),
+c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT g.doc_id, len(gs)::BIGINT AS n_shingles, component_id, g.doc_id = component_id AS kept FROM g JOIN c USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_near_dedup": op2_near_dedup,
@@ -158,4 +173,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {"op6_exact_dedup": _OP6_SQL}
+ORACLES: dict[str, str] = {"op2_near_dedup": _OP2_SQL, "op6_exact_dedup": _OP6_SQL}
