@@ -36,7 +36,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 
 #: Documents of a source whose places one task computes, and the most buckets.
-ROWS_PER_BUCKET, MAX_BUCKETS = 4_000, 4096
+ROWS_PER_BUCKET, MAX_BUCKETS = 1_000, 4096
 
 #: Slots that one task maps.
 SLOTS_PER_TASK = 50_000
@@ -305,33 +305,44 @@ def taken_by_document(docs: DataFrame) -> DataFrame:
     )
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars"
+) -> DataFrame:
     """``docs`` as the mix takes them: a row for each document and pass.
 
     A document that a pass takes whole keeps its text as it is; of one taken in
     part, the words taken stay, in order, joined by spaces. Columns and their
     order stay, and ``chars_col``, if present, is the new length. Documents
-    without words, or that no slot takes, are left out.
+    without words, or that no slot takes, are left out. The mix is made from
+    identifiers and sizes; texts move once, to the passes that take them.
     """
-    keyed = docs.select(
+    doc = F.struct(*shared.named(*docs.columns))
+    # Two 64-bit hashes of the whole row stand for it; equal rows are alike anyway.
+    key = [F.xxhash64(doc).alias("tie"), F.xxhash64(F.lit(SEED), doc).alias("tie_2")]
+    narrow = docs.select(
+        *key,
         docs[id_col].cast("long").alias("ident"),
         docs[source_col].cast("string").alias("source"),
         word_count(docs[text_col]).alias("size"),
-        F.xxhash64(docs[text_col]).alias("tie"),
-        F.struct(*shared.named(*docs.columns)).alias("doc"),
     )
-    placed, mixed = mix(keyed, plan_of(keyed))
+    narrow = shared.materialise(narrow, "mix-sizes")
+    placed, mixed = mix(narrow, plan_of(narrow))
     runs = mixed.groupBy("src", "bucket", "row", "pass").agg(
         F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("word", "n"))).alias("runs")
     )
-    words = F.regexp_extract_all(F.col(f"doc.{text_col}"), F.lit(shared.WORD), F.lit(0))
+    picks = placed.join(runs, ["src", "bucket", "row"]).select("tie", "tie_2", "size", "n", "runs")
+    # Equal rows share their key; each is picked by itself, so one copy of the text will do.
+    texts = docs.select(*key, doc.alias("doc")).dropDuplicates(["tie", "tie_2"])
+    words = F.regexp_extract_all(F.col("doc").getField(text_col), F.lit(shared.WORD), F.lit(0))
     some = F.array_join(
         F.flatten(F.transform("runs", lambda r: F.slice("all_words", (r["word"] + 1).cast("int"), r["n"].cast("int")))), " "
     )
+    part = F.when(F.col("n") < F.col("size"), some).otherwise(F.col("doc").getField(text_col))
     out = (
-        placed.join(runs, ["src", "bucket", "row"])
+        texts.join(picks, ["tie", "tie_2"])
+        .select("doc", "size", "n", "runs")
         .withColumn("all_words", F.when(F.col("n") < F.col("size"), words))
-        .withColumn("part", F.when(F.col("n") < F.col("size"), some).otherwise(F.col(f"doc.{text_col}")))
+        .withColumn("part", part)
     )
     as_was = {c: F.col("doc").getField(c) for c in docs.columns}
     as_was[text_col] = F.col("part")
