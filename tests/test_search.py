@@ -157,3 +157,16 @@ def test_scores_explain_order(spark):
     rows = spark.createDataFrame([(1, 1, 3.0), (1, 2, 3.0), (1, 3, 1.0), (2, 1, 0.1), (2, 2, 0.3)], "q int, pos int, score double")
     got = {r.q: r.explained for r in fusion.explains_order(rows, "q", "pos", "score").collect()}
     assert got == {1: True, 2: False}
+
+
+def test_postings_index_agrees_with_a_scan(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["red", "green", "blue", "grey", "pink"]
+    chunks = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randrange(12)))) for i in range(80)], "chunk_id long, content string")
+    index = lexical.PostingsIndex.build(chunks, str(tmp_path / "p"))
+    for terms, need in ((["red", "blue"], 2), (["red", "absent", "pink"], 2), (["absent"], 1)):
+        a = {r.chunk_id: (r.matched, round(r["rank"], 9)) for r in index.matches(terms, need).collect()}
+        b = {r.chunk_id: (r.matched, round(r["rank"], 9)) for r in lexical.ranked_matches(chunks, terms, need).collect()}
+        assert a == b
+    plan = index.matches(["red"], 1)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "term" in plan
