@@ -30,7 +30,9 @@ def follow(pointers: DataFrame) -> DataFrame:
             ),
             "cc-jump",
         )
-        pointers = jumped.select("node", "parent")
+        shared.discard(pointers)
+        pointers = jumped.drop("moved")
+        pointers._scratch_path = jumped._scratch_path
         if not jumped.where("moved").count():
             return pointers
 
@@ -49,6 +51,7 @@ def components(edges: DataFrame) -> DataFrame:
         pointers = hooks.select(F.col("a").alias("node"), F.least("a", "least").alias("parent"))
         roots = follow(shared.materialise(pointers, "cc-hooks"))
         of = lambda name: roots.select(F.col("node").alias(name), F.col("parent").alias(f"{name}_root"))
+        before, edges_before = labels, work
         labels = shared.materialise(
             labels.join(of("comp"), "comp", "left").select("node", F.coalesce("comp_root", "comp").alias("comp")),
             "cc-labels",
@@ -61,4 +64,6 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct(),
             "cc-edges",
         )
+        shared.discard(before, edges_before, roots)
+    shared.discard(work)
     return labels

@@ -397,7 +397,9 @@ def near_groups(
         return shared.materialise(packed_sets(docs, wanted, id_col, text_col, width, False), "near-sets")
 
     starred = full_sets(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    labels = components(shared.materialise(confirmed(stars, starred, percent), "near-links"))
+    links = shared.materialise(confirmed(stars, starred, percent), "near-links")
+    labels = components(links)
+    done = [links, starred, stars, shape, buckets, classes, labels]
 
     # What the stars left apart inside a bucket: components are compared with each other.
     inside = buckets.select("key", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -421,21 +423,22 @@ def near_groups(
         )
         sets = full_sets(placed.select("node").distinct())
         whole = placed.join(sets.select("node", F.col("packed").alias("shingles")), "node")
-        more = linked_components(close, whole, percent)
-        bridges = components(shared.materialise(more, "near-bridges")).select(
-            F.col("node").alias("comp"), F.col("comp").alias("root")
-        )
+        more = shared.materialise(linked_components(close, whole, percent), "near-bridges")
+        joins = components(more)
+        bridges = joins.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+        done += [sets, more, joins]
         lone = bridges.select(F.col("comp").alias("node"), F.col("comp")).join(labels, "node", "left_anti")
         joined = labels.unionByName(lone).join(bridges, "comp", "left")
         labels = shared.materialise(joined.select("node", F.coalesce("root", "comp").alias("comp")), "near-labels")
+        done.append(labels)
 
     named = classes.join(labels, "node", "left").select(
         "class", "rows", F.coalesce("comp", "node").alias("component")
     )
+    named = shared.materialise(named, "near-named")
+    shared.discard(close, *done)
     linkable = F.col("class").isNotNull() & F.col("ident").isNotNull()
-    found = shared.salted_lookup(
-        scanned.where(linkable), shared.materialise(named, "near-named"), "class", "rows", "ident"
-    )
+    found = shared.salted_lookup(scanned.where(linkable), named, "class", "rows", "ident")
     alone = scanned.where(~linkable).select("ident", "n_shingles", F.col("ident").alias("component"))
     return found.select("ident", "n_shingles", "component").unionByName(alone)
 

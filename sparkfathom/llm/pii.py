@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfathom.llm import spans as S
+from sparkfathom.llm.shared import held
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
@@ -115,30 +116,19 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     LEAST. Spans of one kind never overlap; spans of different kinds may.
     ``pii_scores`` holds one double for each span of ``pii_all``.
     """
-    possible = {
-        "email": lambda t: F.contains(t, F.lit("@")),
-        "phone": lambda t: F.contains(t, F.lit("+")),
-        "ssn": lambda t: F.contains(t, F.lit("-")),
-    }
-    patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN}
-    body = F.col("__pii_text")
+    body, patterns = F.col("__pii_text"), {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN}
+    possible = {k: F.contains(body, F.lit(c)) for k, c in (("email", "@"), ("phone", "+"), ("ssn", "-"))}
     out = docs.withColumn("__pii_text", F.coalesce(docs[text_col], F.lit("")))
-    # One step finds and the next confirms, so that no expression is computed twice.
-    out = out.withColumns(
-        {
-            f"__pii_{k}": S.find(body, patterns[k], k, i, possible[k](body) if k in possible else None)
-            for i, k in enumerate(KINDS)
-        }
-    )
-    out = out.withColumns({f"__pii_{k}": confirmed(F.col(f"__pii_{k}"), k) for k in KINDS})
+    out = S.with_matches(out, "__pii_text", patterns, possible, "__pii_")
+    out = held(out, **{f"__pii_{k}": confirmed(F.col(f"__pii_{k}"), k) for k in KINDS})
 
     def enough(kind: str) -> Column:
         return F.filter(F.col(f"__pii_{kind}"), lambda s: score(body, s, kind) >= LEAST)
 
-    out = out.withColumns({f"__pii_{k}": enough(k) for k in KINDS if k not in BASE})
+    out = held(out, **{f"__pii_{k}": enough(k) for k in KINDS if k not in BASE})
     every = F.concat(*[F.col(f"__pii_{k}") for k in KINDS])
     base = F.concat(*[F.col(f"__pii_{k}") for k in BASE])
-    out = out.withColumns({"pii_base": F.array_sort(base), "pii_all": F.array_sort(every)})
+    out = held(out, pii_base=F.array_sort(base), pii_all=F.array_sort(every))
 
     def of_kind(span: Column) -> Column:
         scored = F.lit(None).cast("double")
@@ -146,5 +136,5 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
             scored = F.when(span["kind"] == k, score(body, span, k)).otherwise(scored)
         return scored
 
-    out = out.withColumn("pii_scores", F.transform("pii_all", of_kind))
+    out = held(out, pii_scores=F.transform("pii_all", of_kind))
     return out.drop("__pii_text", *[f"__pii_{k}" for k in KINDS])

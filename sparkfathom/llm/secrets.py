@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfathom.llm import spans as S
+from sparkfathom.llm.shared import held
 
 ASSIGN = (
     r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9+/_.=-]++"
@@ -144,37 +145,31 @@ def find_secrets(docs: DataFrame, ratios: list[float], text_col: str = "text") -
     of LEAST_RATIO at least, and lies in no base span. ``secret_ratios`` holds
     the mean ratio of each span of ``secret_all``.
     """
-    body, model = F.col("__sec_text"), F.col("__sec_model")
-    out = docs.withColumns({"__sec_text": F.coalesce(docs[text_col], F.lit("")), "__sec_model": model_column(ratios)})
+    body, model = F.col("__sec_text"), model_column(ratios)
+    out = docs.withColumn("__sec_text", F.coalesce(docs[text_col], F.lit("")))
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": RANDOM}
     possible = {
         "assign": F.contains(body, F.lit("=")) | F.contains(body, F.lit(":")),
         "access": F.contains(body, F.lit("AKIA")),
     }
-    out = out.withColumns(
-        {f"__sec_{k}": S.find(body, patterns[k], k, i, possible.get(k)) for i, k in enumerate(KINDS)}
-    )
+    out = S.with_matches(out, "__sec_text", patterns, possible, "__sec_")
     value = lambda s: F.regexp_extract(s["body"], _ASSIGN_VALUE, 1)
-    out = out.withColumns(
-        {
-            "__sec_assign": F.filter("__sec_assign", lambda s: F.length(value(s)) >= 12),
-            "__sec_access": F.filter("__sec_access", lambda s: F.length(s["body"]) >= 18),
-            "__sec_random": F.filter(
-                "__sec_random",
-                lambda s: s["body"].rlike("[0-9]")
-                & s["body"].rlike("[A-Za-z]")
-                & (mean_ratio(s["body"], model) >= LEAST_RATIO),
-            ),
-        }
+    out = held(
+        out,
+        __sec_assign=F.filter("__sec_assign", lambda s: F.length(value(s)) >= 12),
+        __sec_access=F.filter("__sec_access", lambda s: F.length(s["body"]) >= 18),
+        __sec_random=F.filter(
+            "__sec_random",
+            lambda s: s["body"].rlike("[0-9]")
+            & s["body"].rlike("[A-Za-z]")
+            & (mean_ratio(s["body"], model) >= LEAST_RATIO),
+        ),
     )
-    base = F.array_sort(F.concat(*[F.col(f"__sec_{k}") for k in BASE]))
-    out = out.withColumn("secret_base", base)
+    out = held(out, secret_base=F.array_sort(F.concat(*[F.col(f"__sec_{k}") for k in BASE])))
     apart = F.filter(
         "__sec_random",
-        lambda s: ~F.exists(
-            "secret_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])
-        ),
+        lambda s: ~F.exists("secret_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
-    out = out.withColumn("secret_all", F.array_sort(F.concat("secret_base", apart)))
-    out = out.withColumn("secret_ratios", F.transform("secret_all", lambda s: mean_ratio(s["body"], model)))
-    return out.drop("__sec_text", "__sec_model", *[f"__sec_{k}" for k in KINDS])
+    out = held(out, secret_all=F.array_sort(F.concat("secret_base", apart)))
+    out = held(out, secret_ratios=F.transform("secret_all", lambda s: mean_ratio(s["body"], model)))
+    return out.drop("__sec_text", *[f"__sec_{k}" for k in KINDS])

@@ -45,7 +45,18 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     path = scratch_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._scratch_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and that nothing will read again."""
+    for table in tables:
+        spark, path = table.sparkSession, getattr(table, "_scratch_path", None)
+        if path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 #: Rows that one Arrow batch takes to a Python worker, at most: texts can be long.
@@ -149,29 +160,48 @@ def lower_ascii(text: Column) -> Column:
     return F.when(is_ascii, F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
-def prefix_sums(values: Column, block: int = 256) -> Column:
-    """Exclusive running sums of an array of longs, as an array of one more item.
+def held(df: DataFrame, **made: Column) -> DataFrame:
+    """``df`` with new columns that are computed once.
+
+    Catalyst may copy a column's expression to where it is used, into the body of
+    a lambda too, where it would be computed for each element. The output of a
+    generator is never copied, so the columns pass through one that gives one row.
+    """
+    packed = F.struct(*[c.alias(n) for n, c in made.items()])
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in made]
+    return df.select(*rest, F.explode(F.array(packed)).alias("__held")).select(*rest, "__held.*")
+
+
+def with_prefix_sums(df: DataFrame, names: list[str], block: int = 256) -> DataFrame:
+    """``df`` with each named array of longs replaced by its running sums.
 
     Two levels, so that the work for ``n`` items is ``n * block + (n / block)^2``
     rather than the ``n^2`` of a plain fold that appends to an array.
     """
-    zero = F.array(F.lit(0).cast("long"))
-    n_blocks = F.ceil(F.size(values) / F.lit(block)).cast("int")
+    zero = F.lit(0).cast("long")
 
     def running(part: Column, start: Column) -> Column:
-        return F.aggregate(
-            part, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
-        )
-
-    def of_blocks(blocks: Column) -> Column:
-        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x))
-        starts = running(totals, F.lit(0).cast("long"))
-        inner = F.flatten(
-            F.transform(blocks, lambda b, i: F.slice(running(b, F.get(starts, i)), 2, F.size(b)))
+        fold = F.aggregate(part, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        return F.slice(fold, 2, F.size(part))
+
+    def blocks(name: str) -> Column:
+        last = F.ceil(F.size(name) / F.lit(block)).cast("int") - 1
+        cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(name, i * block + 1, block))
+        return F.when(F.size(name) > 0, cut).otherwise(F.array().cast("array<array<bigint>>"))
+
+    def starts(name: str) -> Column:
+        totals = F.transform(name, lambda b: F.aggregate(b, zero, lambda a, x: a + x))
+        return F.aggregate(totals, F.array(zero), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    df = held(df, **{n: blocks(n) for n in names})
+    df = held(df, **{f"{n}__starts": starts(n) for n in names})
+    summed = {
+        n: F.flatten(
+            F.transform(
+                F.arrays_zip(F.col(n).alias("b"), F.slice(F.col(f"{n}__starts"), 1, F.size(n)).alias("s")),
+                lambda x: running(x["b"], x["s"]),
+            )
         )
-        return F.concat(zero, inner)
-
-    blocks = F.transform(
-        F.sequence(F.lit(0), n_blocks - 1), lambda i: F.slice(values, i * block + 1, block)
-    )
-    return F.when(F.size(values) == 0, zero).otherwise(of_blocks(blocks))
+        for n in names
+    }
+    return held(df, **summed).drop(*[f"{n}__starts" for n in names])

@@ -6,42 +6,57 @@ is the place of the kind in its list, so that structs sort by start, then kind.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfathom.llm import shared
+from sparkfathom.llm.shared import held, with_prefix_sums
 
 #: The Spark type of a list of spans.
 SPANS = "array<struct<start:bigint,ord:int,end:bigint,kind:string,body:string>>"
 
 
-def no_spans() -> Column:
-    return F.array().cast(SPANS)
+def with_matches(df: DataFrame, text: str, patterns: dict[str, str], possible: dict[str, Column], prefix: str) -> DataFrame:
+    """``df`` with ``<prefix><kind>``: the spans of each pattern in the column ``text``.
 
+    Matches are leftmost and do not overlap; patterns are Java's. What lies
+    between the matches has known lengths, and so the matches have known places.
+    ``possible`` has cheap conditions without which a kind has no match. Each
+    step is held, so each pattern runs a fixed number of times over a text,
+    however many matches it has.
+    """
+    body = F.col(text)
+    name = {k: f"{prefix}{k}" for k in patterns}
+    none = F.array().cast("array<string>")
 
-def find(text: Column, pattern: str, kind: str, order: int, possible: Column | None = None) -> Column:
-    """All leftmost non-overlapping matches of ``pattern`` (Java syntax) in ``text``.
+    def hits(kind: str) -> Column:
+        can = body.rlike(patterns[kind])
+        can = possible[kind] & can if kind in possible else can
+        return F.when(can, F.regexp_extract_all(body, F.lit(patterns[kind]), F.lit(0))).otherwise(none)
 
-    What lies between the matches has known lengths, and so the matches have
-    known places. ``possible`` is a cheap condition without which nothing matches.
-    """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x).cast("long"))
-    sizes = F.transform(hits, lambda x: F.char_length(x).cast("long"))
-    steps = F.zip_with(F.slice(gaps, 1, F.size(hits)), sizes, lambda g, n: F.struct(g.alias("g"), n.alias("n")))
-    ends = shared.prefix_sums(F.transform(steps, lambda s: s["g"] + s["n"]))
-    spans = F.transform(
-        hits,
-        lambda body, i: F.struct(
-            (F.get(ends, i + 1) - F.char_length(body)).cast("long").alias("start"),
-            F.lit(order).alias("ord"),
-            F.get(ends, i + 1).cast("long").alias("end"),
-            F.lit(kind).alias("kind"),
-            body.alias("body"),
-        ),
-    ).cast(SPANS)
-    can = text.rlike(pattern) if possible is None else possible & text.rlike(pattern)
-    return F.when(can, spans).otherwise(no_spans())
+    def steps(kind: str) -> Column:
+        found = F.col(name[kind])
+        gaps = F.when(F.size(found) > 0, F.split(body, patterns[kind], -1)).otherwise(none)
+        pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, h: F.char_length(g) + F.char_length(h))
+        return F.transform(pairs, lambda n: n.cast("long"))
+
+    def spans(kind: str, order: int) -> Column:
+        both = F.arrays_zip(F.col(name[kind]).alias("body"), F.col(f"{name[kind]}__end").alias("end"))
+        return F.transform(
+            both,
+            lambda s: F.struct(
+                (s["end"] - F.char_length(s["body"])).cast("long").alias("start"),
+                F.lit(order).alias("ord"),
+                s["end"].cast("long").alias("end"),
+                F.lit(kind).alias("kind"),
+                s["body"].alias("body"),
+            ),
+        ).cast(SPANS)
+
+    df = held(df, **{name[k]: hits(k) for k in patterns})
+    df = held(df, **{f"{name[k]}__end": steps(k) for k in patterns})
+    df = with_prefix_sums(df, [f"{name[k]}__end" for k in patterns])
+    df = held(df, **{name[k]: spans(k, i) for i, k in enumerate(patterns)})
+    return df.drop(*[f"{name[k]}__end" for k in patterns])
 
 
 def count(spans: Column, kind: str) -> Column:

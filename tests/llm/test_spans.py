@@ -115,8 +115,13 @@ def test_prefix_sums(spark):
     from sparkfathom.llm import shared
 
     for n in (0, 1, 255, 256, 257, 1000):
-        row = spark.range(1).select(F.expr(f"array_repeat(2L, {n})").alias("v")).select(shared.prefix_sums(F.col("v")).alias("s")).first()
-        assert row.s == [2 * i for i in range(n + 1)]
+        df = spark.range(1).select(F.expr(f"array_repeat(2L, {n})").alias("v"))
+        assert shared.with_prefix_sums(df, ["v"]).first().v == [2 * i for i in range(1, n + 1)]
+
+
+def test_many_matches_in_a_long_text(spark):
+    text = " ".join(f"u{i}@h{i}.org 10.0.{i % 300}.1 {'deadbeef' * 2}{i:04x}" for i in range(5000))
+    check(spark, [text])
 
 
 @settings(max_examples=60, deadline=None)
