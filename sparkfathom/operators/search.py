@@ -54,6 +54,15 @@ def check_one_model(revisions: DataFrame) -> None:
         raise ValueError(f"collections are embedded with different models and cannot be searched together ({listed})")
 
 
+def bounded(hits: DataFrame) -> DataFrame:
+    """A top-k list as a local table: computed once, however often it is used.
+
+    It has ``knn.MOST`` rows at most, and numbers only. Its size is known to the
+    optimizer, which broadcasts it in the joins that follow.
+    """
+    return hits.sparkSession.createDataFrame(hits.limit(knn.MOST).toArrow(), hits.schema)
+
+
 class Searcher:
     """Searches a corpus. The arms read one scope, so they agree on what exists."""
 
@@ -67,12 +76,12 @@ class Searcher:
     def vector_arm(self, query: list[float], k: int, collections: list[str] | None) -> DataFrame:
         hits = knn.nearest(self.scoped(collections), query, k, self.corpus.metric)
         placed = hits.withColumn("pos", F.row_number().over(Window.orderBy("distance", "chunk_id")))
-        return self._shown(placed.select("chunk_id", "pos", "score", "distance", "score_kind"))
+        return bounded(placed.select("chunk_id", "pos", "score", "distance", "score_kind"))
 
     def lexical_arm(self, query: str, k: int, collections: list[str] | None, relaxed: bool = False) -> DataFrame:
         hits = lexical.lexical_top(self.corpus.chunks, self.scoped(collections), query, k, self.corpus.analyzer, relaxed)
         placed = hits.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("rank"), "chunk_id")))
-        return self._shown(
+        return bounded(
             placed.select(
                 "chunk_id", "pos", F.col("rank").alias("score"), F.lit(None).cast("double").alias("distance"),
                 F.lit("lexical_rank").alias("score_kind"),
@@ -88,6 +97,10 @@ class Searcher:
 
     def candidates(self, query: str, vector: list[float], top_k: int = 10, collections: list[str] | None = None):
         """Both arms before fusion; the lexical one relaxed if it finds nothing exactly."""
+        arm, other = self._arms(query, vector, top_k, collections)
+        return self._shown(arm), self._shown(other)
+
+    def _arms(self, query: str, vector: list[float], top_k: int, collections: list[str] | None) -> tuple[DataFrame, DataFrame]:
         validation.check_query(query, top_k)
         k = knn.arm_limit(top_k)
         arm = self.vector_arm(vector, k, collections)
@@ -105,9 +118,10 @@ class Searcher:
 
     def search(self, query: str, vector: list[float], top_k: int = 10, collections: list[str] | None = None) -> DataFrame:
         """``document_id, collection, source_path, content, score, distance, score_kind, rank``."""
-        arm, other = self.candidates(query, vector, top_k, collections)
+        arm, other = self._arms(query, vector, top_k, collections)
         leads = not other.isEmpty() and not arm.isEmpty() and self.lexical_should_lead(query, collections)
-        found = fusion.merged(arm, other, "lexical" if leads else "vector", top_k)
+        both = self._shown(arm.unionByName(other))
+        found = fusion.merged(*fusion.split_arms(both), "lexical" if leads else "vector", top_k)
         return found.select(
             "document_id", "collection", "source_path", "content", "score", "distance", "score_kind", "rank"
         )
