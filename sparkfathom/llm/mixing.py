@@ -218,7 +218,7 @@ def slots_of(spark, plan: Plan) -> DataFrame:
             )
 
     schema = "shard int, slot long, src int, pass int, block long, words long"
-    return spark.range(0, total, 1, max(1, -(-total // SLOTS_PER_TASK))).mapInPandas(run, schema)
+    return spark.range(0, total, 1, max(1, -(-total // SLOTS_PER_TASK))).mapInPandas(shared.tidy(run), schema)
 
 
 def packed(docs: DataFrame, plan: Plan) -> DataFrame:

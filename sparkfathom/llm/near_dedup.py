@@ -145,7 +145,7 @@ def signatures_of(docs: DataFrame, id_col: str, text_col: str, width: int) -> Da
                 ["ident", "n_shingles", "class", "signature"],
             )
 
-    return given.mapInArrow(run, "ident long, n_shingles long, class binary, signature binary")
+    return given.mapInArrow(shared.tidy(run), "ident long, n_shingles long, class binary, signature binary")
 
 
 def packed_sets(
@@ -167,7 +167,7 @@ def packed_sets(
             sizes = pa.array([len(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("node"), sizes, packed], ["node", "n", "packed"])
 
-    return some.mapInArrow(run, "node long, n long, packed binary").join(wanted, "node", "left_semi")
+    return some.mapInArrow(shared.tidy(run), "node long, n long, packed binary").join(wanted, "node", "left_semi")
 
 
 def key_rows(classes: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def key_rows(classes: DataFrame) -> DataFrame:
                 rows = pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column("node"), rows], ["node", "keys"])
 
-    made = classes.select("node", "signature").mapInArrow(run, "node long, keys array<long>")
+    made = classes.select("node", "signature").mapInArrow(shared.tidy(run), "node long, keys array<long>")
     return made.select(F.explode("keys").alias("key"), "node")
 
 
@@ -199,7 +199,7 @@ def close_stars(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
                 can = may_link(p, frame["a_n"].to_numpy(), q, frame["b_n"].to_numpy(), percent)
                 yield frame.loc[can & ((x != y).sum(1) <= DISTANCE), ["a", "b"]]
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(shared.tidy(run), "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -215,7 +215,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
-    return both.mapInArrow(check, "a long, b long")
+    return both.mapInArrow(shared.tidy(check), "a long, b long")
 
 
 def close_components(members: DataFrame, percent: int) -> DataFrame:
@@ -287,7 +287,7 @@ def close_components(members: DataFrame, percent: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield from emit(flush(held, True)[0])
 
-    return dealt.mapInArrow(run, "a long, b long").where("a != b").distinct()
+    return dealt.mapInArrow(shared.tidy(run), "a long, b long").where("a != b").distinct()
 
 
 def linked_components(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:

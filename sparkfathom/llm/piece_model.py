@@ -10,7 +10,8 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+
+from sparkfathom.llm.shared import cached
 
 #: The metaspace marker that stands for a space inside pieces.
 MARK = "▁"
@@ -111,7 +112,7 @@ class PieceModel:
         )
 
 
-@lru_cache(maxsize=4)
+@cached
 def load(path: str) -> PieceModel:
     return PieceModel.load(path)
 

@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Machin
                 ["doc_id", "quality", "ids", "x"],
             )
 
-    got = training_rows(docs, labels, limit).mapInArrow(run, schema).toArrow()
+    got = training_rows(docs, labels, limit).mapInArrow(shared.tidy(run), schema).toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     arrays = lambda name: [np.array(v.values) for v in got.column(name)]
     rows = list(zip(arrays("ids"), arrays("x"), strict=True))

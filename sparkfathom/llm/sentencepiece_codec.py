@@ -11,8 +11,8 @@ rows that hold it say so.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,7 +27,10 @@ from sparkfathom.llm.piece_model import BPE, BYTE, CONTROL, MARK, UNKNOWN, Piece
 REMEMBERED, LONGEST = 150_000, 64
 
 #: Pre-tokens that are encoded as one string, and characters of text at a time.
-PARTS, CHARACTERS = 512, 1 << 20
+PARTS, CHARACTERS = 512, 1 << 18
+
+#: Threads that a worker encodes batches with, unless its environment says so.
+THREADS = "2"
 
 #: Fixed value: what an unknown piece decodes to in this format.
 UNKNOWN_SURFACE = " ⁇ "
@@ -46,8 +49,11 @@ def merges_of(model: PieceModel) -> list[tuple[str, str]]:
     return [(left, right) for *_, left, right in sorted(found)]
 
 
-def backend(model: PieceModel, dummy_prefix: bool | None = None):
-    """The model as a tokenizer of the tokenizers library."""
+def backend(model: PieceModel, dummy_prefix: bool | None = None, cache: int = 10_000):
+    """The model as a tokenizer of the tokenizers library.
+
+    ``cache`` is how many strings a pair-merge model remembers with their ids.
+    """
     from tokenizers import Tokenizer, decoders, models, normalizers
 
     prefix = model.add_dummy_prefix if dummy_prefix is None else dummy_prefix
@@ -59,6 +65,7 @@ def backend(model: PieceModel, dummy_prefix: bool | None = None):
             unk_token=model.pieces[unknown][0] if unknown is not None else None,
             fuse_unk=True,
             byte_fallback=model.byte_fallback,
+            cache_capacity=cache,
         )
     elif model.model_type == piece_model.UNIGRAM:
         core = models.Unigram([(p, s) for p, s, _ in model.pieces], unknown, model.byte_fallback)
@@ -84,9 +91,10 @@ def cut_at(ids: list[int], mark: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
 
 
-@lru_cache(maxsize=4)
+@shared.cached
 def parts_backend(path: str):
-    return backend(piece_model.load(path), dummy_prefix=False)
+    """For strings of many pre-tokens, which never come twice: nothing to remember."""
+    return backend(piece_model.load(path), dummy_prefix=False, cache=0)
 
 
 def encoder(path: str) -> Callable[[list[str]], list[tuple[bytes, bool]]]:
@@ -147,7 +155,7 @@ def encoder(path: str) -> Callable[[list[str]], list[tuple[bytes, bool]]]:
     return to_ids
 
 
-@lru_cache(maxsize=4)
+@shared.cached
 def decoder(path: str) -> Callable[[list[int]], str]:
     """A function from ids to their text; byte pieces give their byte."""
     model = piece_model.load(path)
@@ -197,6 +205,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFram
     names = [c for c in docs.columns if c not in [f.name for f in made]]
 
     def start():
+        os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
         path = piece_model.vocabulary_path(vocabulary)
         to_ids, to_text = encoder(path), decoder(path)
 

@@ -8,9 +8,12 @@ as in tests.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +62,39 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+_CACHES: list = []
+
+
+def cached(fn: Callable) -> Callable:
+    """Remember the results of a worker's function until its task ends."""
+    made = lru_cache(maxsize=4)(fn)
+    _CACHES.append(made)
+    return made
+
+
+def release_memory() -> None:
+    """Give back what a task has used: workers live on, and several share an executor."""
+    for made in _CACHES:
+        made.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run``, a function from batches to batches, that releases memory at its end."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return tidied
+
+
 #: Rows that one Arrow batch takes to a Python worker, at most: texts can be long.
 BATCH_ROWS = 1000
 
@@ -146,7 +182,7 @@ def with_arrow_columns(
             fresh = compute(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *fresh], labels)
 
-    return given.mapInArrow(run, T.StructType([*kept, *made])).toDF(*names, *[f.name for f in made])
+    return given.mapInArrow(tidy(run), T.StructType([*kept, *made])).toDF(*names, *[f.name for f in made])
 
 
 def lower_ascii(text: Column) -> Column:

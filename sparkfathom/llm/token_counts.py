@@ -9,7 +9,6 @@ rest go to the tokenizer, each distinct one once while a bounded memory keeps it
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,7 +21,7 @@ from sparkfathom.llm import piece_model, shared
 REMEMBERED, LONGEST = 150_000, 64
 
 
-@lru_cache(maxsize=4)
+@shared.cached
 def processor(path: str):
     import sentencepiece
 
@@ -44,7 +43,7 @@ def alone(path: str, parts: list[str]) -> list[int]:
     return [b - a - 1 for a, b in zip(marks, [*marks[1:], len(ids)], strict=True)]
 
 
-@lru_cache(maxsize=4)
+@shared.cached
 def whole_tokens(path: str) -> frozenset[str]:
     """The pre-tokens that are proved to encode as one token."""
     strings = [
