@@ -17,6 +17,7 @@ from sparkfathom.llm import (
     secrets,
     sentencepiece_codec,
     sharding,
+    shared,
     spans,
     token_counts,
 )
@@ -57,15 +58,25 @@ FROM (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents)
 """
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """16 shards whose row counts differ by one at most (law ``rows``)."""
-    text = F.col("text")
-    docs = documents(spark, sf_dir).select(
-        "doc_id",
+    """16 shards whose row counts differ by one at most (law ``rows``).
+
+    Whole documents go to the shards; size and checksum are those of the text
+    that a shard has received.
+    """
+    docs = documents(spark, sf_dir)
+    placed = sharding.shuffle_into_shards(docs, 16)
+    # Held as one value, so that no column is pruned on its way to the shard.
+    got = shared.held(placed, got=F.struct(*shared.named(*docs.columns)))
+    text = F.col("got.text")
+    return got.select(
+        "got.doc_id",
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
     )
-    return sharding.shuffle_into_shards(docs, 16).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,7 +107,7 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = 16, seed: int = 7) -> Dat
         F.monotonically_increasing_id().alias("row"),
         F.struct(*shared.named(*names)).alias("kept"),
     )
-    pinned = shared.materialise(numbered, "shard-rows")
+    pinned = shared.materialise(numbered, "shard-rows", compression="zstd")
     total = pinned.count()
     n_parts = min(MAX_PARTITIONS, max(1, -(-total // ROWS_PER_PARTITION)))
     n_buckets = min(MAX_BUCKETS, max(1, -(-total // (n_shards * ROWS_PER_PARTITION))))
@@ -130,7 +130,8 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = 16, seed: int = 7) -> Dat
         .join(F.broadcast(lines), "part")
         .select("row", "kept", shard.alias("shard"), bucket.alias("bucket"))
     )
-    sent = shared.materialise(sent, "shard-sent")
+    sent = shared.materialise(sent, "shard-sent", compression="zstd")
+    shared.discard(pinned)
 
     # Permute again: random buckets, random order in each, offsets from counts.
     offset = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

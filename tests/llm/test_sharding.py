@@ -65,3 +65,29 @@ def test_every_row_reaches_every_shard_evenly(spark):
         for r in sharding.shuffle_into_shards(docs, 4, seed).where("doc_id = 0").collect():
             seen[(r.shard, r.slot)] += 1
     assert len(seen) == 8 and max(seen.values()) < 20
+
+
+def test_query_takes_whole_documents_through_the_shards(spark, tmp_path, monkeypatch):
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    from sparkfathom.llm import queries
+
+    docs = odd.table(spark, extra=[])
+    folder, given = odd.write(spark, tmp_path, documents=docs), []
+    real = sharding.shuffle_into_shards
+
+    def marked(df, *args):
+        given.append(df.columns)
+        return real(df, *args).withColumn("text", F.concat("text", F.lit("!")))
+
+    monkeypatch.setattr(sharding, "shuffle_into_shards", marked)
+    got = queries.op1_sharding(spark, folder)
+    assert given == [docs.columns]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    before_window = plan[plan.index("Window [row_number") :]
+    assert "kept#" in before_window and ".text" not in before_window and "_extract" not in before_window
+    sent = lambda t: b"" if t is None else (t + "!").encode()
+    want = Counter((r.doc_id, len(sent(r.text)) + 1, zlib.crc32(sent(r.text))) for r in docs.collect())
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got.collect()) == want
