@@ -26,7 +26,7 @@ ASSIGN = (
 _ASSIGN_VALUE = r"^(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]++)"
 ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
-RANDOM = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,200}+(?![A-Za-z0-9+/_=-])"
+RANDOM = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+(?![A-Za-z0-9+/_=-])"
 
 KINDS = ["assign", "access", "hex", "random"]
 BASE = KINDS[:3]
@@ -141,8 +141,8 @@ def find_secrets(docs: DataFrame, ratios: list[float], text_col: str = "text") -
     """``docs`` with ``secret_base``, ``secret_all`` (spans) and ``secret_ratios``.
 
     Null texts count as empty and have no spans; texts are scanned whole. A
-    ``random`` span has a letter and a digit, 20 to 200 characters, a mean ratio
-    of LEAST_RATIO at least, and lies in no base span. ``secret_ratios`` holds
+    ``random`` span has a letter and a digit, 20 characters or more, a mean ratio
+    of LEAST_RATIO at least over its whole length, and lies in no base span. ``secret_ratios`` holds
     the mean ratio of each span of ``secret_all``.
     """
     body, model = F.col("__sec_text"), model_column(ratios)

@@ -104,6 +104,18 @@ def test_markov_models_tell_random_from_ordinary(spark):
     assert randoms[4] == ["Zx9Qv7LmPq2Rt8Wn3YbKd5Hs"]
 
 
+def test_random_runs_of_any_length(spark):
+    rng = random.Random(5)
+    keys = ["".join(rng.choice(secrets.ALPHABET[:64]) for _ in range(n)) for n in (200, 201, 1000, 300_000)]
+    names = "_".join(rng.choice(secrets.PARTS) for _ in range(200)) + "_2"
+    texts = [f"é key {k}, end" for k in keys] + [f"see {names} here", f"{keys[1]} {names} {keys[2]}"]
+    docs = odd.table(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    rows = secrets.find_secrets(docs, secrets.train(secrets.labelled_samples(spark))).select("doc_id", "secret_all").collect()
+    found = {r.doc_id: [(s.start, s.end, s.body) for s in r.secret_all if s.kind == "random"] for r in rows}
+    assert [found[i] for i in range(4)] == [[(6, 6 + len(k), k)] for k in keys]
+    assert found[4] == [] and [s[2] for s in found[5]] == [keys[1], keys[2]]
+
+
 def test_empty_table(spark):
     assert pii.find_pii(odd.table(spark, [])).count() == 0
     assert secrets.find_secrets(odd.table(spark, []), [0.0] * len(secrets.ALPHABET) ** 2).count() == 0
