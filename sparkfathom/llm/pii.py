@@ -22,7 +22,8 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: The head of an account number; its group looks ahead at what the body may be and one character more.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 #: The kinds in their order, base kinds first.
@@ -45,6 +46,20 @@ CONTEXT = {
     "ssn": "ssn|social security|tax id",
 }
 
+#: Characters of an account number by country, those of countries outside the register too.
+IBAN_LENGTH = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+        27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+        28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
 #: Words near a span that lower its score by LOWER, any kind.
 DOUBT = "example|sample|dummy|version|isbn|serial|part number"
 
@@ -78,6 +93,40 @@ def mod97_ok(iban: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(step(a, c))) == 1
 
 
+def whole_ibans(heads: Column, tails: Column) -> Column:
+    """Spans of account numbers from their heads and what follows each.
+
+    A country of ``IBAN_LENGTH`` says where its numbers end; those of others end
+    where the run of capitals and digits does. No number goes on without a space.
+    """
+    sizes = F.create_map(*[F.lit(x) for c, n in IBAN_LENGTH.items() for x in (c, str(n - 4))])
+
+    def whole(head: Column, tail: Column) -> Column:
+        size = F.coalesce(F.element_at(sizes, F.substring(head["body"], 1, 2)), F.lit("11,30"))
+        rule = F.concat(F.lit(r"^(?:\x20?[A-Z0-9]){"), size, F.lit(r"}+(?![A-Za-z0-9])"))
+        body = F.call_function("regexp_extract", tail, rule, F.lit(0))
+        end = head["end"] + F.length(body)
+        return F.when(
+            body != "",
+            F.struct(
+                head["start"].alias("start"), head["ord"].alias("ord"), end.alias("end"),
+                head["kind"].alias("kind"), F.concat(head["body"], body).alias("body"),
+            ),
+        )
+
+    return F.filter(F.zip_with(heads, tails, whole), lambda s: s.isNotNull()).cast(S.SPANS)
+
+
+def apart(found: Column) -> Column:
+    """Sorted spans of one kind without those that start inside one that stays."""
+    overlaps = F.zip_with(found, F.slice(found, 2, F.size(found)), lambda a, b: a["end"] > b["start"])
+    stays = lambda acc, s: F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) <= s["start"]
+    fold = F.aggregate(
+        found, F.array().cast(S.SPANS), lambda acc, s: F.when(stays(acc, s), F.concat(acc, F.array(s))).otherwise(acc)
+    )
+    return F.when(F.exists(overlaps, lambda x: F.coalesce(x, F.lit(False))), fold).otherwise(found)
+
+
 def confirmed(found: Column, kind: str) -> Column:
     """The spans of one kind that pass its check."""
     if kind == "email":
@@ -120,7 +169,11 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     possible = {k: F.contains(body, F.lit(c)) for k, c in (("email", "@"), ("phone", "+"), ("ssn", "-"))}
     out = docs.withColumn("__pii_text", F.coalesce(docs[text_col], F.lit("")))
     out = S.with_matches(out, "__pii_text", patterns, possible, "__pii_")
+    tails = F.regexp_extract_all(body, F.lit(IBAN), F.lit(1))
+    out = held(out, __pii_tails=F.when(F.size("__pii_iban") > 0, tails).otherwise(F.array().cast("array<string>")))
+    out = held(out, __pii_iban=whole_ibans(F.col("__pii_iban"), F.col("__pii_tails"))).drop("__pii_tails")
     out = held(out, **{f"__pii_{k}": confirmed(F.col(f"__pii_{k}"), k) for k in KINDS})
+    out = held(out, __pii_iban=apart(F.col("__pii_iban")))
 
     def enough(kind: str) -> Column:
         return F.filter(F.col(f"__pii_{kind}"), lambda s: score(body, s, kind) >= LEAST)

@@ -92,6 +92,28 @@ def test_method_adds_confirmed_spans(spark):
     assert found.columns[: len(docs.columns)] == docs.columns
 
 
+def test_ibans_end_where_their_country_says(spark):
+    gb, de, no = "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "NO9386011117947"
+    fr = "FR1420041010050500013M02606"
+    cases = {
+        f"{gb} Please": [gb], f"{de} BIC COBADEFFXXX": [de], "DE89370400440532013000 EUR.": ["DE89370400440532013000"],
+        f"é {gb} {de}": [gb, de], f"{no} {fr} {no} 7": [no, fr, no], f"{fr}x {de}9 {no}A X{gb}": [], f"{gb[:-1]}3 Please": [],
+        f"{gb}": [gb], f"{de}, {no}": [de, no], "GB82 WEST 1234 5698 7654": [], f"AB12 {de}": [de],
+    }
+    docs = odd.table(spark, [(i, t, None, None, None) for i, t in enumerate([*cases, " ".join([gb, de, no, fr] * 500)])])
+    rows = pii.find_pii(docs).select("doc_id", "text", "pii_all").collect()
+    for r in rows:
+        found = [s for s in r.pii_all if s.kind == "iban"]
+        assert [s.body for s in found] == cases.get(r.text, [gb, de, no, fr] * 500)
+        assert all(r.text[s.start : s.end] == s.body for s in found)
+
+
+def test_spans_of_one_kind_stay_apart(spark):
+    df = spark.createDataFrame([([(s, 4, e, "iban", "") for s, e in ((0, 5), (3, 8), (6, 9), (9, 12), (10, 13))],), ([],)], f"v {spans.SPANS}")
+    got = [[(s.start, s.end) for s in r.v] for r in df.select(pii.apart(df["v"]).alias("v")).collect()]
+    assert sorted(got) == [[], [(0, 5), (6, 9), (9, 12)]]
+
+
 def test_markov_models_tell_random_from_ordinary(spark):
     model = secrets.train(secrets.labelled_samples(spark))
     held = secrets.labelled_samples(spark, 6000).offset(0)
