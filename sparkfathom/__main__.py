@@ -7,6 +7,7 @@ import json
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from sparkfathom.engine import Engine
 from sparkfathom.functions import chunking
@@ -62,7 +63,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[dict]:
     if args.command == "extract":
         return rows(engine.registry.extract(files.scan(spark, args.path, engine.registry.suffixes())).select("path", "text", "error"))
     if args.command == "chunk":
-        return rows(chunking.chunk_words(files.read_text(spark, args.path), ["path"], "text", settings.chunk.size, settings.chunk.overlap).drop("path", "n_tokens"))
+        texts = files.read_text(spark, args.path)
+        refused = texts.select("path", chunking.run_error(F.col("text")).alias("error")).where("error is not null").first()
+        if refused:
+            raise ValueError(f"{refused.path}: {refused.error}")
+        return rows(chunking.chunk_words(texts, ["path"], "text", settings.chunk.size, settings.chunk.overlap).drop("path", "n_tokens"))
     return rows(embedding.embed(files.read_chunks_jsonl(spark, args.path), engine.provider).drop("error"))
 
 

@@ -199,7 +199,7 @@ class Engine:
             self._purge()
 
     def chunk(self, revision: dict) -> int:
-        """Chunk finished extractions; chunks of superseded ones go."""
+        """Chunk finished extractions, refused ones fail alone; chunks of superseded ones go."""
         profile = revision["chunk_profile_id"]
         own = self.read("extracted").where(F.col("extractor_profile_id") == revision["extractor_profile_id"])
         chunked, chunks = self.read("chunked"), self.read("chunks")
@@ -209,18 +209,18 @@ class Engine:
         if not n:
             return 0
         made = self._numbered(
-            claims.select(F.col("id").alias("extracted_document_id"), F.lit(profile).alias("chunk_profile_id"), F.col("content_hash").alias("source_content_hash"), "document_id", "content"),
+            claims.select(F.col("id").alias("extracted_document_id"), F.lit(profile).alias("chunk_profile_id"), F.col("content_hash").alias("source_content_hash"), "document_id", "content", chunking.run_error(F.col("content")).alias("error")),
             "chunked", "id", "extracted_document_id",
         )
         path = f"{self.root}/_stage/chunked-{time.time_ns()}"
         made.write.parquet(path)  # pins the new numbers
         made = self.spark.read.parquet(path)
-        windows = chunking.chunk_words(made, ["id", "document_id"], "content", self.config.chunk.size, self.config.chunk.overlap)
+        windows = chunking.chunk_words(made.where("error is null"), ["id", "document_id"], "content", self.config.chunk.size, self.config.chunk.overlap)
         fresh = windows.select("document_id", F.col("id").alias("chunked_document_id"), "chunk_index", "content")
         counts = fresh.groupBy(F.col("chunked_document_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("total_chunks"))
         rows = made.join(counts, "id", "left").select(
-            "id", "extracted_document_id", "chunk_profile_id", "source_content_hash", F.lit("done").alias("status"),
-            F.coalesce("total_chunks", F.lit(0)).alias("total_chunks"), F.lit(None).cast("string").alias("error_message"),
+            "id", "extracted_document_id", "chunk_profile_id", "source_content_hash", F.when(F.col("error").isNull(), "done").otherwise("failed").alias("status"),
+            F.coalesce("total_chunks", F.lit(0)).alias("total_chunks"), F.col("error").alias("error_message"),
         )
         keys = ["extracted_document_id", "chunk_profile_id"]
         replaced = chunked.join(made.select(*keys), keys, "left_semi").select(F.col("id").alias("chunked_document_id"))

@@ -37,19 +37,28 @@ def window_range(size: int, overlap: int, skip: int, count: int) -> tuple[int, i
     return skip * step, (skip + count - 1) * step + size
 
 
+def run_error(text: Column) -> Column:
+    """Why a text should not go to a tokenizer or model; null where nothing is wrong.
+
+    Text with a run of over ``MAX_RUN`` characters without white space has lost
+    its spacing. It is an error of its own row: others are not concerned.
+    """
+    run = T.longest_run(F.coalesce(text, F.lit("")))
+    message = F.concat(F.lit("unbroken run of "), run.cast("string"), F.lit(f" characters, over {T.MAX_RUN}"))
+    return F.when(run > T.MAX_RUN, message)
+
+
 def chunk_words(docs: DataFrame, keys: list[str], text_col: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """``keys, chunk_index, n_tokens, content``: windows of words, joined by spaces.
 
-    Null and blank texts have no chunks. A run of over ``MAX_RUN`` characters
-    without white space is an error of the row that holds it. The window is an
-    expression of the row alone: no shuffle.
+    Null and blank texts have no chunks. A word may have any length; callers that
+    refuse long ones ask ``run_error`` first. The window is an expression of the
+    row alone: no shuffle.
     """
     check_window(size, overlap)
     step = size - overlap
     body = F.coalesce(F.col(text_col), F.lit(""))
-    too_long = F.raise_error(F.lit(f"unbroken run of over {T.MAX_RUN} characters")).cast("array<string>")
-    tokens = F.when(T.longest_run(body) <= T.MAX_RUN, T.words(body)).otherwise(too_long)
-    held = docs.select(*keys, tokens.alias("__tokens"))
+    held = docs.select(*keys, T.words(body).alias("__tokens"))
     n = window_count(F.size("__tokens"), size, overlap)
     windows = F.when(
         n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice("__tokens", i * step + 1, size))

@@ -99,3 +99,17 @@ def test_commands(spark, tmp_path, docs):
     lines = put(docs, "x.jsonl", '{"chunk_index": 0, "content": "a b"}\n')
     assert len(call("embed", lines)[0]["embedding"]) == 16
     assert call("remove", "papers") == [{"removed": True}]
+
+
+def test_a_refused_chunking_fails_alone(spark, tmp_path, docs):
+    put(docs, "long.txt", "z" * 100_001)
+    e = engine(spark, tmp_path)
+    counts = e.build("papers", docs)
+    assert (counts["extracted_done"], counts["chunked_done"], counts["chunked_failed"], counts["complete"]) == (4, 3, 1, True)
+    failed = e.read("chunked").where("status = 'failed'").collect()
+    assert [(r.total_chunks, r.error_message) for r in failed] == [(0, "unbroken run of 100001 characters, over 100000")]
+    assert counts["chunks"] == counts["embeddings_done"] > 3 and e.chunk(e.target("papers")) == 0
+    with pytest.raises(ValueError, match="unbroken run"):
+        run(spark, parser().parse_args(["chunk", os.path.join(docs, "long.txt")]))
+    put(docs, "long.txt", "short again")
+    assert e.build("papers", docs)["chunked_failed"] == 0

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -166,3 +167,16 @@ def test_sql_functions_agree_with_columns(spark):
     spark.createDataFrame([(1, "a b c d e"), (2, None)], "id int, t string").createOrReplaceTempView("chunk_input")
     rows = spark.sql("SELECT id, c.* FROM chunk_input, LATERAL chunk_words(t, 3, 1) c ORDER BY chunk_index").collect()
     assert [tuple(r) for r in rows] == [(1, 0, "a b c"), (1, 1, "c d e")]
+
+
+def test_a_long_run_does_not_stop_other_documents(spark, tmp_path):
+    from sparkfathom.plans import text_queries
+
+    data = [(1, "a b"), (2, "x" * 100_001 + " tail"), (3, "y" * 100_000), (4, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = text_queries.chunk_documents(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.chunk_index, r.n_tokens) for r in rows] == [(1, 0, 2), (2, 0, 2), (3, 0, 1)]
+    assert [r.content_sha256 for r in rows] == [hashlib.sha256(t.encode()).hexdigest() for _, t in data[:3]]
+    errors = docs.select("doc_id", chunking.run_error(docs["text"]).alias("e")).where("e is not null").collect()
+    assert [(r.doc_id, r.e) for r in errors] == [(2, "unbroken run of 100001 characters, over 100000")]
