@@ -65,7 +65,11 @@ DOUBT = "example|sample|dummy|version|isbn|serial|part number"
 
 RAISE, LOWER, LEAST = 0.3, 0.2, 0.5
 
-#: Code points before a span that count as near.
+#: The Spark type of what is near the spans of one kind, and of spans with scores.
+MARKS = "array<struct<start:bigint,end:bigint,up:boolean,down:boolean>>"
+SCORED = "array<struct<start:bigint,ord:int,end:bigint,kind:string,body:string,score:double>>"
+
+#: Code points before and after a span that count as near.
 NEAR = 48
 
 
@@ -148,13 +152,43 @@ def confirmed(found: Column, kind: str) -> Column:
     return found
 
 
-def score(text: Column, span: Column, kind: str) -> Column:
-    """Prior of the kind, raised or lowered by the words just before the span."""
-    start = F.greatest(span["start"] - NEAR, F.lit(0))
-    near = F.lower(F.substring(text, (start + 1).cast("int"), (span["start"] - start).cast("int")))
-    up = F.when(near.rlike(rf"(?<![a-z])(?:{CONTEXT[kind]})"), RAISE).otherwise(0.0)
-    down = F.when(near.rlike(rf"(?<![a-z])(?:{DOUBT})"), LOWER).otherwise(0.0)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(PRIOR[kind]) + up - down))
+def worth(kind: str, up: Column, down: Column) -> Column:
+    """Prior of the kind, raised or lowered by what is near."""
+    moved = F.lit(PRIOR[kind]) + F.when(up, RAISE).otherwise(0.0) - F.when(down, LOWER).otherwise(0.0)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), moved))
+
+
+def marks(text: Column, found: Column, kind: str) -> Column:
+    """``(start, end, up, down)`` of each span: whether words on either side raise or lower it."""
+
+    def mark(span: Column) -> Column:
+        start = F.greatest(span["start"] - NEAR, F.lit(0))
+        before = F.substring(text, (start + 1).cast("int"), (span["start"] - start).cast("int"))
+        after = F.substring(text, (span["end"] + 1).cast("int"), F.lit(NEAR))
+        near = F.lower(F.concat(before, F.lit("\n"), after))
+        return F.struct(
+            span["start"].alias("start"),
+            span["end"].alias("end"),
+            near.rlike(rf"(?<![a-z])(?:{CONTEXT[kind]})").alias("up"),
+            near.rlike(rf"(?<![a-z])(?:{DOUBT})").alias("down"),
+        )
+
+    return F.transform(found, mark).cast(MARKS)
+
+
+def spread(marked: Column, kind: str) -> Column:
+    """Marks where a raised span that is confirmed raises the next one of its kind, if near."""
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        gap = F.greatest(x["start"] - last["end"], last["start"] - x["end"])
+        reached = last["up"] & (worth(kind, last["up"], last["down"]) >= LEAST) & (gap <= NEAR)
+        up = x["up"] | F.coalesce(reached, F.lit(False))
+        return F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), up.alias("up"), x["down"].alias("down"))))
+
+    fold = F.aggregate(marked, F.array().cast(MARKS), lambda acc, x: step(acc, x).cast(MARKS))
+    mixed = F.exists(marked, lambda x: x["up"]) & F.exists(marked, lambda x: ~x["up"])
+    return F.when(mixed, fold).otherwise(marked)
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -175,19 +209,24 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = held(out, **{f"__pii_{k}": confirmed(F.col(f"__pii_{k}"), k) for k in KINDS})
     out = held(out, __pii_iban=apart(F.col("__pii_iban")))
 
-    def enough(kind: str) -> Column:
-        return F.filter(F.col(f"__pii_{kind}"), lambda s: score(body, s, kind) >= LEAST)
-
-    out = held(out, **{f"__pii_{k}": enough(k) for k in KINDS if k not in BASE})
-    every = F.concat(*[F.col(f"__pii_{k}") for k in KINDS])
-    base = F.concat(*[F.col(f"__pii_{k}") for k in BASE])
-    out = held(out, pii_base=F.array_sort(base), pii_all=F.array_sort(every))
-
-    def of_kind(span: Column) -> Column:
-        scored = F.lit(None).cast("double")
-        for k in KINDS:
-            scored = F.when(span["kind"] == k, score(body, span, k)).otherwise(scored)
-        return scored
-
-    out = held(out, pii_scores=F.transform("pii_all", of_kind))
-    return out.drop("__pii_text", *[f"__pii_{k}" for k in KINDS])
+    near = {k: f"__pii_{k}__near" for k in KINDS}
+    out = held(out, **{n: marks(body, F.col(f"__pii_{k}"), k) for k, n in near.items()})
+    out = held(out, **{n: F.reverse(spread(F.col(n), k)) for k, n in near.items()})
+    out = held(out, **{n: F.reverse(spread(F.col(n), k)) for k, n in near.items()})
+
+    def scored(kind: str) -> Column:
+        both = F.zip_with(
+            f"__pii_{kind}",
+            near[kind],
+            lambda s, m: F.struct(
+                *[s[c].alias(c) for c in ("start", "ord", "end", "kind", "body")],
+                worth(kind, m["up"], m["down"]).alias("score"),
+            ),
+        ).cast(SCORED)
+        return both if kind in BASE else F.filter(both, lambda s: s["score"] >= LEAST)
+
+    out = held(out, __pii_scored=F.array_sort(F.concat(*[scored(k) for k in KINDS])))
+    spans = F.transform("__pii_scored", lambda s: s.dropFields("score")).cast(S.SPANS)
+    base = F.array_sort(F.concat(*[F.col(f"__pii_{k}") for k in BASE]))
+    out = held(out, pii_base=base, pii_all=spans, pii_scores=F.transform("__pii_scored", lambda s: s["score"]))
+    return out.drop("__pii_text", "__pii_scored", *near.values(), *[f"__pii_{k}" for k in KINDS])

@@ -108,6 +108,22 @@ def test_ibans_end_where_their_country_says(spark):
         assert all(r.text[s.start : s.end] == s.body for s in found)
 
 
+def test_context_on_both_sides_and_along_a_list(spark):
+    numbers = [f"{100 + i}-45-{6000 + i}" for i in range(12)]
+    far = "x " * 40
+    cases = {
+        "123-45-6789 (SSN)": ["123-45-6789"], "123-45-6789 and nothing": [],
+        "SSN: " + ", ".join(numbers): numbers, ", ".join(numbers) + " are tax id numbers": numbers,
+        f"SSN: {numbers[0]} {far} {numbers[1]}, {numbers[2]}": numbers[:1],
+        f"{numbers[0]}, {far} {numbers[1]} ssn {numbers[2]} {far} {numbers[3]}": numbers[1:3],
+    }
+    docs = odd.table(spark, [(i, t, None, None, None) for i, t in enumerate(cases)])
+    for r in pii.find_pii(docs).select("text", "pii_all", "pii_scores").collect():
+        assert [s.body for s in r.pii_all if s.kind == "ssn"] == cases[r.text], r.text
+        assert len(r.pii_scores) == len(r.pii_all)
+        assert all(abs(x - 0.6) < 1e-9 for s, x in zip(r.pii_all, r.pii_scores, strict=True) if s.kind == "ssn")
+
+
 def test_spans_of_one_kind_stay_apart(spark):
     df = spark.createDataFrame([([(s, 4, e, "iban", "") for s, e in ((0, 5), (3, 8), (6, 9), (9, 12), (10, 13))],), ([],)], f"v {spans.SPANS}")
     got = [[(s.start, s.end) for s in r.v] for r in df.select(pii.apart(df["v"]).alias("v")).collect()]
