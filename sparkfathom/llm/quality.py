@@ -78,7 +78,7 @@ def features(text: str, words: Words) -> tuple[np.ndarray, np.ndarray]:
         times = np.fromiter(counts.values(), np.float64, len(counts))
         flags = np.fromiter((f for _, f in keys), np.int64, len(keys))
         share = lambda flag: float(times[(flags & flag) > 0].sum()) / n
-        letters = sum(map(str.isalnum, text)) if len(text) < 4096 else sum(map(len, re.findall(r"\w+", text)))
+        letters = sum(map(len, re.findall(r"[^\W_]+", text)))
         stats[:] = [
             np.log1p(n) / 5,
             sum(map(len, tokens)) / n / 8,

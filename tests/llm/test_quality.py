@@ -71,3 +71,11 @@ def test_odd_rows_and_empty_tables(spark):
 def test_sample_is_bounded(spark):
     docs, labels = corpus(spark, 300)
     assert quality.training_rows(docs, labels, 50).count() == 50
+
+
+def test_size_of_a_text_does_not_change_its_letters():
+    piece = "snake_case __init__ é漢²٣ á _ x1\n"
+    place, share = quality.STATISTICS.index("alnum"), sum(map(str.isalnum, piece)) / len(piece)
+    for times in (1, 50, 100, 150, 1000):
+        _, values = quality.features(piece * times, quality.Words())
+        assert abs(values[len(values) - len(quality.STATISTICS) + place] - share) < 1e-12
