@@ -5,36 +5,41 @@ distance of two signatures is the number of places where they differ. The
 signature is split into chunks of ``CHUNK`` places. If two signatures differ in
 at most ``DISTANCE`` places, some chunk of both differs in ``ERRORS`` at most, by
 the pigeonhole principle; enumerating the places that may be wrong (a key for
-each, without that place) makes every such pair share a key. A pair at the
-similarity threshold exceeds the distance with a probability below 1e-7.
+each, without that place) makes every such pair share a key. A pair at a
+similarity of 0.8 exceeds the distance with a probability below 1e-5.
 
 1. Texts of the same word sequence are one class and need no comparison.
-2. Buckets of one key are linked to their smallest member only, each class to the
-   one it shares most keys with; links count once confirmed on full sets.
-3. Where a bucket still holds several components, each pair of these is compared
-   in blocks on signatures, and what is close enough on full sets. After that,
-   every pair within the distance is either linked or inside one component.
-
-Before sets are compared, bitmaps of their shingles bound the similarity from
-above: a bit of one that the other lacks is a shingle that it lacks. The bound
-loses nothing and keeps most sets from moving.
-
-No pairs of a group are emitted. Links stay distributed.
+2. In rounds, every bucket of one key that still holds several components has a
+   member drawn as its hub. Each other member is compared with the hubs of its
+   buckets and linked to the likeliest once full sets confirm it; components are
+   contracted. Rounds end when few of the close hubs are confirmed.
+3. Members of different components that share a bucket meet in tiles of bounded
+   size, inside a task. First signatures and bitmaps tell which members have a
+   partner there at all; full sets of these alone come to the tile, and it
+   returns a spanning forest of its confirmed links. After that, every pair
+   within the distance is either linked or inside one component.
+
+Bitmaps of shingles bound the similarity from above: a bit of one that the other
+lacks is a shingle that it lacks. The bound loses nothing.
+
+No pairs of a group are emitted: a round gives at most one link for each class, a
+tile fewer links than it has members. Links and components stay distributed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkfathom.llm import shared
 from sparkfathom.llm.components import components
-from sparkfathom.llm.shingles import MinHash, WordHashes, digest_of, shingle_set, words_of
+from sparkfathom.llm.shingles import MinHash, digest_of, shingle_sets
 
 #: Signature places, bits of each, places in a chunk, and errors that a key allows.
 SIZE, BITS, CHUNK, ERRORS = 48, 16, 4, 1
@@ -45,12 +50,14 @@ DISTANCE = SIZE // CHUNK * (ERRORS + 1) - 1
 #: Bits of the bitmap of a set.
 MAP_BITS = 2048
 
-#: Components of a bucket, and members of a component, that meet in one task.
-TILE, BLOCK = 512, 256
+#: Members of a bucket on each side of a tile, and shingles of these, on average.
+TILE, TILE_SHINGLES = 1024, 1 << 21
 
-#: Members of a component in a bucket up to which each is compared by itself there;
-#: a larger part of a component is taken as close to all that share the bucket.
-FEW = 32
+#: Hubs that a class is compared with in a round, by the number of shared keys.
+HUBS = 3
+
+#: Rounds go on while at least one close hub in so many is confirmed.
+WORTH = 10
 
 
 def keys_of(signatures: np.ndarray) -> np.ndarray:
@@ -101,73 +108,74 @@ def first_shared_key(differ: np.ndarray) -> np.ndarray:
     return chunk * CHUNK + chunks[np.arange(len(differ)), chunk].argmax(1)
 
 
-def common_counts(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of ``left[i]`` and ``right[j]``, sets as sorted arrays.
-
-    Many pairs of few sets are one product of membership matrices if these fit.
-    """
-    if len(i) > 500:
-        both = np.concatenate([*left, *right])
-        universe, place = np.unique(both, return_inverse=True)
-        if len(universe) * (len(left) + len(right)) <= 20_000_000:
-            sizes = np.array([len(x) for x in (*left, *right)])
-            table = np.zeros((len(sizes), len(universe)), np.float32)
-            table[np.repeat(np.arange(len(sizes)), sizes), place] = 1
-            counts = table[: len(left)] @ table[len(left) :].T
-            return counts[i, j].astype(np.int64)
-    return np.array([len(np.intersect1d(left[a], right[b], True)) for a, b in zip(i, j, strict=True)], np.int64)
+def overlaps(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a set with others, all sorted and not empty."""
+    flat = np.concatenate(many)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    starts = np.cumsum([0, *(len(x) for x in many[:-1])])
+    return np.add.reduceat((one[at] == flat).astype(np.int64), starts)
 
 
 def signatures_of(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``ident, n_shingles, class (binary), signature (binary)``, text by text.
+    """``ident, n_shingles, class, signature, map`` (three binaries), text by text.
 
-    Documents without words have 0 shingles and neither class nor signature.
+    Documents without words have 0 shingles and none of the three.
     """
     given = docs.select(docs[id_col].cast("long").alias("ident"), docs[text_col].cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, minhash = WordHashes(), MinHash(SIZE)
+        minhash = MinHash(SIZE)
         for batch in batches:
-            counts, digests, signatures = [], [], []
-            for value in batch.column("text"):
-                words = words_of(value.as_py() or b"")
-                shingles = shingle_set(words, hashes, width)
+            texts = [t or b"" for t in batch.column("text").to_pylist()]
+            digests = [digest_of(t) for t in texts]
+            counts, signatures, maps = [], [], []
+            for shingles in shingle_sets(texts, width):
                 counts.append(len(shingles))
-                digests.append(digest_of(words) if words else None)
-                signatures.append(minhash.signature(shingles).tobytes() if words else None)
+                signatures.append(minhash.signature(shingles).tobytes() if len(shingles) else None)
+                maps.append(bitmap(shingles).tobytes() if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("ident"),
                     pa.array(counts, pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array(signatures, pa.binary()),
+                    pa.array(maps, pa.binary()),
                 ],
-                ["ident", "n_shingles", "class", "signature"],
+                ["ident", "n_shingles", "class", "signature", "map"],
             )
 
-    return given.mapInArrow(shared.tidy(run), "ident long, n_shingles long, class binary, signature binary")
+    return given.mapInArrow(
+        shared.tidy(run), "ident long, n_shingles long, class binary, signature binary, map binary"
+    )
 
 
-def packed_sets(
-    docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int, maps: bool
-) -> DataFrame:
-    """``(node, n, packed)`` of the wanted documents: their shingles or their bitmap.
+def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``(node, packed)``: the shingles of the wanted documents.
 
     A bounded filter of the wanted identifiers keeps other texts out of Python,
-    and only packed rows move to the exact join.
+    and only packed rows move to the exact join. Rows that repeat an identifier
+    and its text count once.
     """
     given = docs.select(docs[id_col].cast("long").alias("node"), docs[text_col].cast("binary").alias("text"))
     some = shared.maybe_among(given, wanted, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        seen = set()
         for batch in batches:
-            sets = [shingle_set(words_of(t.as_py() or b""), hashes, width) for t in batch.column("text")]
-            packed = pa.array([(bitmap(s) if maps else s).tobytes() for s in sets], pa.binary())
-            sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), sizes, packed], ["node", "n", "packed"])
-
-    return some.mapInArrow(shared.tidy(run), "node long, n long, packed binary").join(wanted, "node", "left_semi")
+            nodes, packed = [], []
+            sets = shingle_sets([t or b"" for t in batch.column("text").to_pylist()], width)
+            for node, shingles in zip(batch.column("node").to_pylist(), sets, strict=True):
+                raw = shingles.tobytes()
+                mark = (node, xxhash.xxh3_128_digest(raw))
+                if raw and mark not in seen:
+                    seen.add(mark)
+                    nodes.append(node)
+                    packed.append(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], ["node", "packed"])
+
+    made = some.mapInArrow(shared.tidy(run), "node long, packed binary").join(wanted, "node", "left_semi")
+    once = made.groupBy("node").agg(F.collect_set("packed").alias("packed"))
+    return shared.materialise(once.select("node", F.explode("packed").alias("packed")), "near-sets")
 
 
 def key_rows(classes: DataFrame) -> DataFrame:
@@ -185,8 +193,23 @@ def key_rows(classes: DataFrame) -> DataFrame:
     return made.select(F.explode("keys").alias("key"), "node")
 
 
+def likeliest_hubs(active: DataFrame, turn: int) -> DataFrame:
+    """``(a, b)``: for each node, the hubs of other components it shares most keys with.
+
+    ``active`` is ``(key, node, comp)``. The hub of a key is drawn by a hash, another
+    one each turn; a node has ``HUBS`` of them at most.
+    """
+    drawn = F.xxhash64(F.lit(turn), "node")
+    hubs = active.groupBy("key").agg(F.min(F.struct(drawn.alias("drawn"), "node", "comp")).alias("hub"))
+    apart = active.join(hubs, "key").where(F.col("comp") != F.col("hub.comp"))
+    votes = apart.groupBy("node", F.col("hub.node").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
+    most = F.sort_array(F.collect_list(F.struct("votes", F.xxhash64(F.lit(turn), "b").alias("tie"), "b")), False)
+    best = votes.groupBy("node").agg(F.slice(most, 1, HUBS).alias("best"))
+    return best.select(F.col("node").alias("a"), F.explode("best.b").alias("b"))
+
+
 def close_stars(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` that signatures and bitmaps do not rule out."""
+    """For each ``a`` the nearest ``b`` that signatures and bitmaps do not rule out."""
     side = lambda name: shape.select(
         *[F.col(c).alias(name if c == "node" else f"{name}_{c}") for c in ("node", "n", "signature", "map")]
     )
@@ -197,9 +220,11 @@ def close_stars(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
                 x, y = (unpack(frame[f"{c}_signature"], np.uint16, SIZE) for c in "ab")
                 p, q = (unpack(frame[f"{c}_map"], np.uint64, MAP_BITS // 64) for c in "ab")
                 can = may_link(p, frame["a_n"].to_numpy(), q, frame["b_n"].to_numpy(), percent)
-                yield frame.loc[can & ((x != y).sum(1) <= DISTANCE), ["a", "b"]]
+                far = (x != y).sum(1)
+                yield frame.assign(far=far).loc[can & (far <= DISTANCE), ["a", "b", "far"]]
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(shared.tidy(run), "a long, b long")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(shared.tidy(run), "a long, b long, far long")
+    return near.groupBy("a").agg(F.min(F.struct("far", "b"))["b"].alias("b"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -218,139 +243,154 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(shared.tidy(check), "a long, b long")
 
 
-def close_components(members: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of components that a bucket shows to be close.
+#: What names a tile, and what its rows carry.
+CELL, CARRIED = ["key", "kind", "ta", "tb"], ["side", "node", "comp", "n", "signature", "map"]
+TILE_TYPES = (
+    "key long, kind int, ta int, tb int, side int, node long, comp long, n long, signature binary, map binary"
+)
 
-    ``members`` has ``key, comp, n, signature, map``; a null signature stands for
-    many members of a component and is close to all others of the bucket. Two
-    members are compared only in the first bucket that they share.
-    Large buckets are cut into tiles, and tasks stream through their rows.
+
+def dealt_tiles(active: DataFrame, shape: DataFrame) -> DataFrame:
+    """The members of each bucket dealt to tiles in which all pairs of its components meet.
+
+    Members of the bucket's largest component, if they fill a tile, meet only the
+    others (``kind`` 1): what is in one component already is not compared again.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    tiles = F.ceil(F.col("k") / F.lit(TILE)).cast("int")
-    own = F.pmod(F.xxhash64("comp"), "tiles").cast("int")
-    dealt = (
-        members.join(sizes, "key")
-        .withColumn("tiles", tiles)
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select(
-            "key", F.least("own", "other").alias("ta"), F.greatest("own", "other").alias("tb"), "own", "comp", "n",
-            "signature", "map",
+    weighed = active.join(shape.select("node", "n"), "node")
+    parts = F.count(F.lit(1)) / F.lit(TILE) + F.sum("n") / F.lit(TILE_SHINGLES)
+    sizes = weighed.groupBy("key", "comp").agg(parts.alias("m"))
+    grid = sizes.groupBy("key").agg(F.sum("m").alias("k"), F.max(F.struct("m", "comp")).alias("top")).select(
+        "key",
+        "k",
+        F.when(F.col("top.m") >= 1, F.col("top.m")).otherwise(0).alias("large"),
+        F.col("top.comp").alias("large_comp"),
+    )
+    rows = (
+        active.join(grid, "key")
+        .withColumn("inside", (F.col("large") > 0) & (F.col("comp") == F.col("large_comp")))
+        .withColumns({"tl": F.ceil("large").cast("int"), "tr": F.ceil(F.greatest(F.lit(1e-9), F.col("k") - F.col("large"))).cast("int")})
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("tl")).otherwise(F.col("tr"))).cast("int"))
+    )
+    cell = lambda kind, ta, tb, side: F.struct(
+        F.lit(kind).alias("kind"), ta.alias("ta"), tb.alias("tb"), side.cast("int").alias("side")
+    )
+    own, others = F.col("own"), F.sequence(F.lit(0), F.col("tr") - 1)
+    with_large = F.when(F.col("tl") > 0, F.sequence(F.lit(0), F.col("tl") - 1)).otherwise(F.array().cast("array<int>"))
+    places = F.when(F.col("inside"), F.transform(others, lambda j: cell(1, own, j, F.lit(0)))).otherwise(
+        F.concat(
+            F.transform(others, lambda j: cell(0, F.least(own, j), F.greatest(own, j), own > j)),
+            F.transform(with_large, lambda i: cell(1, i, own, F.lit(1))),
         )
     )
-    dealt = dealt.repartition("key", "ta", "tb").sortWithinPartitions("key", "ta", "tb")
-
-    def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        own_, comp, n = (rows.column(c).to_numpy() for c in ("own", "comp", "n"))
-        raw = rows.column("signature").to_pylist()
-        many = np.array([x is None for x in raw])
-        sig = unpack([x or bytes(2 * SIZE) for x in raw], np.uint16, SIZE)
-        maps = unpack([x or bytes(MAP_BITS // 8) for x in rows.column("map").to_pylist()], np.uint64, MAP_BITS // 64)
-        number = rows.column("key")[0].as_py() >> (BITS * (CHUNK - 1))
-        ta, tb = rows.column("ta")[0].as_py(), rows.column("tb")[0].as_py()
-        first = np.flatnonzero(own_ == ta)
-        out = []
-        for i in first:
-            rest = np.arange(i + 1, len(comp)) if ta == tb else np.flatnonzero(own_ == tb)
-            differ = sig[rest] != sig[i]
-            near = (differ.sum(1) <= DISTANCE) & (first_shared_key(differ) == number)
-            near[near] = may_link(maps[i], n[i], maps[rest[near]], n[rest[near]], percent)
-            got = rest[(many[i] | many[rest] | near) & (comp[rest] != comp[i])]
-            out.append(np.stack([np.full(len(got), comp[i]), comp[got]], 1))
-        pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pairs.min(1), pairs.max(1)
+    dealt = rows.withColumn("place", F.explode(places)).select("key", "place.*", "node", "comp")
+    return dealt.join(shape, "node").select(*CELL, *CARRIED)
+
+
+def by_tile(work: Callable[[pa.Table], pa.Table | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` on the rows of one tile after the other; they come sorted, in any batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
-        def flush(table: pa.Table, last: bool) -> tuple[list, pa.Table | None]:
-            marks = np.stack([table.column(c).to_numpy() for c in ("key", "ta", "tb")], 1)
-            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1
-            ends = [*cuts.tolist(), table.num_rows] if last else cuts.tolist()
-            found, start = [], 0
-            for end in ends:
-                if end - start > 1:
-                    found.append(compare(table.slice(start, end - start)))
-                start = end
-            return found, None if last else table.slice(start)
-
-        def emit(found: list) -> Iterator[pa.RecordBatch]:
-            if found:
-                pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        def whole(table: pa.Table, last: bool) -> tuple[list[pa.Table], pa.Table]:
+            marks = np.stack([table.column(c).to_numpy() for c in CELL], 1)
+            cuts = (np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist()
+            ends = [*cuts, table.num_rows] if last else cuts
+            starts = [0, *ends]
+            return [table.slice(a, b - a) for a, b in zip(starts, ends, strict=False)], table.slice(starts[-1])
 
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            found, held = flush(pa.concat_tables([held, table]) if held is not None else table, False)
-            yield from emit(found)
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                tiles, held = whole(pa.concat_tables([held, table]) if held is not None else table, False)
+                for made in filter(None, map(work, tiles)):
+                    yield from made.to_batches()
         if held is not None and held.num_rows:
-            yield from emit(flush(held, True)[0])
+            for made in filter(None, map(work, whole(held, True)[0])):
+                yield from made.to_batches()
 
-    return dealt.mapInArrow(shared.tidy(run), "a long, b long").where("a != b").distinct()
+    return shared.tidy(run)
 
 
-def linked_components(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of components between which some link is confirmed.
+def facing(tile: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For members of a tile, the later ones that may be linked to them.
 
-    ``members`` has ``node, comp, signature, map, shingles``. The larger component of
-    each pair is cut into blocks; members of the others meet them block by block,
-    so that a set travels once for each block and not for each pair.
+    Two members are compared only in the first bucket that they share, and only
+    if they are of different components.
     """
-    counts = members.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    sized = (
-        pairs.join(counts.select(F.col("comp").alias("a"), F.col("size").alias("a_size")), "a")
-        .join(counts.select(F.col("comp").alias("b"), F.col("size").alias("b_size")), "b")
-    )
-    a_big = F.col("a_size") >= F.col("b_size")
-    faced = sized.select(
-        F.when(a_big, F.col("a")).otherwise(F.col("b")).alias("big"),
-        F.when(a_big, F.col("b")).otherwise(F.col("a")).alias("small"),
-        F.greatest("a_size", "b_size").alias("big_size"),
-        F.least("a_size", "b_size").alias("small_size"),
-    )
-    blocks = F.ceil(F.col("big_size") / F.lit(BLOCK)).cast("int")
-    against = F.ceil(F.sum("small_size") / F.lit(BLOCK)).cast("int")
-    grid = faced.groupBy("big", "big_size").agg(against.alias("rows")).withColumn("cols", blocks)
-    spread = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = (
-        members.join(grid, members["comp"] == grid["big"])
-        .withColumn("col", spread(F.col("cols")))
-        .withColumn("row", every("rows"))
-        .select("big", "row", "col", "comp", "signature", "map", "shingles")
-    )
-    right = (
-        members.join(faced.select("big", "small"), F.col("comp") == F.col("small"))
-        .join(grid.select("big", "rows", "cols"), "big")
-        .withColumn("row", spread(F.col("rows")))
-        .withColumn("col", every("cols"))
-        .select(*[F.col(c).alias(f"other_{c}") for c in ("big", "row", "col", "comp", "signature", "map", "shingles")])
+    side, comp, n = (tile.column(c).to_numpy() for c in ("side", "comp", "n"))
+    sig = unpack(tile.column("signature").to_pylist(), np.uint16, SIZE)
+    maps = unpack(tile.column("map").to_pylist(), np.uint64, MAP_BITS // 64)
+    number = tile.column("key")[0].as_py() >> (BITS * (CHUNK - 1))
+    within = tile.column("kind")[0].as_py() == 0 and tile.column("ta")[0].as_py() == tile.column("tb")[0].as_py()
+    right = np.flatnonzero(side == 1)
+    for i in range(len(comp)) if within else np.flatnonzero(side == 0):
+        rest = np.arange(i + 1, len(comp)) if within else right
+        rest = rest[comp[rest] != comp[i]]
+        differ = sig[rest] != sig[i]
+        near = differ.sum(1) <= DISTANCE
+        near[near] = first_shared_key(differ[near]) == number
+        near[near] = may_link(maps[i], n[i], maps[rest[near]], n[rest[near]], percent)
+        if near.any():
+            yield int(i), rest[near]
+
+
+def with_partners(tiles: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``tiles`` that signatures and bitmaps leave some partner in their tile."""
+
+    def work(tile: pa.Table) -> pa.Table | None:
+        some = np.zeros(tile.num_rows, bool)
+        for i, others in facing(tile, percent):
+            some[i] = some[others] = True
+        return tile.filter(pa.array(some)) if some.any() else None
+
+    sorted_ = tiles.repartition(*CELL).sortWithinPartitions(*CELL)
+    return sorted_.mapInArrow(by_tile(work), TILE_TYPES)
+
+
+def tile_links(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of components: a spanning forest of each tile's confirmed links."""
+
+    def work(tile: pa.Table) -> pa.Table | None:
+        shingles = [np.frombuffer(x.as_py(), np.uint64) for x in tile.column("packed")]
+        sizes = np.array([len(s) for s in shingles])
+        names, root = np.unique(tile.column("comp").to_numpy(), return_inverse=True)
+        tree = np.arange(len(names))
+        a, b = [], []
+        for i, others in facing(tile, percent):
+            others = others[tree[root[others]] != tree[root[i]]]
+            if len(others):
+                common = overlaps(shingles[i], [shingles[j] for j in others])
+                for j in others[100 * common >= percent * (sizes[i] + sizes[others] - common)]:
+                    x, y = tree[root[i]], tree[root[j]]
+                    if x != y:
+                        tree[tree == max(x, y)] = min(x, y)
+                        a.append(names[root[i]])
+                        b.append(names[root[j]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}) if a else None
+
+    whole = tiles.join(sets, "node").select(*CELL, *CARRIED, "packed")
+    return whole.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(by_tile(work), "a long, b long").distinct()
+
+
+def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels(node, comp)`` after ``links(a, b)`` between components."""
+    joins = components(links)
+    roots = joins.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+    made = shared.materialise(
+        labels.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "near-labels"
     )
+    shared.discard(labels, joins)
+    return made
 
-    def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        found = np.empty(0, np.int64)
-        if len(one) and len(two):
-            left_sets = [np.frombuffer(x, np.uint64) for x in one["shingles"]]
-            right_sets = [np.frombuffer(x, np.uint64) for x in two["other_shingles"]]
-            x, y = unpack(one["signature"], np.uint16, SIZE), unpack(two["other_signature"], np.uint16, SIZE)
-            p, q = (unpack(c, np.uint64, MAP_BITS // 64) for c in (one["map"], two["other_map"]))
-            m, n = np.array([len(s) for s in left_sets]), np.array([len(s) for s in right_sets])
-            i, j = [], []
-            for at in range(len(y)):
-                can = may_link(p, m, q[at], n[at], percent)
-                got = np.flatnonzero(can & ((x != y[at]).sum(1) <= DISTANCE))
-                i.append(got)
-                j.append(np.full(len(got), at))
-            i, j = np.concatenate(i), np.concatenate(j)
-            common = common_counts(left_sets, right_sets, i, j)
-            ok = 100 * common >= percent * (m[i] + n[j] - common)
-            found = np.unique(two["other_comp"].to_numpy()[j[ok]])
-        big = one["big"].iloc[0] if len(one) else 0
-        return pd.DataFrame({"a": np.full(len(found), big, np.int64), "b": found.astype(np.int64)})
-
-    ours, theirs = left.groupBy("big", "row", "col"), right.groupBy("other_big", "other_row", "other_col")
-    return ours.cogroup(theirs).applyInPandas(compare, "a long, b long").distinct()
+
+def unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(key, node, comp)`` of the buckets that hold several components."""
+    placed = shared.materialise(buckets.join(labels, "node").select("key", "node", "comp"), "near-placed")
+    keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
+    active = shared.materialise(placed.join(keys, "key", "left_semi"), "near-active")
+    shared.discard(placed)
+    return active
 
 
 def near_groups(
@@ -372,71 +412,56 @@ def near_groups(
         .agg(
             F.min("ident").alias("node"),
             F.first("signature").alias("signature"),
+            F.first("map").alias("map"),
             F.first("n_shingles").alias("n"),
             F.count(F.lit(1)).alias("rows"),
         ),
         "near-classes",
     )
 
-    # Buckets of several classes, and for each class the hub it shares most keys with.
+    # Buckets of several classes, and what is known of these classes.
     keys = key_rows(classes)
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    buckets = shared.materialise(keys.join(hubs, "key"), "near-buckets")
-    votes = buckets.where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("node").agg(F.max_by("hub", F.struct("votes", -F.col("hub"))).alias("hub"))
-    maps = packed_sets(docs, buckets.select("node").distinct(), id_col, text_col, width, True)
-    shape = shared.materialise(
-        maps.select("node", "n", F.col("packed").alias("map")).join(classes.select("node", "signature"), "node"),
-        "near-shapes",
-    )
-    stars = shared.materialise(
-        close_stars(best.select(F.col("node").alias("a"), F.col("hub").alias("b")), shape, percent), "near-stars"
-    )
-
-    def full_sets(wanted: DataFrame) -> DataFrame:
-        return shared.materialise(packed_sets(docs, wanted, id_col, text_col, width, False), "near-sets")
-
-    starred = full_sets(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    links = shared.materialise(confirmed(stars, starred, percent), "near-links")
-    labels = components(links)
-    done = [links, starred, stars, shape, buckets, classes, labels]
-
-    # What the stars left apart inside a bucket: components are compared with each other.
-    inside = buckets.select("key", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rows = inside.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
-    mixed = rows.join(several, "key", "left_semi")
-    many = mixed.where(F.col("m") > FEW).select("key", "comp", F.lit(None).cast("long").alias("node"))
-    few = inside.join(mixed.where(F.col("m") <= FEW).select("key", "comp"), ["key", "comp"], "left_semi")
-    members = (
-        few.select("key", "comp", "node").unionByName(many)
-        .join(shape, "node", "left")
-        .select("key", "comp", F.coalesce("n", F.lit(0)).alias("n"), "signature", "map")
-    )
-    close = shared.materialise(close_components(members, percent), "near-close")
-    if close.count():
-        ends = close.select(F.explode(F.array("a", "b")).alias("comp")).distinct()
-        placed = (
-            shape.join(labels, "node", "left")
-            .withColumn("comp", F.coalesce("comp", "node"))
-            .join(ends, "comp", "left_semi")
-        )
-        sets = full_sets(placed.select("node").distinct())
-        whole = placed.join(sets.select("node", F.col("packed").alias("shingles")), "node")
-        more = shared.materialise(linked_components(close, whole, percent), "near-bridges")
-        joins = components(more)
-        bridges = joins.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        done += [sets, more, joins]
-        lone = bridges.select(F.col("comp").alias("node"), F.col("comp")).join(labels, "node", "left_anti")
-        joined = labels.unionByName(lone).join(bridges, "comp", "left")
-        labels = shared.materialise(joined.select("node", F.coalesce("root", "comp").alias("comp")), "near-labels")
-        done.append(labels)
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    buckets = shared.materialise(keys.join(several, "key", "left_semi"), "near-buckets")
+    nodes = buckets.select("node").distinct()
+    shape = shared.materialise(classes.select("node", "n", "signature", "map").join(nodes, "node", "left_semi"), "near-shapes")
+    labels = shared.materialise(nodes.select("node", F.col("node").alias("comp")), "near-labels")
+
+    turn, fruitful = 0, True
+    while fruitful:
+        active = unsettled(buckets, labels)
+        stars = shared.materialise(close_stars(likeliest_hubs(active, turn), shape, percent), "near-stars")
+        close = stars.count()
+        fruitful = close > 0
+        if fruitful:
+            sets = full_sets(docs, stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), id_col, text_col, width)
+            links = shared.materialise(confirmed(stars, sets, percent), "near-links")
+            found = links.count()
+            if found:
+                comp_of = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
+                ends = links.join(comp_of("a"), "a").join(comp_of("b"), "b")
+                labels = contracted(labels, ends.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+            shared.discard(sets, links, active)
+            fruitful = found * WORTH >= close
+        shared.discard(stars)
+        turn += 1
+    if close:
+        active = unsettled(buckets, labels)
+
+    # What the hubs left apart inside a bucket.
+    tiles = shared.materialise(with_partners(dealt_tiles(active, shape), percent), "near-tiles")
+    if tiles.count():
+        sets = full_sets(docs, tiles.select("node").distinct(), id_col, text_col, width)
+        links = shared.materialise(tile_links(tiles, sets, percent), "near-links")
+        if links.count():
+            labels = contracted(labels, links)
+        shared.discard(sets, links)
 
     named = classes.join(labels, "node", "left").select(
         "class", "rows", F.coalesce("comp", "node").alias("component")
     )
     named = shared.materialise(named, "near-named")
-    shared.discard(close, *done)
+    shared.discard(tiles, active, labels, shape, buckets, classes)
     linkable = F.col("class").isNotNull() & F.col("ident").isNotNull()
     found = shared.salted_lookup(scanned.where(linkable), named, "class", "rows", "ident")
     alone = scanned.where(~linkable).select("ident", "n_shingles", F.col("ident").alias("component"))

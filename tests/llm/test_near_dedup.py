@@ -61,9 +61,7 @@ def test_odd_rows_match_brute_force(spark, width):
 
 
 def test_chains_and_bridges_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "FEW", 2)
     monkeypatch.setattr(near_dedup, "TILE", 8)
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
     data = near_texts(3, 12, 25)
     got = near_dedup.near_groups(odd.table(spark, data), width=4)
     want = brute(data, 4, 80)
@@ -120,12 +118,55 @@ def test_bitmaps_never_rule_out_a_link():
         assert ok or 100 * both < 80 * (len(a) + len(keep) - both)
 
 
-def test_common_counts_agree():
+def test_overlaps_agree():
     rng = np.random.default_rng(3)
-    sets = [np.unique(rng.integers(0, 200, 80).astype(np.uint64)) for _ in range(40)]
-    i, j = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(40)))
-    got = near_dedup.common_counts(sets, sets, i, j)
-    assert got.tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+    sets = [np.unique(rng.integers(0, 200, rng.integers(1, 80)).astype(np.uint64)) for _ in range(40)]
+    for one in sets:
+        assert near_dedup.overlaps(one, sets).tolist() == [len(np.intersect1d(one, x)) for x in sets]
+
+
+@pytest.mark.parametrize("tile", [4, 1024])
+def test_tiles_alone_find_every_link(spark, monkeypatch, tile):
+    """Without hub rounds the tiles must do all the work."""
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    monkeypatch.setattr(near_dedup, "likeliest_hubs", lambda active, turn: spark.createDataFrame([], "a long, b long"))
+    data = near_texts(4, 6, 20)
+    got = near_dedup.near_groups(odd.table(spark, data), width=5)
+    assert {r.ident: (r.n_shingles, r.component) for r in got.collect()} == brute(data, 5, 80)
+
+
+def test_a_large_group_behind_a_foreign_hub_gives_few_rows(spark, monkeypatch):
+    """Members that share keys with a text that is no copy of theirs, with the smallest identifier."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+    texts = [" ".join(base[:70] + [f"x{i}" for i in range(40)])]
+    for i in range(400):
+        copy = list(base)
+        copy[rng.randrange(100)] = f"e{i}"
+        texts.append(" ".join(copy))
+    data = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    rows = {}
+    keep = near_dedup.shared.materialise
+
+    def counting(df, name, **options):
+        made = keep(df, name, **options)
+        rows[name] = max(rows.get(name, 0), made.count())
+        return made
+
+    monkeypatch.setattr(near_dedup.shared, "materialise", counting)
+    got = near_dedup.near_groups(odd.table(spark, data), width=5)
+    assert {r.ident: (r.n_shingles, r.component) for r in got.collect()} == brute(data, 5, 80)
+    assert rows["near-stars"] <= len(data) and rows["near-links"] <= len(data)
+    assert rows["near-tiles"] <= len(data)
+
+
+def test_one_identifier_with_several_texts(spark):
+    """Rows of one identifier are one document: it may link groups that are apart."""
+    one, two = ([f"{c}{i}" for i in range(30)] for c in "ab")
+    texts = [(5, one), (5, two), (1, [*one, "end"]), (2, [*two, "end"]), (3, ["alone"])]
+    data = [(i, " ".join(t), None, None, None) for i, t in texts] * 2
+    got = near_dedup.near_groups(odd.table(spark, data)).select("ident", "component").distinct().collect()
+    assert {(r.ident, r.component) for r in got} == {(5, 1), (1, 1), (2, 1), (3, 3)}
 
 
 def test_short_and_long_signatures_are_stable():
@@ -139,3 +180,20 @@ def test_components_of_a_path_and_a_loop(spark):
     got = components.components(spark.createDataFrame(path, "a long, b long"))
     assert {r.node: r.comp for r in got.collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("width", [1, 4, 5])
+def test_shingle_sets_are_those_of_the_words(width):
+    rng = random.Random(6)
+    texts = [b"", b" \t\n", b"One", b"a B\x0bc\x0cd\r\ne f", "é　x \xa0 y".encode(), b"x" * 65 + b" " + b"x" * 64, b"x" * 5000]
+    texts += [" ".join(rng.choice(["ab", "Ab", "b", "c" * 70, "dé"]) for _ in range(rng.randrange(200))).encode() for _ in range(50)]
+    texts.append(b"long word " * 200_000)
+    names = {}
+    for text, got in zip(texts, shingles.shingle_sets(texts, width), strict=True):
+        words = text.lower().split()
+        size = min(width, len(words))
+        want = {tuple(words[k : k + size]) for k in range(len(words) - size + 1)} if words else set()
+        assert len(got) == len(want)
+        for shingle in want:  # equal shingles have equal hashes whatever the text
+            names.setdefault(shingle, set()).add(got.tobytes() if len(want) == 1 else None)
+    assert all(len(x) <= 2 for x in names.values())
