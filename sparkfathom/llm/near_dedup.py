@@ -12,7 +12,7 @@ similarity of 0.8 exceeds the distance with a probability below 1e-5.
 2. In rounds, every bucket of one key that still holds several components has a
    member drawn as its hub. Each other member is compared with the hubs of its
    buckets and linked to the likeliest once full sets confirm it; components are
-   contracted. Rounds end when few of the close hubs are confirmed.
+   contracted. Rounds go on while they save the next step enough comparisons.
 3. Members of different components that share a bucket meet in tiles of bounded
    size, inside a task. First signatures and bitmaps tell which members have a
    partner there at all; full sets of these alone come to the tile, and it
@@ -56,8 +56,9 @@ TILE, TILE_SHINGLES = 1024, 1 << 21
 #: Hubs that a class is compared with in a round, by the number of shared keys.
 HUBS = 3
 
-#: Rounds go on while at least one close hub in so many is confirmed.
-WORTH = 10
+#: Comparisons for each class, on average, that tiles may make; above that another
+#: round of hubs goes first, unless the last one has not even halved them.
+PAIRS = 1000
 
 
 def keys_of(signatures: np.ndarray) -> np.ndarray:
@@ -384,13 +385,19 @@ def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
     return made
 
 
-def unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(key, node, comp)`` of the buckets that hold several components."""
+def unsettled(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """``(key, node, comp)`` of the buckets that hold several components.
+
+    Also how many pairs of members of different components these buckets have.
+    """
     placed = shared.materialise(buckets.join(labels, "node").select("key", "node", "comp"), "near-placed")
-    keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
+    rows = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    apart = (F.pow(F.sum("m"), 2) - F.sum(F.col("m") * F.col("m"))) / 2
+    keys = shared.materialise(rows.groupBy("key").agg(apart.alias("pairs")).where("pairs > 0"), "near-keys")
     active = shared.materialise(placed.join(keys, "key", "left_semi"), "near-active")
-    shared.discard(placed)
-    return active
+    pairs = keys.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs")).first()["pairs"]
+    shared.discard(placed, keys)
+    return active, int(pairs)
 
 
 def near_groups(
@@ -427,33 +434,29 @@ def near_groups(
     shape = shared.materialise(classes.select("node", "n", "signature", "map").join(nodes, "node", "left_semi"), "near-shapes")
     labels = shared.materialise(nodes.select("node", F.col("node").alias("comp")), "near-labels")
 
-    turn, fruitful = 0, True
-    while fruitful:
-        active = unsettled(buckets, labels)
+    n_classes, turn = classes.count(), 0
+    active, pairs = unsettled(buckets, labels)
+    while pairs:
         stars = shared.materialise(close_stars(likeliest_hubs(active, turn), shape, percent), "near-stars")
-        close = stars.count()
-        fruitful = close > 0
-        if fruitful:
-            sets = full_sets(docs, stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), id_col, text_col, width)
-            links = shared.materialise(confirmed(stars, sets, percent), "near-links")
-            found = links.count()
-            if found:
-                comp_of = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
-                ends = links.join(comp_of("a"), "a").join(comp_of("b"), "b")
-                labels = contracted(labels, ends.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
-            shared.discard(sets, links, active)
-            fruitful = found * WORTH >= close
-        shared.discard(stars)
-        turn += 1
-    if close:
-        active = unsettled(buckets, labels)
+        sets = full_sets(docs, stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), id_col, text_col, width)
+        links = shared.materialise(confirmed(stars, sets, percent), "near-links")
+        if links.isEmpty():
+            break
+        comp_of = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
+        ends = links.join(comp_of("a"), "a").join(comp_of("b"), "b")
+        labels = contracted(labels, ends.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+        shared.discard(stars, sets, links, active)
+        before, turn = pairs, turn + 1
+        active, pairs = unsettled(buckets, labels)
+        if pairs <= PAIRS * n_classes or 2 * pairs > before:
+            break
 
     # What the hubs left apart inside a bucket.
     tiles = shared.materialise(with_partners(dealt_tiles(active, shape), percent), "near-tiles")
-    if tiles.count():
+    if not tiles.isEmpty():
         sets = full_sets(docs, tiles.select("node").distinct(), id_col, text_col, width)
         links = shared.materialise(tile_links(tiles, sets, percent), "near-links")
-        if links.count():
+        if not links.isEmpty():
             labels = contracted(labels, links)
         shared.discard(sets, links)
 
