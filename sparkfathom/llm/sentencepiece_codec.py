@@ -78,8 +78,9 @@ def backend(model: PieceModel, dummy_prefix: bool | None = None, cache: int = 10
     tokenizer = Tokenizer(core)
     tokenizer.normalizer = normalizers.Sequence(steps)
     strip = [decoders.Strip(" ", 1, 0)] if prefix else []
+    named = [decoders.Replace(model.pieces[unknown][0], UNKNOWN_SURFACE)] if unknown is not None else []
     tokenizer.decoder = decoders.Sequence(
-        [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip]
+        [*named, decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip]
     )
     return tokenizer
 
@@ -97,23 +98,28 @@ def parts_backend(path: str):
     return backend(piece_model.load(path), dummy_prefix=False, cache=0)
 
 
-def encoder(path: str) -> Callable[[list[str]], list[tuple[bytes, bool]]]:
-    """A function from texts to the bytes of their 32-bit ids, and their parity.
+def encoder(path: str) -> Callable[[list[str]], list[tuple[bytes, bool, bool]]]:
+    """A function from texts to the bytes of their 32-bit ids, parity and round trip.
 
     Unknown pre-tokens of all texts go to the rebuilt tokenizer in strings of
     PARTS of them, with a line feed between two, which is a byte token that
-    nothing merges with. The same strings go to the library; where ids of a
-    pre-token differ, the library's are taken and texts that hold it lose parity.
+    nothing merges with. Its ids count; the same strings go to the library and
+    the ids back through the decoder. Merges and byte sequences never cross
+    pre-tokens, so a text has parity, and comes back, if its pre-tokens do.
     The memory of pre-tokens lives as long as the function: one task.
     """
     model, library = piece_model.load(path), token_counts.processor(path)
     if not model.splits_safely():
-        whole = backend(model)
+        whole, to_texts = backend(model), decoder(path)
 
-        def whole_texts(texts: list[str]) -> list[tuple[bytes, bool]]:
-            ours = whole.encode_batch_fast(texts, add_special_tokens=False)
+        def whole_texts(texts: list[str]) -> list[tuple[bytes, bool, bool]]:
+            ours = [x.ids for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
             theirs = library.encode(texts, num_threads=1)
-            return [(np.array(b, np.int32).tobytes(), a.ids == b) for a, b in zip(ours, theirs, strict=True)]
+            back = to_texts(theirs)
+            return [
+                (np.array(b, np.int32).tobytes(), a == b, got == text.replace(MARK, " "))
+                for a, b, got, text in zip(ours, theirs, back, texts, strict=True)
+            ]
 
         return whole_texts
     parts_only = parts_backend(path)
@@ -121,32 +127,39 @@ def encoder(path: str) -> Callable[[list[str]], list[tuple[bytes, bool]]]:
     start = {"\n": np.int32(line_feed).tobytes()}
     memory: dict[str, bytes] = dict(start)
     repaired: set[str] = set()
+    lost: set[str] = set()
 
     def learn(fresh: list[str]) -> dict[str, bytes]:
         joined = ["\n".join(fresh[i : i + PARTS]) for i in range(0, len(fresh), PARTS)]
-        ours = parts_only.encode_batch_fast(joined, add_special_tokens=False)
+        ours = [x.ids for x in parts_only.encode_batch_fast(joined, add_special_tokens=False)]
         # The library puts a dummy space first: a line feed of its own shields the first part.
         theirs = library.encode(["\n" + x for x in joined], num_threads=1)
+        back = parts_only.decode_batch(ours, skip_special_tokens=False)
         known: dict[str, bytes] = {}
-        for at, (got, want) in enumerate(zip(ours, theirs, strict=True)):
+        for at, (got, want, text) in enumerate(zip(ours, theirs, back, strict=True)):
             some = fresh[at * PARTS : (at + 1) * PARTS]
-            known.update(zip(some, cut_at(want[2:], line_feed), strict=True))
-            if got.ids != want[2:]:
-                mine = zip(some, cut_at(got.ids, line_feed), strict=True)
-                repaired.update(p for p, x in mine if x != known[p])
+            known.update(zip(some, cut_at(got, line_feed), strict=True))
+            if got != want[2:]:
+                other = {p: x for p, x in zip(some, cut_at(want[2:], line_feed), strict=True) if x != known[p]}
+                repaired.update(other)
+                known.update(other)
+            if text != joined[at]:
+                lost.update(p for p in some if parts_only.decode(np.frombuffer(known[p], np.int32).tolist()) != p)
         return known
 
-    def to_ids(texts: list[str]) -> list[tuple[bytes, bool]]:
+    def to_ids(texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         split = [[p for parts in piece_model.pretokens(t) for p in parts] for t in texts]
         fresh = set(chain.from_iterable(split)).difference(memory)
         if len(memory) + len(fresh) > REMEMBERED:
             memory.clear()
             memory.update(start)
             repaired.clear()
+            lost.clear()
             fresh = set(chain.from_iterable(split)).difference(memory)
         if fresh:
             memory.update(learn(list(fresh)))
-        out = [(b"".join(map(memory.__getitem__, parts)), not repaired or repaired.isdisjoint(parts)) for parts in split]
+        free = lambda bad, parts: not bad or bad.isdisjoint(parts)
+        out = [(b"".join(map(memory.__getitem__, parts)), free(repaired, parts), free(lost, parts)) for parts in split]
         for p in fresh:
             if len(p) > LONGEST:
                 del memory[p]
@@ -156,22 +169,18 @@ def encoder(path: str) -> Callable[[list[str]], list[tuple[bytes, bool]]]:
 
 
 @shared.cached
-def decoder(path: str) -> Callable[[list[int]], str]:
-    """A function from ids to their text; byte pieces give their byte."""
-    model = piece_model.load(path)
-
-    def surface(piece: str, kind: int) -> bytes:
-        if kind == BYTE:
-            return bytes([int(piece[3:-1], 16)])
-        if kind == CONTROL:
-            return b""
-        return (UNKNOWN_SURFACE if kind == UNKNOWN else piece.replace(MARK, " ")).encode()
+def decoder(path: str) -> Callable[[list[list[int]]], list[str]]:
+    """A function from lists of ids to their texts, by the rebuilt tokenizer.
 
-    table = [surface(p, kind) for p, _, kind in model.pieces]
+    Control pieces give nothing, as in the format's own library.
+    """
+    model = piece_model.load(path)
+    whole = backend(model)
+    silent = {i for i, (_, _, kind) in enumerate(model.pieces) if kind == CONTROL}
 
-    def decode(ids: list[int]) -> str:
-        text = b"".join(map(table.__getitem__, ids)).decode(errors="replace")
-        return text[1:] if model.add_dummy_prefix and text.startswith(" ") else text
+    def decode(lists: list[list[int]]) -> list[str]:
+        heard = [ids if silent.isdisjoint(ids) else [i for i in ids if i not in silent] for ids in lists]
+        return whole.decode_batch(heard, skip_special_tokens=False)
 
     return decode
 
@@ -193,10 +202,11 @@ def groups(texts: pa.Array) -> Iterator[list[str]]:
 def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``token_ids``, ``n_tokens``, ``parity`` and ``round_trip``.
 
-    Ids are those of the sentencepiece library, without begin or end tokens;
-    ``parity`` says whether the rebuilt tokenizer gave the same. ``round_trip``
-    says whether decoding the ids gives the text again, the marker character, if
-    it occurs, read as a space. Null and empty texts have no ids and are true in
+    Ids are those of the rebuilt tokenizer, without begin or end tokens;
+    ``parity`` says whether the sentencepiece library gives the same (its ids
+    stand in for pre-tokens where it does not). ``round_trip`` says whether
+    decoding the ids gives the text again, the marker character, if it occurs,
+    read as a space. Null and empty texts have no ids and are true in
     both. Texts of any length are encoded whole. Rows are
     independent: nothing is shuffled. Columns with the new names are replaced.
     """
@@ -207,17 +217,16 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFram
     def start():
         os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
         path = piece_model.vocabulary_path(vocabulary)
-        to_ids, to_text = encoder(path), decoder(path)
+        to_ids = encoder(path)
 
         def compute(texts: pa.Array) -> list[pa.Array]:
             flat, ends, parity, same = [], [0], [], []
             for group in groups(texts):
-                for text, (raw, alike) in zip(group, to_ids(group), strict=True):
-                    ids = np.frombuffer(raw, np.int32)
+                for raw, alike, back in to_ids(group):
                     flat.append(raw)
-                    ends.append(ends[-1] + len(ids))
+                    ends.append(ends[-1] + len(raw) // 4)
                     parity.append(alike)
-                    same.append(to_text(ids.tolist()) == text.replace(MARK, " "))
+                    same.append(back)
             values = pa.array(np.frombuffer(b"".join(flat), np.int32))
             counts = pa.array(np.diff(np.array(ends, np.int64)))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
@@ -233,7 +242,14 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "token_ids", text
     names = [c for c in encoded.columns if c != text_col]
 
     def start():
-        to_text = decoder(piece_model.vocabulary_path(vocabulary))
-        return lambda rows: [pa.array([None if (x := v.as_py()) is None else to_text(x) for v in rows], pa.string())]
+        os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
+        to_texts = decoder(piece_model.vocabulary_path(vocabulary))
+
+        def compute(rows: pa.Array) -> list[pa.Array]:
+            given = rows.to_pylist()
+            texts = iter(to_texts([x for x in given if x is not None]))
+            return [pa.array([None if x is None else next(texts) for x in given], pa.string())]
+
+        return compute
 
     return shared.with_arrow_columns(encoded, names, encoded[ids_col], [T.StructField(text_col, T.StringType())], start)

@@ -49,11 +49,31 @@ def test_counts_ids_and_round_trips(path, library, monkeypatch, window):
 
     for at in range(0, len(texts()), 60):
         group = texts()[at : at + 60]
-        for text, (raw, parity) in zip(group, encode(group), strict=True):
+        for text, (raw, parity, same) in zip(group, encode(group), strict=True):
             want = library.encode(text)
             ids = np.frombuffer(raw, np.int32).tolist()
-            assert ids == want and count(text) == len(want) and parity
-            assert decode(ids) == library.decode(ids) == text.replace("▁", " ")
+            assert ids == want and count(text) == len(want) and parity and same
+            assert decode([ids])[0] == library.decode(ids) == text.replace("▁", " ")
+
+
+def test_ids_are_the_rebuilt_tokenizers_and_differences_show(path, library, monkeypatch):
+    """A library that splits one word otherwise costs that word's texts their parity alone."""
+    import numpy as np
+
+    class Other:
+        def encode(self, texts, num_threads=1):
+            return [[y for x in library.encode(t) for y in ([262, 262] if x == odd_one else [x])] for t in texts]
+
+    odd_one = library.encode("a house")[-1]
+    monkeypatch.setattr(token_counts, "processor", lambda path: Other())
+    got = sentencepiece_codec.encoder(path)(["a house here", "no such word", "mouse"])
+    assert [parity for _, parity, _ in got] == [False, True, True]
+    assert np.frombuffer(got[1][0], np.int32).tolist() == library.encode("no such word")
+
+
+def test_decoding_leaves_control_pieces_out(path, library):
+    ids = [1, *library.encode("plain words"), 2]
+    assert sentencepiece_codec.decoder(path)([ids, []]) == ["plain words", ""]
 
 
 def test_rebuilt_backend_encodes_and_decodes_whole_texts(path, library):
