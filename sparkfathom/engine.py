@@ -28,7 +28,7 @@ from sparkfathom.streaming import ingest
 SCHEMAS = {
     "documents": "id long, collection string, source_path string, file_hash string, size long, modified timestamp, status string",
     "extracted": "id long, document_id long, extractor_profile_id long, source_file_hash string, content_hash string, content string, status string, error_message string, attempts int",
-    "chunked": "id long, extracted_document_id long, chunk_profile_id long, source_content_hash string, status string, total_chunks int, error_message string",
+    "chunked": "id long, extracted_document_id long, chunk_profile_id long, source_content_hash string, status string, total_chunks int, error_message string, attempts int",
     "chunks": "chunk_id long, document_id long, chunked_document_id long, chunk_index int, content string",
     "embeddings": "chunk_id long, embedding_profile_id long, status string, error_message string",
     "vectors": "chunk_id long, embedding_profile_id long, embedding array<float>, collection string, extractor_profile_id long, chunk_profile_id long",
@@ -62,12 +62,20 @@ class Engine:
         return sinks.VersionedTable(self.spark, f"{self.root}/{name}")
 
     def read(self, name: str) -> DataFrame:
-        table = self._table(name)
-        return table.read() if table.exists() else self.spark.createDataFrame([], SCHEMAS[name])
-
-    def write(self, name: str, rows: DataFrame) -> None:
+        """The table; columns that it was written without are null."""
+        table, empty = self._table(name), self.spark.createDataFrame([], SCHEMAS[name])
+        if not table.exists():
+            return empty
+        rows = table.read()
+        return rows.select(*[c.name if c.name in rows.columns else F.lit(None).cast(c.dataType).alias(c.name) for c in empty.schema])
+
+    def write(self, name: str, rows: DataFrame, expect: str | None = None) -> None:
         kinds = self.spark.createDataFrame([], SCHEMAS[name]).schema
-        self._table(name).replace(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds]))
+        self._table(name).replace(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds]), expect=expect)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete superseded versions of all tables."""
+        return sum(self._table(name).vacuum(keep) for name in SCHEMAS)
 
     def _numbered(self, rows: DataFrame, table: str, key: str, by: str) -> DataFrame:
         """``rows`` with fresh numbers above those of the table.
@@ -166,24 +174,37 @@ class Engine:
         n = claims.count()
         if not n:
             return 0
+        # The claim is on record before the work: a run that dies leaves it in processing.
+        known = own.select("document_id", F.col("id").alias("known_id"), "source_file_hash", F.col("attempts").alias("tried"))
+        joined = claims.withColumnRenamed("id", "document_id").join(known, "document_id", "left")
+        tries = lifecycle.claimed_attempts(F.col("tried"), F.col("source_file_hash").eqNullSafe(F.col("file_hash")))
+        numbered = self._numbered(joined.withColumn("attempts", tries), "extracted", "id", "document_id")
+        path = f"{self.root}/_stage/claimed-{time.time_ns()}"
+        numbered.withColumn("id", F.coalesce("known_id", "id")).select("id", "document_id", "source_path", "file_hash", "attempts").write.parquet(path)
+        claims = self.spark.read.parquet(path)
+        null = F.lit(None).cast("string")
+        claimed = claims.select(
+            "id", "document_id", F.lit(profile).alias("extractor_profile_id"), F.col("file_hash").alias("source_file_hash"), null.alias("content_hash"),
+            null.alias("content"), F.lit("processing").alias("status"), null.alias("error_message"), "attempts",
+        )
+        self.write("extracted", table.join(claims.select("id"), "id", "left_anti").unionByName(claimed))
         roots = [r["d"] for r in claims.select(F.regexp_extract("source_path", "^(.*)/[^/]*$", 1).alias("d")).distinct().collect()]
         root = os.path.commonpath(roots) or "/"
         content = files.scan(self.spark, root, self.registry.suffixes()).join(claims.select(F.col("source_path").alias("path")), "path", "left_semi")
         texts = self.registry.extract(content).select("path", "text", "error")
         done = claims.join(texts, F.col("source_path") == F.col("path"), "left").select(
-            F.col("id").alias("document_id"),
+            "id",
+            "document_id",
             F.lit(profile).alias("extractor_profile_id"),
             F.col("file_hash").alias("source_file_hash"),
             F.when(F.col("error").isNull(), identity.content_hash(F.col("text"))).alias("content_hash"),
             F.when(F.col("error").isNull(), F.col("text")).alias("content"),
             F.when(F.col("text").isNull() | F.col("error").isNotNull(), "failed").otherwise("done").alias("status"),
             F.coalesce("error", F.when(F.col("text").isNull(), "file is missing")).alias("error_message"),
-            F.lit(1).alias("attempts"),
+            F.lit(0).alias("attempts"),
         )
-        again = own.select("document_id", F.col("id").alias("known_id"))
-        numbered = self._numbered(done.join(again, "document_id", "left"), "extracted", "id", "document_id")
         path = f"{self.root}/_stage/extracted-{time.time_ns()}"
-        numbered.withColumn("id", F.coalesce("known_id", "id")).drop("known_id").write.parquet(path)
+        done.write.parquet(path)
         rows = self.spark.read.parquet(path)
         self._drop_chunkings(rows.select(F.col("id").alias("extracted_document_id")))
         self.write("extracted", table.join(rows.select("id"), "id", "left_anti").unionByName(rows))
@@ -215,14 +236,21 @@ class Engine:
         path = f"{self.root}/_stage/chunked-{time.time_ns()}"
         made.write.parquet(path)  # pins the new numbers
         made = self.spark.read.parquet(path)
+        keys = ["extracted_document_id", "chunk_profile_id"]
+        before = mine.select(*keys, F.col("source_content_hash").alias("old_hash"), F.col("attempts").alias("tried"))
+        tries = lifecycle.claimed_attempts(F.col("tried"), F.col("old_hash").eqNullSafe(F.col("source_content_hash")))
+        claimed = made.join(before, keys, "left").select(
+            "id", *keys, "source_content_hash", F.lit("processing").alias("status"), F.lit(0).alias("total_chunks"),
+            F.lit(None).cast("string").alias("error_message"), tries.alias("attempts"),
+        )
+        self.write("chunked", chunked.join(made.select(*keys), keys, "left_anti").unionByName(claimed))
         windows = chunking.chunk_words(made.where("error is null"), ["id", "document_id"], "content", self.config.chunk.size, self.config.chunk.overlap)
         fresh = windows.select("document_id", F.col("id").alias("chunked_document_id"), "chunk_index", "content")
         counts = fresh.groupBy(F.col("chunked_document_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("total_chunks"))
         rows = made.join(counts, "id", "left").select(
             "id", "extracted_document_id", "chunk_profile_id", "source_content_hash", F.when(F.col("error").isNull(), "done").otherwise("failed").alias("status"),
-            F.coalesce("total_chunks", F.lit(0)).alias("total_chunks"), F.col("error").alias("error_message"),
+            F.coalesce("total_chunks", F.lit(0)).alias("total_chunks"), F.col("error").alias("error_message"), F.lit(0).alias("attempts"),
         )
-        keys = ["extracted_document_id", "chunk_profile_id"]
         replaced = chunked.join(made.select(*keys), keys, "left_semi").select(F.col("id").alias("chunked_document_id"))
         live = chunks.join(replaced, "chunked_document_id", "left_anti")
         self.write("chunks", live.unionByName(self._numbered(fresh, "chunks", "chunk_id", "chunked_document_id")))
@@ -247,10 +275,11 @@ class Engine:
         return self.read("chunks").join(chk, "chunked_document_id", "left_semi")
 
     def embed(self, revision: dict) -> int:
-        """Embed chunks without an embedding row; refused ones fail alone."""
+        """Embed chunks without a finished embedding row; refused ones fail alone."""
         profile = revision["embedding_profile_id"]
-        known = self.read("embeddings").where(F.col("embedding_profile_id") == profile)
-        pending = lifecycle.pending_embeddings(self._own_chunks(revision), known)
+        table = self.read("embeddings")
+        settled = table.where((F.col("embedding_profile_id") == profile) & ~F.col("status").isin(*lifecycle.UNFINISHED))
+        pending = lifecycle.pending_embeddings(self._own_chunks(revision), settled)
         n = pending.count()
         if not n:
             return 0
@@ -259,7 +288,8 @@ class Engine:
         done = self.spark.read.parquet(path)
         status = F.when(F.col("error").isNull(), "done").otherwise("failed")
         rows = done.select("chunk_id", F.lit(profile).alias("embedding_profile_id"), status.alias("status"), F.col("error").alias("error_message"))
-        self.write("embeddings", self.read("embeddings").unionByName(rows))
+        keys = ["chunk_id", "embedding_profile_id"]
+        self.write("embeddings", table.join(rows.select(*keys), keys, "left_anti").unionByName(rows))
         routed = done.where("error is null").select(
             "chunk_id", F.lit(profile).alias("embedding_profile_id"), "embedding", F.lit(revision["collection"]).alias("collection"),
             F.lit(revision["extractor_profile_id"]).alias("extractor_profile_id"), F.lit(revision["chunk_profile_id"]).alias("chunk_profile_id"),
@@ -267,17 +297,49 @@ class Engine:
         self.write("vectors", self.read("vectors").unionByName(routed))
         return n
 
+    def requeue(self, revision: dict) -> None:
+        """Let failed and interrupted work of a revision's live documents wait again."""
+        live = lifecycle.live(self._scoped(revision)).select(F.col("id").alias("document_id"))
+        ext = self.read("extracted").where(F.col("extractor_profile_id") == revision["extractor_profile_id"]).join(live, "document_id", "left_semi")
+        chk = self.read("chunked").where(F.col("chunk_profile_id") == revision["chunk_profile_id"])
+        chk = chk.join(ext.select(F.col("id").alias("extracted_document_id")), "extracted_document_id", "left_semi")
+        chunks = self.read("chunks").join(chk.select(F.col("id").alias("chunked_document_id")), "chunked_document_id", "left_semi")
+        emb = self.read("embeddings").where(F.col("embedding_profile_id") == revision["embedding_profile_id"]).join(chunks, "chunk_id", "left_semi")
+        for name, keys, rows in (
+            ("embeddings", ["chunk_id", "embedding_profile_id"], emb), ("chunked", ["id"], chk), ("extracted", ["id"], ext),
+        ):
+            stuck = rows.where(F.col("status").isin("failed", "processing"))
+            if not stuck.isEmpty():
+                again = lifecycle.requeued(stuck.select(*self.read(name).columns))
+                self.write(name, self.read(name).join(stuck.select(*keys), keys, "left_anti").unionByName(again))
+
+    def reindex(self, collection: str) -> dict:
+        """Make the chunks and vectors of a collection's working revision anew.
+
+        Extractions stay. The revision is ready again once all is done.
+        """
+        revision = self.target(collection)
+        live = lifecycle.live(self._scoped(revision)).select(F.col("id").alias("document_id"))
+        own = self.read("extracted").where(F.col("extractor_profile_id") == revision["extractor_profile_id"]).join(live, "document_id", "left_semi")
+        self._drop_chunkings(own.select(F.col("id").alias("extracted_document_id")))
+        return self.build(collection)
+
     def build(self, collection: str, directory: str | None = None) -> dict:
-        """Register, extract, chunk and embed until nothing is left; then mark ready."""
+        """Register, extract, chunk and embed until nothing is left; then mark ready.
+
+        What an earlier run left failed or unfinished is tried again, once a build.
+        """
         if directory:
             self.register(collection, directory)
         revision = self.target(collection)
+        self.requeue(revision)
         while self.extract(revision) + self.chunk(revision) + self.embed(revision):
             pass
         counts = self.counts(revision)
         if counts["complete"] and revision["status"] == "building":
             ready = F.when((F.col("id") == revision["id"]) & (F.col("status") == "building"), "ready").otherwise(F.col("status"))
             self.write("revisions", self.read("revisions").withColumn("status", ready))
+        self.vacuum()
         return counts
 
     # -- counts, promotion, upkeep -------------------------------------------------------
@@ -300,7 +362,12 @@ class Engine:
         return lifecycle.completeness(frame).first().asDict()
 
     def promote(self, collection: str, force: bool = False) -> Outcome:
-        """Make the ready revision the active one; its predecessor is retired."""
+        """Make the ready revision the active one; its predecessor is retired.
+
+        Should the revisions change while this one is judged, nothing is done and
+        the outcome is ``lost_race``.
+        """
+        seen = self._table("revisions").version()
         own = self.read("revisions").where((F.col("collection") == collection) & (F.col("status") == "ready")).orderBy(F.desc("id")).limit(1).collect()
         if not own:
             return Outcome("no_ready")
@@ -308,7 +375,10 @@ class Engine:
         counts = self.counts(revision)
         result = lifecycle.promotion_outcome("ready", counts["documents"], counts["complete"], counts["failures"], force)
         if result == "promote":
-            self.write("revisions", lifecycle.promoted(self.read("revisions"), revision["id"]))
+            try:
+                self.write("revisions", lifecycle.promoted(self.read("revisions"), revision["id"]), expect=seen)
+            except sinks.Changed:
+                return Outcome("lost_race", revision["id"])
             self.prune()
         return Outcome(result, revision["id"])
 

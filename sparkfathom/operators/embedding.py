@@ -75,7 +75,7 @@ def embed_batch(provider: Provider, texts: list[str]) -> list[tuple[list[float]
 
     def one(text: str) -> tuple[list[float] | None, str | None]:
         try:
-            parts = T.halves(text, lambda t: not over(t))
+            parts = T.fitting_parts(text, lambda t: not over(t))
             made = provider.embed(parts)
             return (made[0] if len(made) == 1 else pooled(made)), None
         except Refused as e:

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-import random
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -162,12 +160,7 @@ def shuffled(documents: DataFrame, seed: int, key: str = "id") -> DataFrame:
 def perturbed(queries: DataFrame, kind: str, seed: int) -> DataFrame:
     """Phrase queries changed in one way, with their gold labels; impossible ones go."""
     change = T.PERTURBATIONS[kind]
-
-    @F.pandas_udf("string")
-    def apply(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda q: change(q, random.Random(f"{seed}:{kind}:{q}")))
-
-    changed = queries.where("kind = 'phrase'").withColumns({"query": apply("query"), "kind": F.lit(kind)})
+    changed = queries.where("kind = 'phrase'").withColumns({"query": change(F.col("query"), seed), "kind": F.lit(kind)})
     return changed.where("query is not null")
 
 

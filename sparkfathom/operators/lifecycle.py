@@ -89,12 +89,25 @@ def stranded(chunkings: DataFrame, chunks: DataFrame, key: str = "chunked_docume
     return chunkings.where("status = 'done'").join(chunks.select(key), key, "left_anti")
 
 
+def claimed_attempts(previous: Column, same_input: Column) -> Column:
+    """Claims in a row without an end, this one included; another input starts anew."""
+    return F.when(same_input, F.coalesce(previous, F.lit(0)) + 1).otherwise(F.lit(1)).cast("int")
+
+
 def requeued(rows: DataFrame) -> DataFrame:
-    """Interrupted rows wait again, or fail once they were tried too often."""
-    stuck = F.col("status") == "processing"
-    spent = F.col("attempts") >= MAX_ATTEMPTS
-    status = F.when(stuck & spent, "failed").when(stuck, "pending").otherwise(F.col("status"))
-    return rows.withColumn("status", status)
+    """Failed and interrupted rows wait again; what was interrupted too often is given up.
+
+    Rows without ``attempts`` are never given up. A row that is given up says so in
+    ``error_message``, if the table has that column.
+    """
+    tried = F.coalesce(F.col("attempts"), F.lit(0)) if "attempts" in rows.columns else F.lit(0)
+    spent = tried >= MAX_ATTEMPTS
+    state = F.col("status")
+    status = F.when((state == "processing") & spent, "failed").when(state.isin("failed", "processing") & ~spent, "pending").otherwise(state)
+    if "error_message" not in rows.columns:
+        return rows.withColumn("status", status)
+    said = F.when((state == "processing") & spent, F.concat(F.lit("interrupted "), tried, F.lit(" times in a row"))).otherwise(F.col("error_message"))
+    return rows.withColumns({"status": status, "error_message": F.when(status != "pending", said)})
 
 
 # -- upserts and outcomes ----------------------------------------------------------------
@@ -292,7 +305,15 @@ def chosen_row(paths: DataFrame, *candidates: tuple[DataFrame, list[str]]) -> Da
 
 
 def moved(documents: DataFrame) -> DataFrame:
-    """Pairs of rows of one collection and content under different paths."""
-    a = documents.select("collection", "file_hash", F.col("id").alias("old_id"), F.col("source_path").alias("old_path"))
-    b = documents.select("collection", "file_hash", F.col("id").alias("new_id"), F.col("source_path").alias("new_path"))
-    return a.join(b, ["collection", "file_hash"]).where("old_path != new_path and old_id < new_id")
+    """Pairs of rows of one collection and content whose path changed.
+
+    Each row is paired with the next of its content by ``id``, so that a content
+    in many places gives as many pairs as rows and not their square.
+    """
+    same = Window.partitionBy("collection", "file_hash").orderBy("id")
+    following = documents.where("file_hash is not null").withColumns(
+        {"new_id": F.lead("id").over(same), "new_path": F.lead("source_path").over(same)}
+    )
+    return following.where("source_path != new_path").select(
+        "collection", "file_hash", F.col("id").alias("old_id"), F.col("source_path").alias("old_path"), "new_id", "new_path"
+    )

@@ -332,14 +332,14 @@ SELECT document_id, CASE WHEN e IS NULL THEN status ELSE 'failed' END AS status,
 
 
 def requeue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interrupted claims wait again or are given up; attempts are the lines of an order."""
+    """Failed and interrupted rows wait again or are given up; attempts are the lines of an order."""
     lines = chunked_documents(spark, sf_dir).select((F.col("extracted_document_id") / 10).cast("long").alias("document_id"), F.col("total_chunks").alias("attempts"))
     rows = extracted_documents(spark, sf_dir).join(lines, "document_id")
     return L.requeued(rows).select("document_id", "attempts", "status")
 
 
 _REQUEUE = f"""WITH {_ED}, {_CD} SELECT document_id, total_chunks AS attempts, CASE WHEN ed.status = 'processing' AND total_chunks >= 3 THEN 'failed'
-WHEN ed.status = 'processing' THEN 'pending' ELSE ed.status END AS status FROM ed JOIN cd ON cd.extracted_document_id = ed.id"""
+WHEN ed.status IN ('failed', 'processing') AND total_chunks < 3 THEN 'pending' ELSE ed.status END AS status FROM ed JOIN cd ON cd.extracted_document_id = ed.id"""
 
 
 def debounce(spark: SparkSession, sf_dir: str) -> DataFrame:

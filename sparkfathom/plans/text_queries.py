@@ -59,8 +59,9 @@ def capitalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CAPITALISED = """WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(
 regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z][A-Za-z]{2,}')))) AS token FROM documents)
-SELECT token, count(*) AS documents FROM t WHERE token NOT IN ('The','This','That','These','Those','With','From','For','And','But',
-'Our','Its','Their','Figure','Table','Section') GROUP BY token"""
+SELECT token, count(*) AS documents FROM t WHERE token NOT IN ('The','This','That','These','Those','There','Then','They','Their','We','Our',
+'It','Its','In','For','And','But','Not','All','One','Two','Table','Figure','Section','Appendix','However','Since','Thus','Here','When','While',
+'With','From','Given','Let','Note','See') GROUP BY token"""
 
 
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Sinks: keyed upserts, partition replacement, JSON output, derived tables.
 
 Parquet has no transactions. A new version of a table is written beside the old
-one and a one-row manifest, written last, says which version counts; readers see
-one or the other.
+one; then an empty file whose name holds a number and the version is created. The
+largest number counts, and files are only added until ``vacuum``, so readers see
+the old version or the new one whole. One driver writes a table at a time.
 """
 
 from __future__ import annotations
@@ -17,26 +18,32 @@ from pyspark.sql import functions as F
 from sparkfathom.operators import lifecycle
 
 
+class Changed(Exception):
+    """Another version came between reading and replacing."""
+
+
 class VersionedTable:
-    """A Parquet table under ``root`` whose manifest names the current version."""
+    """A Parquet table under ``root`` whose last manifest names the current version."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    @property
-    def manifest(self) -> str:
-        return f"{self.root}/_manifest"
+    def _fs(self, path: str) -> tuple:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), at
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+    def _manifests(self) -> list[str]:
+        """``number-version`` of every version, oldest first."""
+        fs, at = self._fs(f"{self.root}/_manifest")
+        return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
 
     def exists(self) -> bool:
-        return self._exists(self.manifest)
+        return bool(self._manifests())
 
-    def version(self) -> str:
-        return self.spark.read.json(self.manifest).first()["version"]
+    def version(self) -> str | None:
+        """The version that counts; null before the first."""
+        known = self._manifests()
+        return known[-1].split("-", 1)[1] if known else None
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.version()}")
@@ -44,11 +51,26 @@ class VersionedTable:
     def is_empty(self) -> bool:
         return not self.exists() or self.read().isEmpty()
 
-    def replace(self, rows: DataFrame, partition_by: list[str] | None = None) -> None:
+    def replace(self, rows: DataFrame, partition_by: list[str] | None = None, expect: str | None = None) -> None:
+        """Make ``rows`` the table; with ``expect``, only if that version still counts."""
         version = f"v-{uuid.uuid4().hex}"
         writer = rows.write.partitionBy(*partition_by) if partition_by else rows.write
         writer.parquet(f"{self.root}/{version}")
-        self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(self.manifest)
+        known = self._manifests()
+        if expect is not None and (not known or known[-1].split("-", 1)[1] != expect):
+            raise Changed(f"{self.root} has a newer version")
+        number = int(known[-1].split("-", 1)[0]) + 1 if known else 1
+        fs, at = self._fs(f"{self.root}/_manifest/{number:012d}-{version}")
+        fs.create(at, False).close()
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete all but the last ``keep`` versions; how many went."""
+        old = self._manifests()[: -max(keep, 1)]
+        for name in old:
+            for path in (f"{self.root}/_manifest/{name}", f"{self.root}/{name.split('-', 1)[1]}"):
+                fs, at = self._fs(path)
+                fs.delete(at, True)
+        return len(old)
 
     def append(self, rows: DataFrame) -> int:
         """Add rows that the table does not hold; how many."""

@@ -61,16 +61,14 @@ def tombstoned(documents: DataFrame, gone: DataFrame, key: str = "id") -> DataFr
 def renamed(gone: DataFrame, created: DataFrame) -> DataFrame:
     """``id, path``: rows that keep their work under a new path.
 
-    A created file takes the row of a missing one of the same content and name,
-    the oldest if there are several.
+    A created file takes the row of a missing one of the same content and name: the
+    first path the oldest row, the next path the next one.
     """
     name = lambda c: F.substring_index(F.col(c), "/", -1)
-    old = gone.select("id", "file_hash", name("path").alias("__name"))
-    new = created.select("path", "file_hash", name("path").alias("__name"))
-    pairs = old.join(new, ["file_hash", "__name"])
-    one = pairs.withColumn("__n", F.row_number().over(Window.partitionBy("path").orderBy("id")))
-    two = one.where("__n = 1").withColumn("__m", F.row_number().over(Window.partitionBy("id").orderBy("path")))
-    return two.where("__m = 1").select("id", "path")
+    place = lambda by: F.row_number().over(Window.partitionBy("file_hash", "__name").orderBy(by))
+    old = gone.select("id", "file_hash", name("path").alias("__name")).withColumn("__place", place("id"))
+    new = created.select("path", "file_hash", name("path").alias("__name")).withColumn("__place", place("path"))
+    return old.join(new, ["file_hash", "__name", "__place"]).select("id", "path")
 
 
 def skip_ledger(skips: DataFrame, order: str = "ts", kept: int = KEPT_SKIPS) -> tuple[DataFrame, DataFrame]:

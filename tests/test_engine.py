@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkfathom.__main__ import parser, run
 from sparkfathom.engine import Engine
@@ -19,8 +20,8 @@ def put(root, name, text):
 @pytest.fixture
 def docs(tmp_path):
     root = str(tmp_path / "docs")
-    put(root, "a.txt", "neural networks learn semantic vectors " * 3)
-    put(root, "b.md", "cell biology studies proteins and membranes")
+    put(root, "a.txt", "tidal gauges record harmonic tables " * 3)
+    put(root, "b.md", "lichen growth marks limestone and membranes")
     put(root, "sub/c.txt", " ".join(f"filler{i}" for i in range(60)) + " rareword at the end")
     put(root, "empty.txt", " ")
     return root
@@ -41,12 +42,12 @@ def test_build_promote_search_and_change(spark, tmp_path, docs):
     assert counts["chunks"] == counts["embeddings_done"] > 3
     assert e.promote("papers").result == "blocked_by_failures" and e.promote("papers", force=True).result == "promote"
     assert e.promote("papers").result == "no_ready"
-    assert paths(e.search("rareword"))[0] == "c.txt" and paths(e.search("cell biology proteins", 1)) == ["b.md"]
+    assert paths(e.search("rareword"))[0] == "c.txt" and paths(e.search("lichen growth limestone", 1)) == ["b.md"]
     assert all(c["ok"] for c in e.check()) and e.health() == {"ok": True, "dimension": 16, "provider": "hash"}
 
     os.rename(os.path.join(docs, "a.txt"), os.path.join(docs, "sub", "a.txt"))  # moved: keeps its work
     os.remove(os.path.join(docs, "empty.txt"))
-    put(docs, "b.md", "cell biology rewritten about enzymes")
+    put(docs, "b.md", "lichen growth rewritten about enzymes")
     before = {r.source_path: r.id for r in e.read("documents").collect()}
     assert e.register("papers", docs) == {"new": 0, "moved": 1, "deleted": 1}
     after = {os.path.basename(r.source_path): r.id for r in e.read("documents").collect() if r.status != "deleted"}
@@ -71,11 +72,11 @@ def test_build_promote_search_and_change(spark, tmp_path, docs):
 def test_collections_do_not_mix_and_nothing_is_found_in_none(spark, tmp_path, docs):
     e = engine(spark, tmp_path)
     other = str(tmp_path / "other")
-    put(other, "d.txt", "neural networks elsewhere")
+    put(other, "d.txt", "tidal gauges elsewhere")
     e.build("one", docs)
     e.build("two", other)
-    assert set(paths(e.search("neural networks", 10, ["two"]))) == {"d.txt"}
-    assert "d.txt" not in paths(e.search("neural networks", 10, ["one"]))
+    assert set(paths(e.search("tidal gauges", 10, ["two"]))) == {"d.txt"}
+    assert "d.txt" not in paths(e.search("tidal gauges", 10, ["one"]))
     assert engine(spark, tmp_path / "fresh").search("anything").count() == 0
     with pytest.raises(ValueError):
         e.search(" ")
@@ -95,7 +96,7 @@ def test_commands(spark, tmp_path, docs):
     assert call("config")[0]["chunk"]["size"] == 320
     assert len(call("extract", docs)) == 4
     chunks = call("chunk", os.path.join(docs, "b.md"))
-    assert chunks == [{"chunk_index": 0, "content": "cell biology studies proteins and membranes"}]
+    assert chunks == [{"chunk_index": 0, "content": "lichen growth marks limestone and membranes"}]
     lines = put(docs, "x.jsonl", '{"chunk_index": 0, "content": "a b"}\n')
     assert len(call("embed", lines)[0]["embedding"]) == 16
     assert call("remove", "papers") == [{"removed": True}]
@@ -113,3 +114,53 @@ def test_a_refused_chunking_fails_alone(spark, tmp_path, docs):
         run(spark, parser().parse_args(["chunk", os.path.join(docs, "long.txt")]))
     put(docs, "long.txt", "short again")
     assert e.build("papers", docs)["chunked_failed"] == 0
+
+
+def test_a_stage_that_dies_is_given_up_after_three_claims(spark, tmp_path, docs, monkeypatch):
+    e = engine(spark, tmp_path)
+
+    def dies(content):
+        raise RuntimeError("out of memory")
+
+    work = e.registry.extract
+    monkeypatch.setattr(e.registry, "extract", dies)
+    for n in (1, 2, 3):
+        with pytest.raises(RuntimeError):
+            e.build("papers", docs)
+        assert {(r.status, r.attempts) for r in e.read("extracted").collect()} == {("processing", n)}
+    monkeypatch.setattr(e.registry, "extract", work)
+    counts = e.build("papers", docs)
+    assert counts["extracted_failed"] == 4
+    assert {r.error_message for r in e.read("extracted").collect()} == {"interrupted 3 times in a row"}
+    put(docs, "b.md", "other words now")  # another content starts anew
+    assert e.build("papers", docs)["extracted_done"] == 1
+
+
+def test_failed_work_is_tried_again_and_reindex_keeps_extractions(spark, tmp_path, docs):
+    e = engine(spark, tmp_path)
+    first = e.build("papers", docs)
+    rows = e.read("embeddings")
+    e.write("embeddings", rows.withColumn("status", F.when(F.col("chunk_id") == rows.agg(F.min("chunk_id")).first()[0], "failed").otherwise(F.col("status"))))
+    assert e.build("papers")["embeddings_done"] == first["embeddings_done"]
+    before = {r.id: r.chunk_id for r in e.read("chunks").selectExpr("document_id AS id", "chunk_id").collect()}
+    stamps = {r.id: r.content_hash for r in e.read("extracted").collect()}
+    again = e.reindex("papers")
+    assert again["complete"] and again["chunks"] == first["chunks"]
+    assert {r.id: r.content_hash for r in e.read("extracted").collect()} == stamps
+    assert before.keys() == {r.document_id for r in e.read("chunks").collect()}
+
+
+def test_promotion_loses_a_race(spark, tmp_path, docs, monkeypatch):
+    e = engine(spark, tmp_path)
+    e.build("papers", docs)
+    counts = e.counts
+
+    def meanwhile(revision):
+        made = counts(revision)
+        e.write("revisions", e.read("revisions"))
+        return made
+
+    monkeypatch.setattr(e, "counts", meanwhile)
+    assert e.promote("papers", force=True).result == "lost_race"
+    monkeypatch.undo()
+    assert e.promote("papers", force=True).result == "promote"

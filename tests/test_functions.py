@@ -101,20 +101,23 @@ def test_capitalised_tokens_and_trigrams(spark):
     assert one(spark, T.trigram_similarity(F.lit("word"), F.lit("word"))) == (1.0,)
 
 
-def test_perturbations_keep_their_promises():
+def test_perturbations_keep_their_promises(spark):
     phrase = "enable planning to emerge while training"
-    for kind, change in T.PERTURBATIONS.items():
-        a, b = change(phrase, random.Random(4)), change(phrase, random.Random(4))
-        assert a == b != phrase, kind
-    assert sorted(T.reordered(phrase, random.Random(1)).split()) == sorted(phrase.split())
-    assert len(T.dropped(phrase, random.Random(1)).split()) == 5
-    assert T.dropped("two words", random.Random(1)) is None and T.reordered("same same", random.Random(1)) is None
-
-
-def test_halves_fit():
-    parts = T.halves("one two three four five six seven", lambda t: len(t) <= 9)
+    made = {k: one(spark, change(F.lit(phrase), 4), change(F.lit(phrase), 4)) for k, change in T.PERTURBATIONS.items()}
+    assert all(a == b != phrase for a, b in made.values())
+    assert sorted(made["phrase-reordered"][0].split()) == sorted(phrase.split())
+    assert len(made["phrase-dropped"][0].split()) == 5
+    typo = made["phrase-typo"][0].split()
+    assert [i for i, w in enumerate(phrase.split()) if typo[i] != w] == [1] and sorted(typo[1]) == sorted("planning")
+    drawn = {one(spark, T.reordered(F.lit(phrase), seed))[0] for seed in range(12)}
+    assert len(drawn) > 1 and all(w.split()[0] not in T.FUNCTION_WORDS and w.split()[-1] not in T.FUNCTION_WORDS for w in drawn)
+    assert one(spark, T.dropped(F.lit("two words"), 1), T.reordered(F.lit("same same"), 1), T.mistyped(F.lit("aaaa b2b2b2 cat"), 1)) == (None, None, None)
+
+
+def test_parts_fit():
+    parts = T.fitting_parts("one two three four five six seven", lambda t: len(t) <= 9)
     assert all(len(p) <= 9 for p in parts) and " ".join(parts).split() == "one two three four five six seven".split()
-    assert "".join(T.halves("x" * 40, lambda t: len(t) <= 9)) == "x" * 40
+    assert "".join(T.fitting_parts("x" * 40, lambda t: len(t) <= 9)) == "x" * 40
 
 
 @pytest.mark.parametrize(

@@ -32,8 +32,20 @@ def test_embeddings_pending_and_stranded(spark):
 
 
 def test_requeue_gives_up_after_three_attempts(spark):
-    rows = spark.createDataFrame([(1, "processing", 2), (2, "processing", 3), (3, "done", 9)], "id long, status string, attempts int")
-    assert {r.id: r.status for r in L.requeued(rows).collect()} == {1: "pending", 2: "failed", 3: "done"}
+    rows = spark.createDataFrame(
+        [(1, "processing", 2), (2, "processing", 3), (3, "done", 9), (4, "failed", 0), (5, "failed", 3), (6, "pending", None)], "id long, status string, attempts int"
+    )
+    want = {1: "pending", 2: "failed", 3: "done", 4: "pending", 5: "failed", 6: "pending"}
+    assert {r.id: r.status for r in L.requeued(rows).collect()} == want
+    bare = rows.drop("attempts").withColumn("error_message", F.lit("why"))
+    assert {r.id: (r.status, r.error_message) for r in L.requeued(bare).collect()}[5] == ("pending", None)
+    tries = spark.createDataFrame([(2, True), (2, False), (None, True)], "n int, same boolean").select(L.claimed_attempts(F.col("n"), F.col("same")).alias("x"))
+    assert [r.x for r in tries.collect()] == [3, 1, 1]
+
+
+def test_moves_grow_with_rows_and_not_their_square(spark):
+    rows = spark.range(200).selectExpr("'c' AS collection", "'same' AS file_hash", "id", "concat('/d/', id) AS source_path")
+    assert L.moved(rows).count() == 199
 
 
 def test_upsert_and_outcomes(spark):

@@ -43,8 +43,8 @@ def test_fusion_matches_brute_force(spark, lead):
 @pytest.fixture(scope="module")
 def corpus(spark):
     texts = [
-        (1, 1, "neural networks and semantic vectors", "cs"), (2, 1, "more networks", "cs"), (3, 2, "cell biology and proteins", "bio"),
-        (4, 3, "rareword occurs here in a long text about cells and other things", "bio"), (5, 4, "unvectored rareword", "bio"),
+        (1, 1, "tidal gauges with harmonic tables", "cs"), (2, 1, "further gauges", "cs"), (3, 2, "lichen growth on limestone", "bio"),
+        (4, 3, "rareword occurs here in a long text about lichen and other things", "bio"), (5, 4, "unvectored rareword", "bio"),
     ]
     vectors = [(1, [1.0, 0, 0, 0]), (2, [0.9, 0.1, 0, 0]), (3, [0, 1.0, 0, 0]), (4, [0, 0.5, 0.5, 0])]
     chunks = spark.createDataFrame([t[:3] for t in texts], "chunk_id long, document_id long, content string")
@@ -55,13 +55,13 @@ def corpus(spark):
 
 
 def test_search_returns_documents_best_chunk_first(corpus):
-    rows = Searcher(corpus).search("networks vectors", [1.0, 0.0, 0.0, 0.0], 3).orderBy("rank").collect()
+    rows = Searcher(corpus).search("gauges tables", [1.0, 0.0, 0.0, 0.0], 3).orderBy("rank").collect()
     assert [r["rank"] for r in rows] == [1, 2, 3] and len({r.document_id for r in rows}) == 3
-    assert rows[0].document_id == 1 and rows[0].content.startswith("neural") and rows[0].score == pytest.approx(1.0)
+    assert rows[0].document_id == 1 and rows[0].content.startswith("tidal") and rows[0].score == pytest.approx(1.0)
 
 
 def test_collections_are_apart(corpus):
-    rows = Searcher(corpus).search("networks", [1.0, 0.0, 0.0, 0.0], 10, ["bio"]).collect()
+    rows = Searcher(corpus).search("gauges", [1.0, 0.0, 0.0, 0.0], 10, ["bio"]).collect()
     assert {r.collection for r in rows} == {"bio"}
 
 
@@ -73,13 +73,13 @@ def test_a_rare_word_leads_and_a_chunk_without_vector_is_invisible(corpus):
 
 
 def test_typo_fallback(corpus):
-    _, other = Searcher(corpus).candidates("cell biology protiens", [0.0, 1.0, 0.0, 0.0])
+    _, other = Searcher(corpus).candidates("lichen growth limesotne", [0.0, 1.0, 0.0, 0.0])
     assert [r.document_id for r in other.collect()] == [2]
     assert other.first().distance is None and other.first().score_kind == "lexical_rank"
 
 
 def test_without_hybrid_rows_are_still_documents(corpus):
-    rows = Searcher(corpus, hybrid=False).search("networks", [1.0, 0.0, 0.0, 0.0], 10).collect()
+    rows = Searcher(corpus, hybrid=False).search("gauges", [1.0, 0.0, 0.0, 0.0], 10).collect()
     assert sorted(r.document_id for r in rows) == [1, 2, 3]
 
 

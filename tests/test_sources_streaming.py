@@ -54,6 +54,31 @@ def test_chunk_lines(spark, tmp_path):
         files.read_chunks_jsonl(spark, str(path)).collect()
 
 
+def test_readers_see_the_old_or_the_new_version(spark, tmp_path):
+    table = sinks.VersionedTable(spark, str(tmp_path / "v"))
+    table.replace(spark.range(3))
+    held, first = table.read(), table.version()
+    seen = []
+
+    class Watched:
+        """Reads the table while its next version is being written."""
+
+        def __init__(self, df):
+            self.df, self.write = df, self
+
+        def parquet(self, path):
+            seen.append(table.read().count())
+            self.df.write.parquet(path)
+            seen.append(table.read().count())
+
+    table.replace(Watched(spark.range(5)))
+    assert seen == [3, 3] and table.read().count() == 5 and held.count() == 3
+    with pytest.raises(sinks.Changed):
+        table.replace(spark.range(1), expect=first)
+    table.replace(spark.range(7), expect=table.version())
+    assert table.vacuum(1) == 2 and table.read().count() == 7 and table.vacuum(1) == 0
+
+
 def test_versioned_table(spark, tmp_path):
     table = sinks.VersionedTable(spark, str(tmp_path / "t"))
     rows = lambda *xs: spark.createDataFrame(list(xs), "chunk_id long, v int, collection string")
