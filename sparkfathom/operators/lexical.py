@@ -7,6 +7,7 @@ chunks given; fusion uses rank positions only.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame
@@ -34,6 +35,12 @@ def postings(chunks: DataFrame, analyzer: str = "simple", id_col: str = "chunk_i
     )
 
 
+def term_sets(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
+    """``term, id_col, length``: one row for each distinct term of a chunk, made inside its row."""
+    terms = chunks.select(id_col, F.explode(F.array(analysis.lexemes(F.coalesce(F.col(text_col), F.lit("")), "simple"))).alias("terms"))
+    return terms.select(id_col, F.size("terms").alias("length"), F.explode(F.array_distinct("terms")).alias("term"))
+
+
 def query_lexemes(spark, query: str, analyzer: str = "simple") -> list[str]:
     """Distinct lexemes of a query, in order of first occurrence."""
     found = spark.range(1).select(analysis.lexemes(F.lit(query), analyzer).alias("t")).first()["t"]
@@ -47,23 +54,34 @@ def needed_terms(n: int, share: float = RELAXED_SHARE, most: int = RELAXED_TERMS
     return max(1, math.ceil(share * n - 1e-9))
 
 
-def ranked_matches(chunks: DataFrame, terms: list[str], need: int, analyzer: str = "simple",
-                   id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
-    """``id_col, matched, rank``: chunks that hold ``need`` of the terms or more.
+def term_counts(chunks: DataFrame, terms: list[str], analyzer: str, id_col: str, text_col: str) -> DataFrame:
+    """``id_col, length, tfs``: lexemes of each chunk, and how often each term is one.
 
-    Counts of matches and lengths come from one pass over the lexeme arrays, with
-    no explode; the corpus facts of the rank are one row, joined by broadcast.
+    Plain lexemes are counted without making them: with each between two spaces of
+    its own, an occurrence is what a text loses when the spaced term is taken out.
     """
     # A generator of one row: a later filter is not pushed below it, where it would
-    # tokenize each text once for every mention.
-    found = analysis.lexemes(F.coalesce(F.col(text_col), F.lit("")), analyzer)
-    held = chunks.select(id_col, F.explode(F.array(found)).alias("terms"))
+    # work on each text once for every mention.
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    if analyzer != "simple":
+        held = chunks.select(id_col, F.explode(F.array(analysis.lexemes(text, analyzer))).alias("terms"))
+        tf = [F.size(F.filter("terms", lambda x, t=t: x == F.lit(t))) for t in terms]
+        return held.select(id_col, F.size("terms").alias("length"), F.array(*tf).alias("tfs"))
+    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "  ")), F.lit(" "))
+    held = chunks.select(id_col, F.explode(F.array(spaced)).alias("spaced"))
+    lost = lambda x: (F.octet_length("spaced") - F.octet_length(F.replace("spaced", F.lit(x), F.lit("")))) / len(x)
+    length = F.when(F.col("spaced") == "  ", 0).otherwise(lost("  ") + 1).cast("int")
+    return held.select(id_col, length.alias("length"), F.array(*[lost(f" {t} ").cast("int") for t in terms]).alias("tfs"))
 
-    def frequency(term: str):
-        return F.size(F.filter("terms", lambda x: x == F.lit(term)))
 
-    tf = [frequency(t) for t in terms]
-    counted = held.select(id_col, F.size("terms").alias("length"), F.array(*tf).alias("tfs"))
+def ranked_matches(chunks: DataFrame, terms: list[str], need: int, analyzer: str = "simple",
+                   id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
+    """``id_col, matched, rank``: chunks that hold ``need`` of the terms or more.
+
+    Texts are read once: lengths and term counts, some numbers a chunk, pass an
+    exchange that both the facts and the ranks use. The facts are one row.
+    """
+    counted = term_counts(chunks, terms, analyzer, id_col, text_col).repartition(id_col)
     facts = counted.agg(
         F.count(F.lit(1)).alias("n_chunks"),
         F.avg("length").alias("mean_length"),
@@ -141,8 +159,12 @@ def probe(chunks: DataFrame, scoped: DataFrame, word: str, cap: int = 20 * RARE_
     the cap it may hide some, so then every sampled document counts.
     """
     terms = query_lexemes(chunks.sparkSession, word, analyzer)
-    held = analysis.lexemes(F.coalesce(F.col(text_col), F.lit("")), analyzer)
-    every = F.size(F.array_except(F.array(*[F.lit(t) for t in terms]), held)) == 0
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    if analyzer == "simple":  # a search stops at the first occurrence
+        held = [F.lower(text).rlike(f"(?<![a-z0-9]){t}(?![a-z0-9])") for t in terms]
+        every = functools.reduce(lambda a, b: a & b, held, F.lit(True))
+    else:
+        every = F.size(F.array_except(F.array(*[F.lit(t) for t in terms]), analysis.lexemes(text, analyzer))) == 0
     sample = chunks.where(every if terms else F.lit(False)).select(id_col, doc_col).orderBy(id_col).limit(cap)
     marked = sample.join(scoped.select(id_col, F.lit(True).alias("in_scope")), id_col, "left")
     seen = F.count_distinct(F.when(F.col("in_scope"), F.col(doc_col)))

@@ -28,10 +28,9 @@ def shared_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query"), F.explode(F.array_distinct(analysis.simple_lexemes(F.col("text")))).alias("term")
     )
-    post = lexical.postings(docs, id_col="document")
-    return post.join(terms, "term").groupBy("query", "document").agg(
-        F.count(F.lit(1)).alias("shared"), F.first("length").alias("length")
-    )
+    post = lexical.term_sets(docs, id_col="document")
+    shared = post.join(terms, "term").groupBy("query", "document").agg(F.count(F.lit(1)).alias("shared"), F.first("length").alias("length"))
+    return shared.repartition("query", "document")  # what follows uses this exchange again and again
 
 
 _T = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
