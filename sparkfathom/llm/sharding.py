@@ -32,6 +32,9 @@ from sparkfathom.llm import shared
 MAX_PARTITIONS = 1 << 16
 MAX_BUCKETS = 1 << 16
 
+#: How the two tables of whole documents are written: they are read once each.
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
+
 #: Rows that a partition or a bucket should hold while those bounds allow it.
 ROWS_PER_PARTITION = 4_000
 
@@ -109,7 +112,7 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = 16, seed: int = 7) -> Dat
         F.monotonically_increasing_id().alias("row"),
         F.struct(*shared.named(*names)).alias("kept"),
     )
-    pinned = shared.materialise(numbered, "shard-rows", compression="zstd")
+    pinned = shared.materialise(numbered, "shard-rows", **PACKED)
     total = pinned.count()
     n_parts = min(MAX_PARTITIONS, max(1, -(-total // ROWS_PER_PARTITION)))
     n_buckets = min(MAX_BUCKETS, max(1, -(-total // (n_shards * ROWS_PER_PARTITION))))
@@ -132,9 +135,8 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = 16, seed: int = 7) -> Dat
         .join(F.broadcast(lines), "part")
         .select("row", "kept", shard.alias("shard"), bucket.alias("bucket"))
     )
-    sent = shared.materialise(sent, "shard-sent", compression="zstd")
+    sent = shared.materialise(sent, "shard-sent", **PACKED)
     shared.discard(pinned)
-    shared.release_shuffles(spark)
 
     # Permute again: random buckets, random order in each, offsets from counts.
     offset = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -62,17 +62,6 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the shuffle files of finished jobs go now, before the next exchange writes its own.
-
-    Spark's cleaner deletes them once the driver has collected the plans that made
-    them, which otherwise may take half an hour. Nothing depends on it: a plan that
-    is still referred to keeps its files.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 _CACHES: list = []
 
 
