@@ -136,7 +136,8 @@ class Engine:
         mine = documents.where((F.col("collection") == collection) & (F.col("status") != "deleted"))
         stored = mine.select(F.col("source_path").alias("path"), F.col("size").alias("o_size"), F.col("modified").alias("o_time"), F.col("file_hash").alias("o_hash"))
         kept = identity.reused_hash(F.col("size"), F.col("modified"), F.col("o_size"), F.col("o_time"), F.col("o_hash"))
-        hashed = F.coalesce(kept, identity.content_hash(F.col("content")))
+        unread = identity.content_hash(F.concat_ws(":", F.lit("unread"), "size", F.col("modified").cast("string")))
+        hashed = F.coalesce(kept, identity.content_hash(F.col("content")), unread)
         listing = found.join(stored, "path", "left").select("path", "size", "modified", hashed.alias("file_hash"))
         known = mine.select("id", F.col("source_path").alias("path"), "file_hash")
         gone = ingest.missing(known, listing, [directory])

@@ -65,7 +65,7 @@ def term_counts(chunks: DataFrame, terms: list[str], analyzer: str, id_col: str,
     text = F.coalesce(F.col(text_col), F.lit(""))
     if analyzer != "simple":
         held = chunks.select(id_col, F.explode(F.array(analysis.lexemes(text, analyzer))).alias("terms"))
-        tf = [F.size(F.filter("terms", lambda x, t=t: x == F.lit(t))) for t in terms]
+        tf = [F.size("terms") - F.size(F.array_remove("terms", t)) for t in terms]
         return held.select(id_col, F.size("terms").alias("length"), F.array(*tf).alias("tfs"))
     spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "  ")), F.lit(" "))
     held = chunks.select(id_col, F.explode(F.array(spaced)).alias("spaced"))

@@ -33,7 +33,7 @@ def supported(path: Column, suffixes: tuple[str, ...]) -> Column:
 
 def in_ignored_directory(path: Column, root: str) -> Column:
     """Whether a directory below the root, not the root itself, is to be passed over."""
-    below = F.replace(path, F.lit(root.rstrip("/") + "/"), F.lit(""))
+    below = F.substring(path, len(root.rstrip("/")) + 2, 1 << 30)
     parts = F.split(below, "/")
     return F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda p: p.isin(*IGNORED_DIRECTORIES))
 
@@ -49,22 +49,25 @@ def symbolic_links(root: str) -> list[str]:
 
 
 def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = TEXT_SUFFIXES, content: bool = True) -> DataFrame:
-    """``path, size, modified, content, suffix`` of the admitted files below ``root``.
+    """``path, size, modified, suffix, content`` of the admitted files below ``root``.
 
-    Content is read only where a later step uses it. Symbolic links below a local
+    Content is read only where a later step uses it, and is null for files over
+    ``MAX_FILE_BYTES``, which an extraction refuses. Symbolic links below a local
     root are refused.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     plain = F.regexp_replace("path", "^file:/*", "/")
-    kept = files.withColumn("path", plain).where(
-        supported(F.col("path"), suffixes)
-        & ~in_ignored_directory(F.col("path"), root)
-        & (F.col("length") <= MAX_FILE_BYTES)
-    )
+    size = F.col("length")
+    columns = [plain.alias("path"), size.alias("size"), F.col("modificationTime").alias("modified"), suffix_of(F.col("path")).alias("suffix")]
+    if content:  # two reads, as a file too large to read fails the read of its content
+        small = files.where(size <= MAX_FILE_BYTES).select(*columns, "content")
+        kept = small.unionByName(files.where(size > MAX_FILE_BYTES).select(*columns, F.lit(None).cast("binary").alias("content")))
+    else:
+        kept = files.select(*columns)
+    kept = kept.where(supported(F.col("path"), suffixes) & ~in_ignored_directory(F.col("path"), root))
     if links := symbolic_links(root):
         kept = kept.join(spark.createDataFrame([(x,) for x in links], "path string"), "path", "left_anti")
-    columns = ["path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), suffix_of(F.col("path")).alias("suffix")]
-    return kept.select(*columns, *(["content"] if content else []))
+    return kept
 
 
 def plain_text(content: Column) -> Column:
@@ -93,7 +96,9 @@ def pdf_extractor(layout: bool = False) -> Extractor:
         except ImportError as missing:
             raise RuntimeError("PDF extraction needs the optional pymupdf package") from missing
         with pymupdf.open(stream=content, filetype="pdf") as pages:
-            return "\n".join(page.get_text("blocks" if layout else "text") for page in pages)
+            if layout:  # a block is a tuple whose fifth member is its text
+                return "\n\n".join(block[4].strip() for page in pages for block in page.get_text("blocks"))
+            return "\n".join(page.get_text() for page in pages)
 
     return extract
 
@@ -128,8 +133,12 @@ class Registry:
 
         Plain text stays in the JVM. Others run in Python workers, apart from the
         JVM and from each other; what one file raises is its error alone. Empty
-        text is an error.
+        text is an error, and so is null content.
         """
+        refused = files.where("content IS NULL").withColumns(
+            {"text": F.lit(None).cast("string"), "error": F.lit(f"file is over {MAX_FILE_BYTES} bytes")}
+        )
+        files = files.where("content IS NOT NULL")
         picks = {s: self.resolve(s, (chosen or {}).get(s)) for s in self.by_suffix}
         plain = [s for s, (_, f) in picks.items() if f is None]
         others = {s: f for s, (_, f) in picks.items() if f is not None}
@@ -154,6 +163,7 @@ class Registry:
 
             rest = files.where(F.col("suffix").isin(*others)).mapInPandas(run, schema)
             done = done.unionByName(rest)
+        done = done.unionByName(refused)
         blank = F.col("error").isNull() & (F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")) == "")
         return done.drop("content").withColumn("error", F.when(blank, F.lit("extraction is empty")).otherwise(F.col("error")))
 

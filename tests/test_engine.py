@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sparkfathom.__main__ import parser, run
 from sparkfathom.engine import Engine
 from sparkfathom.operators import embedding
+from sparkfathom.sources import files
 from sparkfathom.sources.config import ChunkConfig, Config
 
 
@@ -164,3 +165,11 @@ def test_promotion_loses_a_race(spark, tmp_path, docs, monkeypatch):
     assert e.promote("papers", force=True).result == "lost_race"
     monkeypatch.undo()
     assert e.promote("papers", force=True).result == "promote"
+
+
+def test_a_file_that_is_too_large_is_refused_with_its_reason(spark, tmp_path, docs, monkeypatch):
+    monkeypatch.setattr(files, "MAX_FILE_BYTES", 200)
+    e = engine(spark, tmp_path)
+    counts = e.build("papers", docs)
+    assert (counts["documents"], counts["extracted_done"], counts["extracted_failed"], counts["complete"]) == (4, 2, 2, True)
+    assert "file is over 200 bytes" in {r.error_message for r in e.read("extracted").collect()}

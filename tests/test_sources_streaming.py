@@ -175,3 +175,11 @@ def test_canary_verdicts(spark):
     assert E.canary(stored, stored) == "identical"
     assert E.canary(stored, table(("a", [1.0, 0.01]), ("b", [0.0, 1.0]))) == "scheduling"
     assert E.canary(stored, table(("a", [0.5, 0.5]), ("b", [0.0, 1.0]))) == "semantic"
+
+
+def test_ignored_directories_below_any_root(spark):
+    rows = spark.createDataFrame([("/a/.git/x.txt",), ("/a/b/x.txt",), ("/.git/a/x.txt",)], "path string")
+    seen = lambda root: [r.x for r in rows.select(files.in_ignored_directory(F.col("path"), root).alias("x")).collect()]
+    assert seen("/") == [True, False, True] and seen("/a")[:2] == [True, False]
+    below = spark.createDataFrame([("/.git/a/x.txt",)], "path string")
+    assert not below.select(files.in_ignored_directory(F.col("path"), "/.git")).first()[0]
