@@ -16,6 +16,7 @@ blocks of a last pass, the final one cut short.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,8 @@ WEIGHTS = (5, 2, 1)
 #: A source gives no more than so many times its words.
 MOST = 3
 
-#: Documents of a source whose places one task computes, and the most buckets.
-ROWS_PER_BUCKET, MAX_BUCKETS = 1_000, 4096
+#: Rows that a bucket holds at least: beyond its square, rows and buckets grow alike.
+ROWS_PER_BUCKET = 1_000
 
 #: Slots that one task maps.
 SLOTS_PER_TASK = 50_000
@@ -221,6 +222,15 @@ def slots_of(spark, plan: Plan) -> DataFrame:
     return spark.range(0, total, 1, max(1, -(-total // SLOTS_PER_TASK))).mapInPandas(shared.tidy(run), schema)
 
 
+def buckets_for(rows: int) -> int:
+    """Buckets in which running sums of ``rows`` are made.
+
+    One task sums a bucket's rows and another one a source's buckets, so neither
+    number may outgrow the square root of all rows.
+    """
+    return max(1, min(-(-rows // ROWS_PER_BUCKET), math.isqrt(rows)))
+
+
 def packed(docs: DataFrame, plan: Plan) -> DataFrame:
     """``docs`` with ``src``, ``bucket``, ``row`` and ``first``, the place of its first word.
 
@@ -231,8 +241,9 @@ def packed(docs: DataFrame, plan: Plan) -> DataFrame:
     spark = docs.sparkSession
     names = spark.createDataFrame([(name, i) for i, name in enumerate(plan.sources)], "source string, src int")
     rows = docs.count()
-    n_buckets = min(MAX_BUCKETS, max(1, -(-rows // ROWS_PER_BUCKET)))
-    keyed = docs.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "ident", "tie"), F.lit(n_buckets)).cast("int"))
+    keyed = docs.withColumn(
+        "bucket", F.pmod(F.xxhash64(F.lit(SEED), "ident", "tie"), F.lit(buckets_for(rows))).cast("int")
+    )
     named = keyed.alias("d").join(
         F.broadcast(names.alias("n")), F.col("d.source").eqNullSafe(F.col("n.source"))
     ).select("d.*", "n.src")

@@ -41,6 +41,13 @@ def test_permutation_is_one_to_one_and_inverts(n):
     assert (mixing.permutation(p, size, key, inverse=True) == j).all()
 
 
+def test_buckets_and_their_rows_stay_below_the_root_of_all_rows():
+    for rows in (0, 1, 5, 999, 10**3, 10**6, 10**9, 5 * 10**10):
+        n = mixing.buckets_for(rows)
+        assert n >= 1 and n * n <= max(rows, 1)
+        assert rows / n <= max(mixing.ROWS_PER_BUCKET, rows**0.5 * 1.01)
+
+
 def test_plan_gives_each_source_its_words():
     rng = random.Random(1)
     for _ in range(100):
