@@ -297,8 +297,9 @@ def taken_by_document(docs: DataFrame) -> DataFrame:
     """``ident, size, source_size, target, taken`` of each row of ``docs(ident, source, size, tie)``.
 
     Null identifiers and sources are values like others (null is the last
-    source); repeated rows each count. No document gives more than MOST times
-    its words. The same rows give the same mix.
+    source); repeated rows each count. Rows of equal ``ident``, ``size`` and
+    ``tie`` are alike: which of them gives more is open, what they give is not. No
+    document gives more than MOST times its words. The same rows give the same mix.
     """
     spark = docs.sparkSession
     base = shared.materialise(docs.select("ident", "source", "size", "tie"), "mix-docs")
