@@ -7,13 +7,15 @@
   the Parquet footer (level 0);
 * compaction merges all runs of a level by digest, keeping the smallest (or
   largest) identifier, and writes the next level, sorted and filtered again;
-* looking up a document is a join by digest. A hit is only a proposal until its
-  bytes are compared with those of the document that stays.
+* compaction also writes a filter of the digests that occur more than once. Looking
+  up a row probes that filter first: a row it rules out is alone and needs no join.
+  The others meet their entry in a join by digest. A hit is only a proposal until
+  its bytes are compared with those of the document that stays.
 
 Everything runs in DataFrame functions. Partial aggregation folds a hot digest
 before the shuffle; where rows must meet their entry, hot digests (at most
-``shared.HOT_SHARE`` of them) are salted. Texts move only for documents that pass a
-bounded filter of repeated digests.
+``shared.HOT_SHARE`` of them) are salted. Digests and texts move only for documents
+that pass the bounded filter of repeated digests.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ class LsmIndex:
         self.spark, self.keep = spark, keep
         self.runs: list[DataFrame] = []
         self.level: DataFrame | None = None
+        self.repeated: DataFrame | None = None
 
     def flush(self, rows: DataFrame) -> DataFrame:
         """Write ``rows(digest, ident)`` as sorted level-0 runs and return them."""
@@ -64,12 +67,24 @@ class LsmIndex:
             "lsm-l1",
             **{"parquet.bloom.filter.enabled#digest": "true"},
         )
+        self.repeated = shared.materialise(shared.bitmap(self.level.where("n > 1"), "digest"), "lsm-filter")
         self.runs = []
         return self.level
 
-    def lookup(self, rows: DataFrame, salt_by: str) -> DataFrame:
-        """``rows(digest, ...)`` with ``n`` and ``keep_id`` of their entry, hot digests salted."""
-        return shared.salted_lookup(rows, self.level, "digest", "n", salt_by)
+    def hits(self, rows: DataFrame) -> DataFrame:
+        """Rows whose digest may be repeated in the level; all others are alone in it."""
+        return shared.flagged(rows, self.repeated, "digest", "__hit").where("__hit").drop("__hit")
+
+    def lookup(self, rows: DataFrame) -> DataFrame:
+        """Flushed ``rows(digest, ident)`` with ``n`` and ``keep_id`` of their entry.
+
+        Rows and entries that the filter rules out take no part in the join; hot
+        digests are salted.
+        """
+        probed = shared.flagged(rows, self.repeated, "digest", "__hit")
+        alone = probed.where("not __hit").select("digest", "ident", F.lit(1).cast("long").alias("n"), F.col("ident").alias("keep_id"))
+        met = shared.salted_lookup(self.hits(rows), self.hits(self.level), "digest", "n", "ident")
+        return met.select("digest", "ident", "n", "keep_id").unionByName(alone)
 
 
 def digest_of(text: Column, bits: int = 256) -> Column:
@@ -100,10 +115,10 @@ def exact_groups(
     ).withColumn("digest", digest_of(F.col("body"), bits))
     index = LsmIndex(spark, keep)
     rows = index.flush(base)
-    entries = index.compact()
+    index.compact()
 
-    collided = unequal(base, entries)
-    looked_up = index.lookup(rows, "ident")
+    collided = unequal(index.hits(base))
+    looked_up = index.lookup(rows)
     if not collided.count():
         return looked_up.select("ident", "digest", "keep_id", F.col("n").alias("group_size"))
     pick = F.min if keep == "min" else F.max
@@ -119,15 +134,14 @@ def exact_groups(
     )
 
 
-def unequal(base: DataFrame, entries: DataFrame) -> DataFrame:
-    """Digests whose members differ in bytes.
+def unequal(hits: DataFrame) -> DataFrame:
+    """Digests of ``hits(digest, body)`` whose members differ in bytes.
 
     All members are equal if the least and the greatest of their texts are. Each
     task folds its own members first, so a hot digest ships two texts a task.
     """
     return (
-        shared.maybe_among(base, entries.where("n > 1").select("digest"), "digest")
-        .groupBy("digest")
+        hits.groupBy("digest")
         .agg(F.min("body").alias("least"), F.max("body").alias("greatest"))
         .where("least != greatest")
         .select("digest")
@@ -140,14 +154,12 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Columns and their order stay. A row with a null identifier stays only if no
     row of its group has one; rows that repeat the kept identifier all stay.
     """
-    ident, digest = "__exact_ident", "__exact_digest"
     body = shared.lower_ascii(F.coalesce(docs[text_col], F.lit("")))
-    gone = (
+    gone = shared.materialise(
         exact_groups(docs, id_col, text_col, keep)
         .where(~F.col("ident").eqNullSafe(F.col("keep_id")))
-        .select(F.col("ident").alias(ident), F.col("digest").alias(digest))
-        .distinct()
+        .select("ident", "digest")
+        .distinct(),
+        "exact-gone",
     )
-    keyed = docs.withColumns({digest + "_of": digest_of(body), ident + "_of": docs[id_col].cast("long")})
-    same = (keyed[digest + "_of"] == gone[digest]) & keyed[ident + "_of"].eqNullSafe(gone[ident])
-    return keyed.join(gone, same, "left_anti").select(*shared.named(*docs.columns))
+    return shared.without(docs, gone, {"ident": docs[id_col].cast("long"), "digest": digest_of(body)})

@@ -122,24 +122,48 @@ def _bit(key: str) -> Column:
     return F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({key}), 32), 64) as int))")
 
 
+def _word(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS)).cast("int")
+
+
+def bitmap(wanted: DataFrame, key: str) -> DataFrame:
+    """``(__word, __bits)``: a filter of the keys in ``wanted``.
+
+    It has ``FILTER_WORDS`` rows at most, whatever the input, so it may be broadcast.
+    """
+    return wanted.select(_word(key).alias("__word"), _bit(key).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+
+
+def flagged(rows: DataFrame, bits: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with a boolean ``name``: false only if ``key`` is certainly not in the filter."""
+    hit = F.coalesce(_bit(key).bitwiseAND(F.col("__bits")) != 0, F.lit(False))
+    joined = rows.withColumn("__word", _word(key)).join(F.broadcast(bits), "__word", "left")
+    return joined.withColumn(name, hit).drop("__word", "__bits")
+
+
 def maybe_among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` may be in ``wanted``; those left out certainly are not.
 
-    The filter is a bitmap of ``FILTER_WORDS`` rows at most, whatever the input,
-    so it may be broadcast. It only spares work: an exact join follows it.
+    The filter only spares work: an exact join follows it.
+    """
+    return flagged(rows, bitmap(wanted, key), key, "__maybe").where("__maybe").drop("__maybe")
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """``docs`` without the rows whose ``keys`` equal those of a row of ``gone``, null-safe.
+
+    ``keys`` gives, for each column of ``gone``, the expression over ``docs`` that it
+    is compared with. Rows that the filter of ``gone`` rules out stay where they are:
+    only the others, nearly all of them rows that go, take part in the exact join.
     """
-    word = F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS)).cast("int")
-    bitmap = (
-        wanted.select(word.alias("__word"), _bit(key).alias("__bit"))
-        .groupBy("__word")
-        .agg(F.bit_or("__bit").alias("__bits"))
-    )
-    return (
-        rows.withColumn("__word", word)
-        .join(F.broadcast(bitmap), "__word")
-        .where(_bit(key).bitwiseAND(F.col("__bits")) != 0)
-        .drop("__word", "__bits")
-    )
+    own = {f"__of_{n}": c for n, c in keys.items()}
+    keyed = docs.withColumns(own).withColumn("__key", F.xxhash64(*own))
+    bits = bitmap(gone.select(F.xxhash64(*keys).alias("__key")), "__key")
+    parted = flagged(keyed, bits, "__key", "__maybe")
+    same = [F.col(f"__of_{n}").eqNullSafe(gone[n]) for n in keys]
+    stay = parted.where("not __maybe").select(*named(*docs.columns))
+    doubtful = parted.where("__maybe").join(gone, same, "left_anti").select(*named(*docs.columns))
+    return stay.unionByName(doubtful)
 
 
 def salted_lookup(rows: DataFrame, entries: DataFrame, key: str, count_col: str, salt_by: str) -> DataFrame:
