@@ -480,5 +480,5 @@ def drop_near_copies(
     identifier stay; rows that repeat a kept identifier all stay.
     """
     groups = near_groups(docs, id_col, text_col, width, percent)
-    gone = shared.materialise(groups.where("ident != component").select(F.col("ident").alias("__gone")).distinct(), "near-gone")
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    gone = shared.materialise(groups.where("ident != component").select("ident").distinct(), "near-gone")
+    return shared.without(docs, gone, {"ident": docs[id_col].cast("long")})
