@@ -51,13 +51,16 @@ PARTS = (
 ).split()
 
 
-def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
+def labelled_samples(spark: SparkSession, n: int = SAMPLES, first: int = 0) -> DataFrame:
     """``(text, random)``: random strings and ordinary identifiers, ``n`` of each.
 
+    Samples are numbered; ``first`` is the number of the first one, so that others
+    than those of the training can be drawn.
+
     Random strings are digests in base 64 or hexadecimal; identifiers join words
     in camel case, with underscores or hyphens, some with a number at the end.
     """
-    ids = spark.range(n)
+    ids = spark.range(first, first + n)
     digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 256)
     randoms = ids.select(
         F.when(F.col("id") % 4 == 0, F.substring(digest, 1, 40))
@@ -95,7 +98,7 @@ def train(samples: DataFrame) -> list[float]:
     pairs = (
         samples.where("text is not null and random is not null")
         .select("random", chars.alias("cs"))
-        .select("random", F.explode(F.arrays_zip(F.col("cs").alias("a"), F.slice("cs", 2, 1 << 20).alias("b"))).alias("p"))
+        .select("random", F.explode(F.arrays_zip(F.col("cs").alias("a"), F.slice("cs", 2, F.size("cs")).alias("b"))).alias("p"))
         .where("p.a is not null and p.b is not null")
     )
     both = lambda label: F.count_if(F.col("random") == F.lit(label))

@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from sparkfathom.llm import exact_dedup
+from sparkfathom.llm import exact_dedup, shared
 
 from . import odd
 
@@ -69,3 +69,20 @@ def test_one_group_of_a_third(spark):
     got = exact_dedup.exact_groups(docs, keep="max")
     assert got.where("group_size = 1000 and keep_id = 2997").count() == 1000
     assert got.where("group_size = 1 and keep_id = ident").count() == 2000
+
+
+def test_without_is_null_safe_and_keeps_columns(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a"), (2, None), (2, None), (3, "c")], "`ident` long, `a.b` string")
+    gone = spark.createDataFrame([(1, "a"), (None, "a"), (2, None), (9, "z")], "ident long, digest string")
+    kept = shared.without(docs, gone, {"ident": docs["ident"], "digest": docs["`a.b`"]})
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, "b"), (3, "c")]
+    none = shared.without(docs, gone.limit(0), {"ident": docs["ident"], "digest": docs["`a.b`"]})
+    assert none.count() == 6
+
+
+def test_the_filter_never_rules_out_a_wanted_key(spark):
+    rows = spark.range(20_000).select(F.col("id").cast("string").cast("binary").alias("digest"), "id")
+    bits = shared.bitmap(rows.where("id % 10 = 0"), "digest")
+    found = shared.flagged(rows, bits, "digest", "hit")
+    assert found.where("id % 10 = 0 and not hit").isEmpty() and found.count() == 20_000
+    assert found.where("hit").count() < 2200
