@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkfathom.llm import (
     exact_dedup,
+    filter_audit,
     mixing,
     near_dedup,
     nearest,
@@ -18,7 +19,9 @@ from sparkfathom.llm import (
     sentencepiece_codec,
     sharding,
     shared,
+    site_text,
     spans,
+    spelling,
     token_counts,
 )
 
@@ -156,6 +159,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every step of every order of five filters, with Shapley values."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    return filter_audit.audit_filters(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the corpus with the commoner words that they are variants of."""
+    return spelling.variants_of(documents(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_site_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, without what its site repeats."""
+    return site_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 #: Every pair that shares a shingle, its similarity, and what each document reaches.
 _OP2_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS t FROM documents),
@@ -171,6 +190,60 @@ c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
 SELECT g.doc_id, len(gs)::BIGINT AS n_shingles, component_id, g.doc_id = component_id AS kept FROM g JOIN c USING (doc_id)
 """
 
+_WORDS = "regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')"
+
+#: The outcome of each document under each prefix of each order, counted by part.
+_OP11_SQL = f"""
+WITH l AS (SELECT doc_id, bool_or(quality IS NOT DISTINCT FROM 1) AS good, bool_or(toxic IS NOT DISTINCT FROM 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {_WORDS} AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        [len(ws) < 50, 100 * list_unique(ws) < 65 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+         regexp_matches(t, '[#$%&*|]'), coalesce(least < w.doc_id, false)] AS fails
+      FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+x AS (SELECT unnest(range(1, 6)) AS f),
+o AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM x a, x b, x c, x d, x e
+      WHERE a.f <> b.f AND a.f <> c.f AND a.f <> d.f AND a.f <> e.f AND b.f <> c.f AND b.f <> d.f AND b.f <> e.f AND c.f <> d.f AND c.f <> e.f AND d.f <> e.f),
+s AS (SELECT part, o, i, n, good, toxic, fails[o[i]] AS here, list_bool_or(list_transform(range(1, i), lambda k: fails[o[k]])) AS gone,
+        len(list_filter(fails, lambda z: z)) = 1 AND fails[o[i]] AS alone
+      FROM c, o, (SELECT f AS i FROM x)),
+r AS (SELECT part, o, i, array_to_string(list_transform(o, lambda k: substr('ABCDE', k, 1)), '') AS filter_order, i AS step,
+        coalesce(sum(n) FILTER (NOT here AND NOT coalesce(gone, false)), 0) AS kept, coalesce(sum(n) FILTER (here AND NOT coalesce(gone, false)), 0) AS removed,
+        coalesce(sum(n) FILTER (here AND coalesce(gone, false)), 0) AS redundant, coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (here AND NOT coalesce(gone, false)), 0) AS good_lost, coalesce(sum(toxic) FILTER (here AND NOT coalesce(gone, false)), 0) AS toxic_lost
+      FROM s GROUP BY part, o, i)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, o[i]))::BIGINT AS shapley FROM r
+"""
+
+#: CRC-32 by its table, then the words; pairs by what is left without one code point.
+_OP12_SQL = f"""
+WITH RECURSIVE t0 AS (SELECT i, i AS c, 0 AS k FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM t0 WHERE k < 8),
+t AS (SELECT list(c ORDER BY i) AS crc FROM t0 WHERE k = 8),
+r AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+u AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT doc_id, run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id || ':' || run, ''),
+        lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192::BIGINT + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END))),
+        lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1]))) AS h FROM u, t),
+v AS (SELECT n, CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM v WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+q AS (SELECT word, n, left(word, i - 1) || '*' || substr(word, i + 1) AS mask FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INTEGER AS i FROM w)),
+e AS (SELECT word, n, unnest(list_distinct(list_transform(range(1, length(word) + 1), lambda i: left(word, i::INTEGER - 1) || substr(word, i::INTEGER + 1)))) AS less FROM w),
+p AS (SELECT a.word, b.word AS near, b.n FROM q a JOIN q b ON a.mask = b.mask AND a.word <> b.word
+      UNION ALL SELECT e.word, w.word, w.n FROM e JOIN w ON e.less = w.word
+      UNION ALL SELECT w.word, e.word, e.n FROM e JOIN w ON e.less = w.word),
+a AS (SELECT word, count(*) AS n_near, max(n) AS top FROM p GROUP BY word),
+b AS (SELECT p.word, top, n_near, min(near) FILTER (p.n = top) AS best FROM p JOIN a USING (word) GROUP BY ALL),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * w.n THEN best END AS form, CASE WHEN top >= 10 * w.n THEN top END AS form_n
+      FROM w LEFT JOIN b USING (word)),
+z AS (SELECT word, coalesce(form, word) AS tip, 0 AS hops FROM f UNION ALL SELECT z.word, f.form, hops + 1 FROM z JOIN f ON f.word = z.tip WHERE f.form IS NOT NULL),
+y AS (SELECT word, max_by(tip, hops) AS root FROM z GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN y USING (word)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_near_dedup": op2_near_dedup,
@@ -182,6 +255,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_nearest": op9_nearest,
     "op10_quality": op10_quality,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_spelling": op12_spelling,
+    "op13_site_text": op13_site_text,
 }
 
-ORACLES: dict[str, str] = {"op2_near_dedup": _OP2_SQL, "op6_exact_dedup": _OP6_SQL}
+ORACLES: dict[str, str] = {
+    "op2_near_dedup": _OP2_SQL,
+    "op6_exact_dedup": _OP6_SQL,
+    "op11_filter_audit": _OP11_SQL,
+    "op12_spelling": _OP12_SQL,
+}
