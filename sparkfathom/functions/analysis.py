@@ -126,6 +126,17 @@ def english_lexemes(text: Column) -> Column:
 ANALYZERS = {"simple": simple_lexemes, "english": english_lexemes}
 
 
+def lexemes_of(text: str, analyzer: str = "simple") -> list[str]:
+    """The lexemes of one text, a query for instance, without a job."""
+    if analyzer not in ANALYZERS:
+        raise ValueError(f"analyzer must be one of {sorted(ANALYZERS)}, not {analyzer!r}")
+    words = re.findall("[a-z0-9]+", text.lower())
+    if analyzer == "simple":
+        return words
+    stop = frozenset(StopWordsRemover.loadDefaultStopWords("english"))
+    return [porter_stem(w) for w in words if w not in stop]
+
+
 def lexemes(text: Column, analyzer: str = "simple") -> Column:
     if analyzer not in ANALYZERS:
         raise ValueError(f"analyzer must be one of {sorted(ANALYZERS)}, not {analyzer!r}")

@@ -78,6 +78,28 @@ def merged(vector: DataFrame, lexical: DataFrame, lead: str, top_k: int) -> Data
     return shown.join(F.broadcast(top), "document_id")
 
 
+def merged_many(candidates: DataFrame, by: str, top_k: int, k: int = K) -> DataFrame:
+    """``merged`` for many lists at once: one row for each value of ``by`` and document.
+
+    ``candidates`` has ``document_id, arm, pos`` and ``leads``: whether the lexical
+    arm owns the first place, if it found anything and the vector arm did too.
+    """
+    best = candidates.groupBy(by, "arm", "document_id").agg(F.min("pos").alias("pos"), F.bool_or("leads").alias("leads"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(by, "arm").orderBy("pos")))
+    place = lambda arm: F.min(F.when(F.col("arm") == arm, F.col("rank")))
+    fused = ranked.groupBy(by, "document_id").agg(place(0).alias("v_rank"), place(1).alias("l_rank"), F.bool_or("leads").alias("leads"))
+    share = lambda c: F.coalesce(F.lit(1.0) / (k + F.col(c)), F.lit(0.0))
+    every = Window.partitionBy(by)
+    both = F.max(F.col("v_rank").isNotNull()).over(every) & F.max("leads").over(every)
+    fused = fused.withColumn("first", F.when(both, F.col("l_rank")).otherwise(F.col("v_rank")) == 1).withColumn("rrf", share("v_rank") + share("l_rank"))
+    order = Window.partitionBy(by).orderBy(
+        F.coalesce("first", F.lit(False)).desc(), F.desc("rrf"), F.coalesce("v_rank", F.lit(10**9) + F.col("l_rank")), "document_id"
+    )
+    top = fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select(by, "document_id", "rank")
+    shown = candidates.drop("rank").withColumn("__n", F.row_number().over(Window.partitionBy(by, "document_id").orderBy("arm", "pos")))
+    return shown.where("__n = 1").drop("__n").join(top, [by, "document_id"])
+
+
 def explains_order(rows: DataFrame, by: str, order: str, score: str) -> DataFrame:
     """``by, explained``: whether scores never rise along each list."""
     w = Window.partitionBy(by).orderBy(order)

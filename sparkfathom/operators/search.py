@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkfathom.functions import validation
-from sparkfathom.operators import fusion, knn, lexical
+from sparkfathom.operators import batch_search, fusion, knn, lexical
+from sparkfathom.operators.lexical_index import LexicalIndex
 
 #: Ranks of the revision states that may be searched.
 SEARCHABLE = {"active": 3, "ready": 2, "building": 1}
@@ -21,7 +22,8 @@ class Corpus:
 
     ``documents`` has ``id, collection, source_path``; ``chunks`` ``chunk_id,
     document_id, content``; ``vectors`` ``chunk_id, embedding`` and the routing
-    columns, ``collection`` among them.
+    columns, ``collection`` among them. With an ``index`` the lexical arm reads that
+    and no text.
     """
 
     documents: DataFrame
@@ -29,6 +31,9 @@ class Corpus:
     vectors: DataFrame
     metric: str = "cosine"
     analyzer: str = "simple"
+    index: LexicalIndex | None = None
+    #: Columns of the vectors that tell revisions apart, each with arms of its own.
+    by: tuple[str, ...] = ()
 
 
 def searchable_revisions(revisions: DataFrame) -> DataFrame:
@@ -64,7 +69,11 @@ def bounded(hits: DataFrame) -> DataFrame:
 
 
 class Searcher:
-    """Searches a corpus. The arms read one scope, so they agree on what exists."""
+    """Searches a corpus. The arms read one scope, so they agree on what exists.
+
+    A corpus without ``by`` columns is one revision; over several, a query is a
+    table of one for ``batch_search``.
+    """
 
     def __init__(self, corpus: Corpus, hybrid: bool = True):
         self.corpus, self.hybrid = corpus, hybrid
@@ -79,7 +88,11 @@ class Searcher:
         return bounded(placed.select("chunk_id", "pos", "score", "distance", "score_kind"))
 
     def lexical_arm(self, query: str, k: int, collections: list[str] | None, relaxed: bool = False) -> DataFrame:
-        hits = lexical.lexical_top(self.corpus.chunks, self.scoped(collections), query, k, self.corpus.analyzer, relaxed)
+        scoped, index = self.scoped(collections), self.corpus.index
+        if index is not None:
+            hits = index.lexical_top(query, k, scoped, relaxed)
+        else:
+            hits = lexical.lexical_top(self.corpus.chunks, scoped, query, k, self.corpus.analyzer, relaxed)
         placed = hits.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("rank"), "chunk_id")))
         return bounded(
             placed.select(
@@ -89,11 +102,12 @@ class Searcher:
         )
 
     def _shown(self, hits: DataFrame) -> DataFrame:
-        """Texts and paths of the few hits: they are broadcast, the tables are not."""
+        """Texts and paths of the few hits, which go to the scans as numbers to look for."""
         chunks = self.corpus.chunks.select("chunk_id", "document_id", "content")
-        documents = self.corpus.documents.select(F.col("id").alias("document_id"), "collection", "source_path")
-        with_chunk = chunks.join(F.broadcast(hits), "chunk_id")
-        return documents.join(F.broadcast(with_chunk), "document_id")
+        own = chunks.where(F.col("chunk_id").isin([r["chunk_id"] for r in hits.select("chunk_id").collect()]))
+        of = [r["document_id"] for r in own.select("document_id").distinct().collect()]
+        documents = self.corpus.documents.select(F.col("id").alias("document_id"), "collection", "source_path").where(F.col("id").isin(of))
+        return documents.join(F.broadcast(own.join(F.broadcast(hits), "chunk_id")), "document_id")
 
     def candidates(self, query: str, vector: list[float], top_k: int = 10, collections: list[str] | None = None):
         """Both arms before fusion; the lexical one relaxed if it finds nothing exactly."""
@@ -113,11 +127,17 @@ class Searcher:
         """Whether the query is one word that few documents in scope hold."""
         if len(query.split()) != 1:
             return False
-        found = lexical.probe(self.corpus.chunks, self.scoped(collections), query, 20 * most, self.corpus.analyzer).first()
+        scoped, index = self.scoped(collections), self.corpus.index
+        rows = index.probe(query, scoped, 20 * most) if index else lexical.probe(self.corpus.chunks, scoped, query, 20 * most, self.corpus.analyzer)
+        found = rows.first()
         return 0 < found["documents"] <= most
 
     def search(self, query: str, vector: list[float], top_k: int = 10, collections: list[str] | None = None) -> DataFrame:
         """``document_id, collection, source_path, content, score, distance, score_kind, rank``."""
+        if self.corpus.by:
+            validation.check_query(query, top_k)
+            one = self.corpus.vectors.sparkSession.createDataFrame([(0, query, [float(x) for x in vector])], "query_id long, query string, vector array<double>")
+            return self.search_many(one, top_k, collections).drop("query_id")
         arm, other = self._arms(query, vector, top_k, collections)
         leads = not other.isEmpty() and not arm.isEmpty() and self.lexical_should_lead(query, collections)
         both = self._shown(arm.unionByName(other))
@@ -125,3 +145,8 @@ class Searcher:
         return found.select(
             "document_id", "collection", "source_path", "content", "score", "distance", "score_kind", "rank"
         )
+
+    def search_many(self, queries: DataFrame, top_k: int = 10, collections: list[str] | None = None) -> DataFrame:
+        """The ranked documents of every query of a table of ``query_id, query, vector``."""
+        corpus = replace(self.corpus, vectors=self.scoped(collections))
+        return batch_search.search_many(corpus, queries, top_k, self.hybrid)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +12,8 @@ from pyspark.sql.window import Window
 from sparkfathom.functions import vectors as V
 from sparkfathom.operators import fusion, knn, lexical
 from sparkfathom.operators.search import Corpus, Searcher, searchable_revisions
-from sparkfathom.sources.tables import table
+from sparkfathom.operators.lexical_index import LexicalIndex
+from sparkfathom.sources.tables import shared_folder, table
 
 #: The query of the lexical and hybrid queries, and one word.
 QUERY, WORD = "the of and", "the"
@@ -33,6 +37,20 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     )
 
 
+def document_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    """The index of the documents, made once for an application and its files."""
+    chunks = corpus(spark, sf_dir).chunks
+    files = "|".join([sf_dir, spark.sparkContext.applicationId, *sorted(chunks.inputFiles())])
+    index = LexicalIndex(spark, f"{shared_folder(spark)}/index-{hashlib.sha256(files.encode()).hexdigest()[:24]}")
+    if not index.segments():
+        index.add(chunks)
+    return index
+
+
+def indexed_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    return replace(corpus(spark, sf_dir), index=document_index(spark, sf_dir))
+
+
 def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     """The embedding of the smallest number: one row."""
     rows = table(spark, sf_dir, "embeddings").where("embedding is not null").orderBy("vec_id").limit(1).collect()
@@ -174,6 +192,51 @@ seen AS (SELECT * FROM pool WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE
 SELECT doc_id AS chunk_id, round(rank, 6) AS rank FROM seen ORDER BY seen.rank DESC, doc_id LIMIT 10"""
 
 
+def indexed_lexical_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best exact matches, from the index."""
+    hits = document_index(spark, sf_dir).lexical_top(QUERY, 10, corpus(spark, sf_dir).vectors)
+    return hits.select("chunk_id", F.round("rank", 6).alias("rank"))
+
+
+def indexed_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best of all documents that hold three of five words, from the index."""
+    hits = document_index(spark, sf_dir).lexical_top(RELAXED, 20, relaxed=True, pool=None)
+    return hits.select("chunk_id", F.round("rank", 6).alias("rank"))
+
+
+def indexed_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rarity of a word, from the index."""
+    return document_index(spark, sf_dir).probe(WORD, corpus(spark, sf_dir).vectors)
+
+
+def proximity_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty documents in which the words of the query stand nearest."""
+    hits = document_index(spark, sf_dir).lexical_top(QUERY, 20, pool=None, near=True)
+    return hits.select("chunk_id", F.round("rank", 6).alias("rank"))
+
+
+#: Chances of all pairs of positions of two words, combined.
+_PROXIMITY = f"""WITH t AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+p AS (SELECT doc_id, term, pos FROM (SELECT doc_id, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM t)
+      WHERE term IN ({", ".join(f"'{w}'" for w in QUERY.split())})),
+h AS (SELECT doc_id FROM p GROUP BY doc_id HAVING count(DISTINCT term) = {len(QUERY.split())}),
+w AS (SELECT a.doc_id, sum(ln(1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp(abs(a.pos - b.pos) / 1.5 - 2))))) AS s
+      FROM p a JOIN p b ON b.doc_id = a.doc_id AND a.term < b.term AND abs(a.pos - b.pos) <= 100 GROUP BY a.doc_id)
+SELECT doc_id AS chunk_id, round(1 - exp(coalesce(s, 0)), 6) AS rank FROM h LEFT JOIN w USING (doc_id) ORDER BY 1 - exp(coalesce(s, 0)) DESC, doc_id LIMIT 20"""
+
+#: Two words that follow each other.
+PHRASE = "of the"
+
+
+def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a phrase, and how often."""
+    return document_index(spark, sf_dir).phrase(PHRASE)
+
+
+_PHRASE = f"""WITH t AS (SELECT doc_id, {_TERMS} AS terms FROM documents)
+SELECT doc_id AS chunk_id, len(list_filter(range(1, len(terms)), lambda i: terms[i] = 'of' AND terms[i + 1] = 'the'))::INTEGER AS times FROM t
+WHERE len(list_filter(range(1, len(terms)), lambda i: terms[i] = 'of' AND terms[i + 1] = 'the')) > 0"""
+
 RELAXED = "the of qzxv and de"
 
 
@@ -209,7 +272,7 @@ SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf, max(length) AS longes
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: both arms, fused by document, the vector arm owning rank 1."""
-    found = Searcher(corpus(spark, sf_dir)).search(QUERY, first_vector(spark, sf_dir), 10)
+    found = Searcher(indexed_corpus(spark, sf_dir)).search(QUERY, first_vector(spark, sf_dir), 10)
     return found.select(
         "rank", "document_id", "collection", "source_path", F.round("score", 6).alias("score"),
         F.round("distance", 6).alias("distance"), "score_kind", F.sha2("content", 256).alias("content_sha256"),
@@ -218,10 +281,60 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_search_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same within two collections."""
-    found = Searcher(corpus(spark, sf_dir)).search(QUERY, first_vector(spark, sf_dir), 10, ["en", "fr"])
+    found = Searcher(indexed_corpus(spark, sf_dir)).search(QUERY, first_vector(spark, sf_dir), 10, ["en", "fr"])
     return found.select("rank", "document_id", "collection", F.round("score", 6).alias("score"), "score_kind")
 
 
+def _best_sql(terms: list[str], need: int, k: int) -> str:
+    return f"WITH {_ranked_sql(terms, need)} SELECT doc_id AS chunk_id, round(rank, 6) AS rank FROM ranked ORDER BY ranked.rank DESC, doc_id LIMIT {k}"
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query for each benchmark passage: its first four words, with the vector of its number."""
+    words = F.slice(F.split("text", " "), 1, 4)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
+    return items.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+
+
+def batch_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages as queries at once; each language is a revision with arms of its own."""
+    own = replace(indexed_corpus(spark, sf_dir), by=("collection",))
+    found = Searcher(own).search_many(passages(spark, sf_dir), 10)
+    return found.select(
+        "query_id", "rank", "document_id", "collection", "source_path", F.round("score", 6).alias("score"),
+        F.round("distance", 6).alias("distance"), "score_kind", F.sha2("content", 256).alias("content_sha256"),
+    )
+
+
+_BATCH_HYBRID = f"""WITH q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS query, embedding::DOUBLE[] AS v
+  FROM benchmark JOIN embeddings ON vec_id = item_id),
+scoped AS (SELECT e.vec_id AS id, d.lang AS collection, e.embedding FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+vd AS (SELECT query_id, collection, id, {_D["cosine"]} AS d FROM scoped e, q),
+v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY d, id) AS place FROM vd) WHERE place <= 50),
+qt AS (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS terms FROM q),
+a AS (SELECT query_id, len(terms) AS n_terms, unnest(terms) AS term FROM qt),
+t AS (SELECT doc_id AS id, {_TERMS} AS terms FROM documents),
+f AS (SELECT count(*) AS n, avg(len(terms)) AS m FROM t),
+p AS (SELECT id, length, term, count(*) AS tf FROM (SELECT id, len(terms) AS length, unnest(terms) AS term FROM t) WHERE term IN (SELECT term FROM a) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+m AS (SELECT query_id, id, any_value(n_terms) AS n_terms, count(*) AS matched,
+        sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / m))) AS rank
+      FROM p JOIN a USING (term) JOIN df USING (term), f GROUP BY query_id, id),
+xp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS pool FROM m WHERE matched = n_terms),
+x AS (SELECT xp.*, collection FROM xp JOIN scoped USING (id) WHERE pool <= 2000),
+yp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS pool FROM m
+       WHERE n_terms <= 8 AND matched >= greatest(1, ceil(0.6 * n_terms - 1e-9)) AND query_id NOT IN (SELECT query_id FROM x)),
+y AS (SELECT yp.*, collection FROM yp JOIN scoped USING (id) WHERE pool <= 2000),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY rank DESC, id) AS place
+      FROM (SELECT * FROM x UNION ALL SELECT * FROM y)) WHERE place <= 50),
+vr AS (SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY 1 - d DESC, collection, place) AS v_rank FROM v),
+lr AS (SELECT query_id, id, rank AS score, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, collection, place) AS l_rank FROM l),
+u AS (SELECT coalesce(vr.query_id, lr.query_id) AS query_id, coalesce(vr.id, lr.id) AS id, v_rank, l_rank, d, lr.score,
+      coalesce(1.0 / (60 + v_rank), 0)::DOUBLE + coalesce(1.0 / (60 + l_rank), 0)::DOUBLE AS rrf FROM vr FULL JOIN lr ON vr.query_id = lr.query_id AND vr.id = lr.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(v_rank = 1, false) DESC, rrf DESC, coalesce(v_rank, 1000000000 + l_rank), id) AS rank FROM u)
+SELECT r.query_id, {{shown}} FROM r JOIN documents x ON x.doc_id = r.id WHERE r.rank <= 10"""
+
+
 def _hybrid_sql(where: str, columns: str) -> str:
     return f"""WITH {_Q},
 scoped AS (SELECT e.vec_id, e.embedding FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id {where}),
@@ -241,9 +354,8 @@ _SHOWN = (
     "r.rank, x.doc_id AS document_id, x.lang AS collection, round(CASE WHEN v_rank IS NOT NULL THEN 1 - d ELSE r.score END, 6) AS score, "
     "CASE WHEN v_rank IS NOT NULL THEN 'cosine_similarity' ELSE 'lexical_rank' END AS score_kind"
 )
-_HYBRID = _hybrid_sql(
-    "", _SHOWN + ", x.source || '/' || x.doc_id || '.txt' AS source_path, round(d, 6) AS distance, sha256(x.text) AS content_sha256"
-)
+_ALL_SHOWN = _SHOWN + ", x.source || '/' || x.doc_id || '.txt' AS source_path, round(d, 6) AS distance, sha256(x.text) AS content_sha256"
+_HYBRID = _hybrid_sql("", _ALL_SHOWN)
 _HYBRID_SCOPED = _hybrid_sql("AND d.lang IN ('en', 'fr')", _SHOWN)
 
 
@@ -331,9 +443,15 @@ QUERIES = {
     "lexical_top": lexical_top,
     "lexical_relaxed": lexical_relaxed,
     "rarity_probe": rarity_probe,
+    "indexed_lexical_top": indexed_lexical_top,
+    "indexed_best": indexed_best,
+    "indexed_probe": indexed_probe,
+    "proximity_top": proximity_top,
+    "phrase_match": phrase_match,
     "postings": postings,
     "hybrid_search": hybrid_search,
     "hybrid_search_scoped": hybrid_search_scoped,
+    "batch_hybrid_search": batch_hybrid_search,
     "fusion_ranks": fusion_ranks,
     "best_chunk": best_chunk,
     "scores_explain_order": scores_explain_order,
@@ -353,9 +471,15 @@ ORACLES = {
     "lexical_top": _lexical_top_sql(QUERY.split(), 3),
     "lexical_relaxed": _lexical_top_sql(RELAXED.split(), 3),
     "rarity_probe": _PROBE,
+    "indexed_lexical_top": _lexical_top_sql(QUERY.split(), 3),
+    "indexed_best": _best_sql(RELAXED.split(), 3, 20),
+    "indexed_probe": _PROBE,
+    "proximity_top": _PROXIMITY,
+    "phrase_match": _PHRASE,
     "postings": _POSTINGS,
     "hybrid_search": _HYBRID,
     "hybrid_search_scoped": _HYBRID_SCOPED,
+    "batch_hybrid_search": _BATCH_HYBRID.format(shown=_ALL_SHOWN),
     "fusion_ranks": _FUSION,
     "best_chunk": _BEST_CHUNK,
     "scores_explain_order": _EXPLAIN,
