@@ -8,6 +8,7 @@ revision of each collection, and promotion swaps which.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import time
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from sparkfathom.functions import chunking, identity, validation
 from sparkfathom.operators import doctor, embedding, knn, lifecycle
+from sparkfathom.operators.lexical_index import LexicalIndex
 from sparkfathom.operators.search import Corpus, Searcher, check_one_model, searchable_revisions
 from sparkfathom.sources import files, sinks
 from sparkfathom.sources.config import Config
@@ -37,6 +39,13 @@ SCHEMAS = {
 }
 
 
+#: Columns that tell the revision of a chunk.
+ROUTE = ("collection", "extractor_profile_id", "chunk_profile_id")
+
+#: Segments of the text index that are not merged, and revisions that a search names.
+MOST_SEGMENTS, MOST_NAMED = 8, 200
+
+
 @dataclass
 class Outcome:
     """What a promotion did, or why it did not."""
@@ -209,6 +218,7 @@ class Engine:
         rows = self.spark.read.parquet(path)
         self._drop_chunkings(rows.select(F.col("id").alias("extracted_document_id")))
         self.write("extracted", table.join(rows.select("id"), "id", "left_anti").unionByName(rows))
+        self._clear_stage()
         return n
 
     def _drop_chunkings(self, extracted: DataFrame) -> None:
@@ -257,6 +267,7 @@ class Engine:
         self.write("chunks", live.unionByName(self._numbered(fresh, "chunks", "chunk_id", "chunked_document_id")))
         self.write("chunked", chunked.join(made.select(*keys), keys, "left_anti").unionByName(rows))
         self._purge()
+        self._clear_stage()
         return n
 
     def _purge(self) -> None:
@@ -296,8 +307,14 @@ class Engine:
             F.lit(revision["extractor_profile_id"]).alias("extractor_profile_id"), F.lit(revision["chunk_profile_id"]).alias("chunk_profile_id"),
         )
         self.write("vectors", self.read("vectors").unionByName(routed))
+        self._clear_stage()
         return n
 
+    def _clear_stage(self) -> None:
+        """Delete what stages have pinned; all of it is committed by now."""
+        fs, at = self._table("documents")._fs(f"{self.root}/_stage")
+        fs.delete(at, True)
+
     def requeue(self, revision: dict) -> None:
         """Let failed and interrupted work of a revision's live documents wait again."""
         live = lifecycle.live(self._scoped(revision)).select(F.col("id").alias("document_id"))
@@ -336,6 +353,7 @@ class Engine:
         self.requeue(revision)
         while self.extract(revision) + self.chunk(revision) + self.embed(revision):
             pass
+        self.index_text()
         counts = self.counts(revision)
         if counts["complete"] and revision["status"] == "building":
             ready = F.when((F.col("id") == revision["id"]) & (F.col("status") == "building"), "ready").otherwise(F.col("status"))
@@ -343,6 +361,32 @@ class Engine:
         self.vacuum()
         return counts
 
+    # -- index of texts ------------------------------------------------------------------
+
+    def text_index(self) -> LexicalIndex:
+        return LexicalIndex(self.spark, f"{self.root}/text_index", "english", ROUTE)
+
+    def _routed_chunks(self) -> DataFrame:
+        """Chunks with the columns that tell their revision."""
+        docs = self.read("documents").select(F.col("id").alias("document_id"), "collection")
+        ext = self.read("extracted").select(F.col("id").alias("extracted_document_id"), "extractor_profile_id")
+        chk = self.read("chunked").select(F.col("id").alias("chunked_document_id"), "extracted_document_id", "chunk_profile_id")
+        return self.read("chunks").join(chk.join(ext, "extracted_document_id"), "chunked_document_id").join(docs, "document_id")
+
+    def index_text(self) -> int:
+        """Give new chunks a segment, damaged segments another; how many chunks got one.
+
+        Postings of chunks that are gone stay, unseen, until they are a fifth of all
+        or segments are many; then segments are merged without them.
+        """
+        index, chunks = self.text_index(), self._routed_chunks()
+        n = index.add(chunks)
+        held = sum(r["chunks"] for r in index.segments())
+        if len(index.segments()) > MOST_SEGMENTS or held > 1.25 * self.read("chunks").count():
+            index.merge(chunks)
+        index.vacuum()
+        return n
+
     # -- counts, promotion, upkeep -------------------------------------------------------
 
     def counts(self, revision: dict) -> dict:
@@ -452,10 +496,15 @@ class Engine:
         found = [
             doctor.stranded(self.read("chunked").where("total_chunks > 0"), self.read("chunks")),
             doctor.vectors_of_chunks(self.read("chunks"), self.read("vectors")),
+            self._text_index_state(),
             doctor.chunk_budget(self.config.chunk.size, self.config.n_ctx),
         ]
         return found + [doctor.profile_drift(stored[kind], payload, kind) for kind, payload in self.payloads().items() if kind in stored]
 
+    def _text_index_state(self) -> dict:
+        index = self.text_index()
+        return doctor.text_index(len(index.damaged()), index.unindexed(self.read("chunks")).count())
+
     # -- search --------------------------------------------------------------------------
 
     def searcher(self, collections: list[str] | None = None) -> Searcher:
@@ -469,7 +518,14 @@ class Engine:
         live = lifecycle.live(self.read("documents"))
         chunks = self.read("chunks").select("chunk_id", "document_id", "content").join(live.select(F.col("id").alias("document_id")), "document_id", "left_semi")
         seen = vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-        return Searcher(Corpus(live, chunks, seen, analyzer="english"), self.config.search.hybrid)
+        index = self.text_index()
+        if not index.segments() or index.damaged():
+            index = None  # texts are read until a build has repaired it
+        else:
+            named = revisions.select(*ROUTE).limit(MOST_NAMED + 1).collect()
+            if 0 < len(named) <= MOST_NAMED:
+                index.only = functools.reduce(lambda a, b: a | b, [functools.reduce(lambda a, b: a & b, [F.col(c) == r[c] for c in ROUTE]) for r in named])
+        return Searcher(Corpus(live, chunks, seen, analyzer="english", index=index, by=("collection",)), self.config.search.hybrid)
 
     def search(self, query: str, top_k: int | None = None, collections: list[str] | None = None) -> DataFrame:
         """The ranked documents for a query."""

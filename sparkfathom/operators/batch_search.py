@@ -116,7 +116,7 @@ def _postings(corpus, terms: DataFrame) -> tuple[DataFrame, int, float]:
     if index is not None and index.segments():
         rows = index.segments()
         n, tokens = sum(r["chunks"] for r in rows), sum(r["tokens"] for r in rows)
-        blocks = index._blocks().join(terms, "term", "left_semi")
+        blocks = index.searched().join(terms, "term", "left_semi")
         return blocks.select("term", F.inline(F.arrays_zip("id", "doc", "length", "tf"))), n, tokens / max(n, 1)
     text = F.coalesce("content", F.lit(""))
     words = corpus.chunks.select(F.col("chunk_id").alias("id"), F.col("document_id").alias("doc"), F.explode(F.array(analysis.lexemes(text, corpus.analyzer))).alias("words"))
@@ -192,13 +192,13 @@ def arms(corpus, queries: DataFrame, top_k: int = 10, hybrid: bool = True, keep=
     return keep(found.withColumn("pos", F.row_number().over(w)).drop("place"))
 
 
-def search_many(corpus, queries: DataFrame, top_k: int = 10, hybrid: bool = True, candidates: DataFrame | None = None) -> DataFrame:
+def search_many(corpus, queries: DataFrame, top_k: int = 10, hybrid: bool = True, candidates: DataFrame | None = None, keep=None) -> DataFrame:
     """``query_id, document_id, collection, source_path, content, score, distance, score_kind, rank``.
 
     ``candidates`` may be a table that ``arms`` made before. A query without
     candidates has no rows; queries are told apart by ``query_id`` alone.
     """
-    found = arms(corpus, queries, top_k, hybrid) if candidates is None else candidates
+    found = arms(corpus, queries, top_k, hybrid, keep) if candidates is None else candidates
     placed = found.join(corpus.chunks.select("chunk_id", "document_id"), "chunk_id")
     top = fusion.merged_many(placed, "query_id", top_k)
     shown = top.select("query_id", "document_id", "chunk_id", "score", "distance", "score_kind", "rank")

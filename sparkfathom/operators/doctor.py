@@ -33,6 +33,12 @@ def chunk_budget(size: int, n_ctx: int) -> dict:
     return {"check": "chunk_budget", "ok": size + 8 <= n_ctx, "detail": f"chunks of {size} tokens for a window of {n_ctx}"}
 
 
+def text_index(damaged: int, unindexed: int) -> dict:
+    """Segments that cannot be read, and chunks that no segment covers."""
+    detail = f"{damaged} damaged segments, {unindexed} chunks without postings"
+    return {"check": "text_index", "ok": not damaged and not unindexed, "detail": detail}
+
+
 def model_canary(verdict: str) -> dict:
     return {"check": "model_canary", "ok": verdict != "semantic", "detail": verdict}
 

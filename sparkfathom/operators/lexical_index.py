@@ -125,6 +125,8 @@ class LexicalIndex:
 
     def __init__(self, spark: SparkSession, root: str, analyzer: str = "simple", route: tuple[str, ...] = (), stripe_bits: int = STRIPE_BITS):
         self.spark, self.root, self.analyzer, self.route, self.stripe_bits = spark, root.rstrip("/"), analyzer, tuple(route), stripe_bits
+        #: A condition on the routing columns that every search is under.
+        self.only: Column | None = None
         self.log = sinks.VersionedTable(spark, f"{self.root}/segments")
         self._listed: tuple[str | None, list] = (None, [])
         self._opened: tuple[tuple[str, ...], DataFrame | None] = ((), None)
@@ -237,6 +239,11 @@ class LexicalIndex:
 
     # -- search --------------------------------------------------------------------------
 
+    def searched(self) -> DataFrame | None:
+        """The blocks that searches may see."""
+        blocks = self._blocks()
+        return blocks if blocks is None or self.only is None else blocks.where(self.only)
+
     def _blocks(self) -> DataFrame | None:
         paths = tuple(self._path(r["segment"]) for r in self.segments())
         if paths and paths != self._opened[0]:
@@ -249,7 +256,7 @@ class LexicalIndex:
         The bounds of up to ``LISTED`` stripes come to the driver, and serve for the
         document frequencies too. Beyond that number both stay where they are.
         """
-        blocks = self._blocks()
+        blocks = self.searched()
         if blocks is None or not terms:
             return None
         rows = self.segments()

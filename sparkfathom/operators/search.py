@@ -136,8 +136,11 @@ class Searcher:
         """``document_id, collection, source_path, content, score, distance, score_kind, rank``."""
         if self.corpus.by:
             validation.check_query(query, top_k)
-            one = self.corpus.vectors.sparkSession.createDataFrame([(0, query, [float(x) for x in vector])], "query_id long, query string, vector array<double>")
-            return self.search_many(one, top_k, collections).drop("query_id")
+            spark = self.corpus.vectors.sparkSession
+            one = spark.createDataFrame([(0, query, [float(x) for x in vector])], "query_id long, query string, vector array<double>")
+            # One query's matches and arms are a pool and some rows a revision.
+            local = lambda df: spark.createDataFrame(df.toArrow(), df.schema)
+            return self.search_many(one, top_k, collections, local).drop("query_id")
         arm, other = self._arms(query, vector, top_k, collections)
         leads = not other.isEmpty() and not arm.isEmpty() and self.lexical_should_lead(query, collections)
         both = self._shown(arm.unionByName(other))
@@ -146,7 +149,10 @@ class Searcher:
             "document_id", "collection", "source_path", "content", "score", "distance", "score_kind", "rank"
         )
 
-    def search_many(self, queries: DataFrame, top_k: int = 10, collections: list[str] | None = None) -> DataFrame:
-        """The ranked documents of every query of a table of ``query_id, query, vector``."""
+    def search_many(self, queries: DataFrame, top_k: int = 10, collections: list[str] | None = None, keep=None) -> DataFrame:
+        """The ranked documents of every query of a table of ``query_id, query, vector``.
+
+        ``keep`` stores intermediate tables; without it they may be made again.
+        """
         corpus = replace(self.corpus, vectors=self.scoped(collections))
-        return batch_search.search_many(corpus, queries, top_k, self.hybrid)
+        return batch_search.search_many(corpus, queries, top_k, self.hybrid, keep=keep)

@@ -13,7 +13,7 @@ from sparkfathom.functions import vectors as V
 from sparkfathom.operators import fusion, knn, lexical
 from sparkfathom.operators.search import Corpus, Searcher, searchable_revisions
 from sparkfathom.operators.lexical_index import LexicalIndex
-from sparkfathom.sources.tables import shared_folder, table
+from sparkfathom.sources.tables import kept, shared_folder, table
 
 #: The query of the lexical and hybrid queries, and one word.
 QUERY, WORD = "the of and", "the"
@@ -299,7 +299,7 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All passages as queries at once; each language is a revision with arms of its own."""
     own = replace(indexed_corpus(spark, sf_dir), by=("collection",))
-    found = Searcher(own).search_many(passages(spark, sf_dir), 10)
+    found = Searcher(own).search_many(passages(spark, sf_dir), 10, keep=kept)
     return found.select(
         "query_id", "rank", "document_id", "collection", "source_path", F.round("score", 6).alias("score"),
         F.round("distance", 6).alias("distance"), "score_kind", F.sha2("content", 256).alias("content_sha256"),

@@ -173,3 +173,23 @@ def test_a_file_that_is_too_large_is_refused_with_its_reason(spark, tmp_path, do
     counts = e.build("papers", docs)
     assert (counts["documents"], counts["extracted_done"], counts["extracted_failed"], counts["complete"]) == (4, 2, 2, True)
     assert "file is over 200 bytes" in {r.error_message for r in e.read("extracted").collect()}
+
+
+def test_search_reads_the_index_and_a_build_repairs_it(spark, tmp_path, docs):
+    import shutil
+
+    e = engine(spark, tmp_path)
+    e.build("papers", docs)
+    index = e.text_index()
+    assert len(index.segments()) == 1 and not os.path.exists(f"{e.root}/_stage")
+    searcher = e.searcher()
+    searcher.corpus.chunks = searcher.corpus.chunks.withColumn("content", F.lit("not read"))
+    assert paths(searcher.search("rareword", e.provider().embed(["rareword"])[0], 3))[0] == "c.txt"
+
+    shutil.rmtree(f"{e.root}/text_index/data/{index.segments()[0]['segment']}")
+    state = e._text_index_state()
+    assert not state["ok"] and state["detail"].startswith("1 damaged")
+    assert e.searcher().corpus.index is None  # texts are read until a build has repaired it
+    put(docs, "d.txt", "a later document about rareword sediments")
+    e.build("papers", docs)
+    assert e._text_index_state()["ok"] and {"c.txt", "d.txt"} <= set(paths(e.search("rareword")))
