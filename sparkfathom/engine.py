@@ -535,5 +535,8 @@ class Engine:
         return self.searcher(collections).search(query, own.embed([query])[0], k, collections)
 
     def index(self, method: str | None = None, **options) -> knn.ExactIndex:
-        """An index over the vectors, by the configured method."""
-        return knn.build_index(method or self.config.index.method, self.read("vectors"), **options)
+        """An index over the vectors, by the configured method; those that are stored have a folder."""
+        method = method or self.config.index.method
+        if method in ("ivf", "graph"):
+            options.setdefault("path", f"{self.root}/vector_index_{method}")
+        return knn.build_index(method, self.read("vectors"), **options)

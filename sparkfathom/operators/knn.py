@@ -4,7 +4,7 @@ The vector table carries its routing columns, so filters stand on the vector row
 itself and reach the scan; texts and paths are joined to the k rows that remain.
 ``exact`` ranks everything that passes the filter. ``ivf`` probes a partitioned
 table of k-means cells, nearest first, until enough rows pass; ``lsh`` hashes by
-random projections.
+random projections; ``graph`` walks stored proximity graphs.
 """
 
 from __future__ import annotations
@@ -156,6 +156,9 @@ STRATEGIES: dict[str, Callable[..., ExactIndex]] = {"exact": ExactIndex, "ivf":
 
 
 def build_index(method: str, vectors: DataFrame, **options) -> ExactIndex:
+    from sparkfathom.operators import graph_index  # builds on this module
+
+    STRATEGIES["graph"] = graph_index.GraphIndex
     if method not in STRATEGIES:
         raise ValueError(f"index method must be one of {sorted(STRATEGIES)}, not {method!r}")
     return STRATEGIES[method](vectors, **options)

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from sparkfathom.functions import validation
 from sparkfathom.operators import batch_search, fusion, knn, lexical
+from sparkfathom.operators.graph_index import GraphIndex
 from sparkfathom.operators.lexical_index import LexicalIndex
 
 #: Ranks of the revision states that may be searched.
@@ -32,6 +33,8 @@ class Corpus:
     metric: str = "cosine"
     analyzer: str = "simple"
     index: LexicalIndex | None = None
+    #: Searched in place of all vectors, where there is one revision only.
+    vector_index: GraphIndex | None = None
     #: Columns of the vectors that tell revisions apart, each with arms of its own.
     by: tuple[str, ...] = ()
 
@@ -83,7 +86,12 @@ class Searcher:
         return vectors if collections is None else vectors.where(F.col("collection").isin(collections))
 
     def vector_arm(self, query: list[float], k: int, collections: list[str] | None) -> DataFrame:
-        hits = knn.nearest(self.scoped(collections), query, k, self.corpus.metric)
+        graph = self.corpus.vector_index
+        if graph is not None:
+            where = None if collections is None else lambda r: r["collection"].isin(collections)
+            hits = graph.search(query, k, self.corpus.metric, where)
+        else:
+            hits = knn.nearest(self.scoped(collections), query, k, self.corpus.metric)
         placed = hits.withColumn("pos", F.row_number().over(Window.orderBy("distance", "chunk_id")))
         return bounded(placed.select("chunk_id", "pos", "score", "distance", "score_kind"))
 

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from sparkfathom.functions import vectors as V
 from sparkfathom.operators import fusion, knn, lexical
 from sparkfathom.operators.search import Corpus, Searcher, searchable_revisions
+from sparkfathom.operators.graph_index import GraphIndex
 from sparkfathom.operators.lexical_index import LexicalIndex
 from sparkfathom.sources.tables import kept, shared_folder, table
 
@@ -47,6 +48,21 @@ def document_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
     return index
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> GraphIndex:
+    """The graph index of the vectors, made once for an application and its files."""
+    vectors = corpus(spark, sf_dir).vectors
+    files = "|".join([sf_dir, spark.sparkContext.applicationId, *sorted(vectors.inputFiles())])
+    path = f"{shared_folder(spark)}/graph-{hashlib.sha256(files.encode()).hexdigest()[:24]}"
+    if path not in _GRAPHS:
+        GraphIndex(vectors, path)
+        _GRAPHS.add(path)
+    return GraphIndex.open(spark, path)
+
+
+#: Graph indexes that this application has stored.
+_GRAPHS: set[str] = set()
+
+
 def indexed_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     return replace(corpus(spark, sf_dir), index=document_index(spark, sf_dir))
 
@@ -279,6 +295,13 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship query through the text index and the graph index, which is approximate."""
+    c = replace(indexed_corpus(spark, sf_dir), vector_index=vector_index(spark, sf_dir))
+    found = Searcher(c).search(QUERY, first_vector(spark, sf_dir), 10)
+    return found.select("rank", "document_id", "collection", F.round("score", 6).alias("score"), "score_kind")
+
+
 def hybrid_search_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same within two collections."""
     found = Searcher(indexed_corpus(spark, sf_dir)).search(QUERY, first_vector(spark, sf_dir), 10, ["en", "fr"])
@@ -451,6 +474,7 @@ QUERIES = {
     "postings": postings,
     "hybrid_search": hybrid_search,
     "hybrid_search_scoped": hybrid_search_scoped,
+    "graph_search": graph_search,
     "batch_hybrid_search": batch_hybrid_search,
     "fusion_ranks": fusion_ranks,
     "best_chunk": best_chunk,
