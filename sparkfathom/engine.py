@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfathom.functions import chunking, identity, validation
-from sparkfathom.operators import doctor, embedding, knn, lifecycle
+from sparkfathom.operators import canary, doctor, embedding, knn, lifecycle
 from sparkfathom.operators.lexical_index import LexicalIndex
 from sparkfathom.operators.search import Corpus, Searcher, check_one_model, searchable_revisions
 from sparkfathom.sources import files, sinks
@@ -35,6 +35,7 @@ SCHEMAS = {
     "embeddings": "chunk_id long, embedding_profile_id long, status string, error_message string",
     "vectors": "chunk_id long, embedding_profile_id long, embedding array<float>, collection string, extractor_profile_id long, chunk_profile_id long",
     "revisions": "id long, collection string, extractor_profile_id long, chunk_profile_id long, embedding_profile_id long, status string",
+    "canaries": canary.CANARIES,
     "profiles": "id long, kind string, fingerprint string, config_json string",
 }
 
@@ -307,6 +308,7 @@ class Engine:
             F.lit(revision["extractor_profile_id"]).alias("extractor_profile_id"), F.lit(revision["chunk_profile_id"]).alias("chunk_profile_id"),
         )
         self.write("vectors", self.read("vectors").unionByName(routed))
+        self.capture_canary(profile)
         self._clear_stage()
         return n
 
@@ -361,6 +363,26 @@ class Engine:
         self.vacuum()
         return counts
 
+    def capture_canary(self, profile: int) -> bool:
+        """Keep what the provider gives for the canary texts; the first capture of a profile stays."""
+        known = self.read("canaries")
+        if not known.where(F.col("embedding_profile_id") == profile).isEmpty():
+            return False
+        self.write("canaries", known.unionByName(canary.captured(canary.fresh(self.spark, self.provider), profile)))
+        return True
+
+    def _canary_state(self) -> list[dict]:
+        """The canary of the current embedding profile, if one was captured."""
+        fingerprint = identity.fingerprint(self.payloads()["embedding"])
+        ids = self.read("profiles").where((F.col("kind") == "embedding") & (F.col("fingerprint") == fingerprint)).select(F.col("id").alias("embedding_profile_id"))
+        stored = canary.decoded(self.read("canaries").join(ids, "embedding_profile_id", "left_semi"))
+        if stored.isEmpty():
+            return []
+        try:
+            return [doctor.model_canary(canary.compared(stored, canary.fresh(self.spark, self.provider)))]
+        except ValueError as e:
+            return [{"check": "model_canary", "ok": False, "detail": str(e)}]
+
     # -- index of texts ------------------------------------------------------------------
 
     def text_index(self) -> LexicalIndex:
@@ -498,6 +520,7 @@ class Engine:
             doctor.vectors_of_chunks(self.read("chunks"), self.read("vectors")),
             self._text_index_state(),
             doctor.chunk_budget(self.config.chunk.size, self.config.n_ctx),
+            *self._canary_state(),
         ]
         return found + [doctor.profile_drift(stored[kind], payload, kind) for kind, payload in self.payloads().items() if kind in stored]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkfathom.operators import canary, fuzzy, spans
 from sparkfathom.functions import chunking, identity, validation
 from sparkfathom.functions import text as T
 from sparkfathom.sources.tables import table
@@ -119,7 +120,59 @@ def phrase_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", F.size("p").alias("candidates"), F.get("p", F.lit(0)).alias("first"))
 
 
+def span_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each window of 1500 characters the window of 1000 that it shares most with."""
+    docs = table(spark, sf_dir, "documents")
+    return spans.aligned(spans.char_windows(docs, 1500, 1200), spans.char_windows(docs, 1000, 700))
+
+
+def _windows_sql(size: int, step: int) -> str:
+    last = f"greatest(ceil((length(text) - {size}) / {step}), 0)::INTEGER"
+    return f"""SELECT doc_id, chunk::INTEGER AS chunk, chunk * {step} AS s, least(chunk * {step} + {size}, n) AS e
+FROM (SELECT doc_id, length(text) AS n, unnest(range({last} + 1)) AS chunk FROM documents WHERE length(text) > 0)"""
+
+
+_SPAN_ALIGNMENT = f"""WITH a AS ({_windows_sql(1500, 1200)}), b AS ({_windows_sql(1000, 700)}),
+m AS (SELECT a.doc_id, a.chunk AS chunk_a, b.chunk AS chunk_b, (least(a.e, b.e) - greatest(a.s, b.s))::INTEGER AS shared FROM a JOIN b ON a.doc_id = b.doc_id AND a.s < b.e AND b.s < a.e),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_a ORDER BY shared DESC, chunk_b) AS n FROM m)
+SELECT doc_id, chunk_a, chunk_b, shared FROM r WHERE n = 1"""
+
+
+def fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of passages whose trigrams have a similarity of 0.25 or more."""
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    pairs = fuzzy.similar_pairs(rows, rows, 0.25).where("left_id < right_id")
+    return pairs.select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
+
+
+_FUZZY = """WITH p AS (SELECT item_id AS id, '  ' || lower(coalesce(text, '')) || ' ' AS t FROM benchmark),
+g AS (SELECT id, list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS gs FROM p),
+u AS (SELECT id, len(gs) AS n, unnest(gs) AS gram FROM g),
+c AS (SELECT a.id AS left_id, b.id AS right_id, a.n AS m, b.n AS n, count(*) AS c FROM u a JOIN u b ON a.gram = b.gram AND a.id < b.id GROUP BY ALL)
+SELECT left_id, right_id, round(c / (m + n - c), 6) AS similarity FROM c WHERE c / (m + n - c) >= 0.25 - 1e-12"""
+
+
+def canary_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of each label stored as JSON, decoded again and compared with the table."""
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    stored = rows.groupBy("label").agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col("vec_id").cast("string").alias("text"), F.col("embedding").alias("vector"))))).alias("payload"))
+    decoded = canary.decoded(stored, "label", "payload")
+    fresh = rows.select("label", F.col("vec_id").cast("string").alias("text"), "embedding")
+    both = decoded.join(fresh, ["label", "text"], "full")
+    equal = F.coalesce(F.col("vector") == F.col("embedding"), F.lit(False))
+    return both.groupBy("label").agg(F.count(F.lit(1)).alias("texts"), F.bool_and(equal).alias("identical"), F.max(F.size("vector")).alias("dimension"))
+
+
+_CANARY_PAYLOADS = """WITH j AS (SELECT label, to_json(list({'text': vec_id::VARCHAR, 'vector': embedding} ORDER BY vec_id)) AS payload FROM embeddings WHERE embedding IS NOT NULL GROUP BY label),
+d AS (SELECT label, unnest(from_json(payload, '[{"text": "VARCHAR", "vector": ["FLOAT"]}]')) AS x FROM j)
+SELECT d.label, count(*) AS texts, bool_and(x.vector = e.embedding) AS identical, max(len(x.vector))::INTEGER AS dimension
+FROM d JOIN embeddings e ON e.vec_id::VARCHAR = x.text GROUP BY d.label"""
+
+
 QUERIES = {
+    "span_alignment": span_alignment,
+    "fuzzy_passages": fuzzy_passages,
+    "canary_payloads": canary_payloads,
     "chunk_documents": chunk_documents,
     "text_preparation": text_preparation,
     "capitalised": capitalised,
@@ -131,6 +184,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "span_alignment": _SPAN_ALIGNMENT,
+    "fuzzy_passages": _FUZZY,
+    "canary_payloads": _CANARY_PAYLOADS,
     "chunk_documents": _CHUNKS,
     "text_preparation": _TEXT,
     "capitalised": _CAPITALISED,
