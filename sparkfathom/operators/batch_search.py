@@ -81,7 +81,8 @@ def vector_arms(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "c
                         continue
                     at = np.array(at)
                     x = flat[starts[at][:, None] + np.arange(d)]
-                    dist = _distances(metric, x, np.stack([named[j][1] for j in own]))
+                    # Rounded, so that equal vectors tie wherever they stand in a block.
+                    dist = np.round(_distances(metric, x, np.stack([named[j][1] for j in own])), 12)
                     for c, j in enumerate(own):
                         before = held.setdefault((route, j), (np.empty(0), np.empty(0, np.int64)))
                         both, who = np.concatenate((before[0], dist[:, c])), np.concatenate((before[1], ids[at]))
@@ -134,7 +135,7 @@ def lexical_matches(corpus, queries: DataFrame, relaxed: bool = False) -> DataFr
     weighted = asked.join(df, "term").withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     met = rows.join(weighted, "term").groupBy("query_id", "id").agg(
         F.first("doc").alias("doc"), F.count(F.lit(1)).alias("matched"), F.first("relaxed" if relaxed else "n_terms").alias("need"),
-        F.sum(contribution(F.col("tf"), F.col("length"), F.col("idf"), mean)).alias("rank"),
+        F.round(F.sum(contribution(F.col("tf"), F.col("length"), F.col("idf"), mean)), 9).alias("rank"),
     )
     w = Window.partitionBy("query_id").orderBy("id")
     return met.where("matched >= need").withColumn("place", F.row_number().over(w)).where(F.col("place") <= lexical.POOL)

@@ -288,15 +288,18 @@ class LexicalIndex:
         return plan
 
     def _scored(self, blocks: DataFrame, terms: list[str], need: int, idf: Column, mean: float, near: bool) -> DataFrame:
-        """``id, doc, matched, rank`` of the matches in ``blocks``."""
+        """``id, doc, matched, rank`` of the matches in ``blocks``.
+
+        Ranks are rounded: terms are added in any order, and equal texts have to tie.
+        """
         columns = ["id", "doc", "length", "tf", *(["positions"] if near else [])]
         rows = blocks.select("term", F.inline(F.arrays_zip(*columns)))
-        facts = [F.count(F.lit(1)).alias("matched"), F.first("doc").alias("doc"), F.sum(contribution(F.col("tf"), F.col("length"), idf, mean)).alias("rank")]
+        facts = [F.count(F.lit(1)).alias("matched"), F.first("doc").alias("doc"), F.round(F.sum(contribution(F.col("tf"), F.col("length"), idf, mean)), 9).alias("rank")]
         if near:
             facts.append(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
         found = rows.groupBy("id").agg(*facts).where(F.col("matched") >= need)
         if near and len(terms) > 1:
-            found = found.withColumn("rank", proximity(terms))
+            found = found.withColumn("rank", F.round(proximity(terms), 9))
         return found.select("id", "doc", "matched", "rank", *(["at"] if near else []))
 
     def _within(self, plan: Plan, stripes: list[Stripe]) -> DataFrame:
@@ -361,7 +364,7 @@ class LexicalIndex:
         first = top(self._within(plan, seeds))
         first = self.spark.createDataFrame(first.toArrow(), first.schema)
         ranks = [r["rank"] for r in first.select("rank").collect()]
-        least = min(ranks) * (1 - 1e-9) if len(ranks) == k else 0.0
+        least = min(ranks) - 1e-8 if len(ranks) == k else 0.0
         if plan.listed is None:
             rest = plan.stripes.where(~F.col("stripe").isin([x.stripe for x in seeds]) & (F.col("bound") >= least))
             more = plan.blocks.join(rest.select("stripe"), "stripe", "left_semi")

@@ -238,7 +238,7 @@ p AS (SELECT doc_id, term, pos FROM (SELECT doc_id, unnest(terms) AS term, unnes
 h AS (SELECT doc_id FROM p GROUP BY doc_id HAVING count(DISTINCT term) = {len(QUERY.split())}),
 w AS (SELECT a.doc_id, sum(ln(1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp(abs(a.pos - b.pos) / 1.5 - 2))))) AS s
       FROM p a JOIN p b ON b.doc_id = a.doc_id AND a.term < b.term AND abs(a.pos - b.pos) <= 100 GROUP BY a.doc_id)
-SELECT doc_id AS chunk_id, round(1 - exp(coalesce(s, 0)), 6) AS rank FROM h LEFT JOIN w USING (doc_id) ORDER BY 1 - exp(coalesce(s, 0)) DESC, doc_id LIMIT 20"""
+SELECT doc_id AS chunk_id, round(1 - exp(coalesce(s, 0)), 6) AS rank FROM h LEFT JOIN w USING (doc_id) ORDER BY round(1 - exp(coalesce(s, 0)), 9) DESC, doc_id LIMIT 20"""
 
 #: Two words that follow each other.
 PHRASE = "of the"
@@ -341,7 +341,7 @@ f AS (SELECT count(*) AS n, avg(len(terms)) AS m FROM t),
 p AS (SELECT id, length, term, count(*) AS tf FROM (SELECT id, len(terms) AS length, unnest(terms) AS term FROM t) WHERE term IN (SELECT term FROM a) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 m AS (SELECT query_id, id, any_value(n_terms) AS n_terms, count(*) AS matched,
-        sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / m))) AS rank
+        round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / m))), 9) AS rank
       FROM p JOIN a USING (term) JOIN df USING (term), f GROUP BY query_id, id),
 xp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS pool FROM m WHERE matched = n_terms),
 x AS (SELECT xp.*, collection FROM xp JOIN scoped USING (id) WHERE pool <= 2000),
