@@ -1,6 +1,6 @@
 """An inverted index of chunks that searches read in place of the texts.
 
-Chunks in the order of their identifiers are cut into stripes; a block holds the
+Chunks, as they are read, are cut into stripes; a block holds the
 postings of one term in one stripe, with positions, and bounds of what they can add to
 a rank. Segments are immutable Parquet tables sorted by term, so a search reads its own
 terms, and columns of a block besides the bounds only where the stripe can matter. New
@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import math
 import uuid
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,38 +29,68 @@ from sparkfathom.sources import sinks
 SEGMENTS = "segment string, number int, chunks long, tokens long, first_id long, last_id long"
 
 #: A stripe has 1 << STRIPE_BITS chunks at most, a segment fewer than 1 << SEGMENT_BITS stripes.
-STRIPE_BITS, SEGMENT_BITS = 12, 44
+STRIPE_BITS, SEGMENT_BITS = 10, 44
 
 #: Stripes that a search looks at first, and the most that it names one by one.
 SEEDS, LISTED = 8, 1000
 
-#: Rows of a batch whose words are taken apart together.
-SLICE = 200
+#: Words whose places a task holds before it hands their blocks on.
+HELD_WORDS = 1_000_000
 
 #: Fixed values of the proximity rank: weight of a position, largest distance, and the curve's constants.
 WEIGHT, FARTHEST, CURVE = 0.1, 100, (1.005, 0.05, 1.5, 2.0)
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows whose last column is the list of words to a row for each distinct word."""
-    for whole in batches:
-        for start in range(0, whole.num_rows, SLICE):
-            batch = whole.slice(start, SLICE)
-            owner, terms, lengths, flat, offsets = [], [], [], [], [0]
-            for i, words in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                at = defaultdict(list)
-                for p, word in enumerate(words or ()):
-                    at[word].append(p)
-                for word, places in at.items():
-                    owner.append(i)
-                    terms.append(word)
-                    lengths.append(len(words))
-                    flat.extend(places)
-                    offsets.append(len(flat))
-            kept = [c.take(pa.array(owner, pa.int64())) for c in batch.columns[:-1]]
-            positions = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            made = [pa.array(terms, pa.string()), pa.array(lengths, pa.int32()), positions]
-            yield pa.RecordBatch.from_arrays([*kept, *made], [*batch.schema.names[:-1], "term", "length", "positions"])
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows ``id, doc, route.., stripe, words`` to a row for each stripe, route and term.
+
+    A stripe's rows follow each other, so its blocks are made where it is read. A
+    stripe of very many words gives several blocks a term.
+    """
+    held: dict[tuple, list[tuple]] = defaultdict(list)
+    current, tokens = None, 0
+
+    def out(names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        keys, posts = list(held), list(held.values())
+        route = [pa.array([k[i] for k in keys], kinds[i]) for i in range(len(names))]
+        offsets = np.concatenate(([0], np.cumsum([len(p) for p in posts]))).astype(np.int32)
+        ids, docs, lengths, places = zip(*(x for p in posts for x in p), strict=True)
+        tfs = np.array([len(x) for x in places], np.int32)
+        lengths = np.array(lengths, np.int32)
+        flat = np.concatenate([np.asarray(x, np.int32) for x in places])
+        positions = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(tfs))).astype(np.int32)), pa.array(flat))
+        listed = lambda values: pa.ListArray.from_arrays(pa.array(offsets), values)
+        at = offsets[:-1]
+        made = {
+            "term": pa.array([k[-1] for k in keys], pa.string()), **dict(zip(names, route, strict=True)),
+            "stripe": pa.array(np.full(len(keys), current), pa.int64()), "first_id": pa.array(np.minimum.reduceat(np.array(ids), at), pa.int64()),
+            "n": pa.array(np.diff(offsets), pa.int32()), "max_tf": pa.array(np.maximum.reduceat(tfs, at)), "min_length": pa.array(np.minimum.reduceat(lengths, at)),
+            "id": listed(pa.array(ids, pa.int64())), "doc": listed(pa.array(docs, pa.int64())), "length": listed(pa.array(lengths)), "tf": listed(pa.array(tfs)),
+            "positions": listed(positions),
+        }
+        held.clear()
+        return pa.RecordBatch.from_arrays(list(made.values()), list(made))
+
+    names, kinds = [], []
+    for batch in batches:
+        names, kinds = batch.schema.names[2:-2], [f.type for f in batch.schema][2:-2]
+        routes = [c.to_pylist() for c in batch.columns[2:-2]]
+        columns = (batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(batch.num_columns - 2).to_pylist())
+        for i, (who, doc, stripe) in enumerate(zip(*columns, strict=True)):
+            if held and (stripe != current or tokens >= HELD_WORDS):
+                yield out(names, kinds)
+                tokens = 0
+            current = stripe
+            words = batch.column(batch.num_columns - 1)[i].as_py() or ()
+            at = defaultdict(lambda: array("i"))
+            for p, word in enumerate(words):
+                at[word].append(p)
+            route = tuple(r[i] for r in routes)
+            for word, places in at.items():
+                held[*route, word].append((who, doc, len(words), places))
+            tokens += len(words)
+    if held:
+        yield out(names, kinds)
 
 
 def contribution(tf: Column, length: Column, idf: Column, mean: float) -> Column:
@@ -183,7 +215,7 @@ class LexicalIndex:
             fresh = chunks.select(F.col(id_col).alias("id"), F.col(doc_col).alias("doc"), *self.route, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
             facts = fresh.agg(F.count(F.lit(1)).alias("chunks"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).first()
             kept = []
-        self._list([*kept, self._written(self._postings(fresh, self._number()), facts)])
+        self._list([*kept, self._written(self._made(fresh, self._number()), facts)])
         return facts["chunks"]
 
     def merge(self, live: DataFrame, id_col: str = "chunk_id") -> None:
@@ -196,7 +228,7 @@ class LexicalIndex:
             return
         posts = blocks.select("term", *self.route, F.inline(F.arrays_zip("id", "doc", "length", "positions"))).join(stripes, "id")
         facts = ids.agg(F.count(F.lit(1)).alias("chunks"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).first()
-        self._list([self._written(posts, facts)] if facts["chunks"] else [])
+        self._list([self._written(self._regrouped(posts), facts)] if facts["chunks"] else [])
 
     def vacuum(self) -> int:
         """Delete the tables of segments that are not listed; how many went."""
@@ -214,22 +246,30 @@ class LexicalIndex:
     def _list(self, rows: list) -> None:
         self.log.replace(self.spark.createDataFrame([tuple(r) for r in rows], SEGMENTS))
 
-    def _postings(self, rows: DataFrame, number: int) -> DataFrame:
-        placed = rows.repartitionByRange("id").sortWithinPartitions("id").withColumn("place", F.monotonically_increasing_id())
+    def _made(self, rows: DataFrame, number: int) -> DataFrame:
+        """The blocks of ``id, doc, route.., text`` rows; a stripe is a run of rows as they are read."""
+        placed = rows.withColumn("place", F.monotonically_increasing_id())
         stripe = F.shiftright("place", self.stripe_bits) + F.lit(number << SEGMENT_BITS)
-        words = placed.select("id", "doc", *self.route, stripe.alias("stripe"), analysis.lexemes(F.col("text"), self.analyzer).alias("words"))
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema[:-1])
-        return words.mapInArrow(_occurrences, f"{kinds}, term string, length int, positions array<int>")
+        longs = [F.col(c).cast("long").alias(c) for c in ("id", "doc")]
+        words = placed.select(*longs, *self.route, stripe.alias("stripe"), analysis.lexemes(F.col("text"), self.analyzer).alias("words"))
+        routes = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in words.select(*self.route).schema) if self.route else ""
+        return words.mapInArrow(
+            _blocks_of, f"term string, {routes}stripe long, first_id long, n int, max_tf int, min_length int, "
+            "id array<long>, doc array<long>, length array<int>, tf array<int>, positions array<array<int>>",
+        )
 
-    def _written(self, posts: DataFrame, facts) -> tuple:
-        """Write a segment's table; its row of the list."""
+    def _regrouped(self, posts: DataFrame) -> DataFrame:
+        """Blocks of ``term, route.., stripe, id, doc, length, positions`` rows."""
         gathered = posts.groupBy(*self.route, "stripe", "term").agg(F.sort_array(F.collect_list(F.struct("id", "doc", "length", "positions"))).alias("p"))
         tf = F.transform("p", lambda x: F.size(x["positions"]))
-        blocks = gathered.select(
+        return gathered.select(
             "term", *self.route, "stripe", F.col("p")[0]["id"].alias("first_id"), F.size("p").alias("n"), F.array_max(tf).alias("max_tf"),
             F.array_min(F.col("p.length")).alias("min_length"), F.col("p.id").alias("id"), F.col("p.doc").alias("doc"),
             F.col("p.length").alias("length"), tf.alias("tf"), F.col("p.positions").alias("positions"),
         )
+
+    def _written(self, blocks: DataFrame, facts) -> tuple:
+        """Write a segment's table, sorted by term; its row of the list."""
         segment = uuid.uuid4().hex
         number = self._number()
         blocks.repartitionByRange("term", "stripe").sortWithinPartitions("term", "stripe").write.option("parquet.block.size", 8 << 20).parquet(self._path(segment))
@@ -308,8 +348,8 @@ class LexicalIndex:
     def pool(self, terms: list[str], need: int, size: int, where: Column | None = None, near: bool = False) -> DataFrame | None:
         """The ``size`` matches of the smallest identifiers, or all if they are fewer.
 
-        Stripes are taken in order of identifiers, more each time, until the rest can
-        only hold larger ones. What comes back has ``size`` rows at most.
+        Stripes are taken in order of their first identifiers, more each time, until the
+        rest can only hold larger ones. What comes back has ``size`` rows at most.
         """
         plan = self._plan(terms, need, where)
         if plan is None:
