@@ -153,9 +153,13 @@ SELECT left_id, right_id, round(c / (m + n - c), 6) AS similarity FROM c WHERE c
 
 
 def canary_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of each label stored as JSON, decoded again and compared with the table."""
-    rows = table(spark, sf_dir, "embeddings").where("embedding is not null")
-    stored = rows.groupBy("label").agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col("vec_id").cast("string").alias("text"), F.col("embedding").alias("vector"))))).alias("payload"))
+    """Vectors of each label stored as JSON, decoded again and compared with the table.
+
+    A payload holds a block of 256 identifiers of a label, so that it has a bound.
+    """
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null").withColumn("block", F.floor(F.col("vec_id") / 256))
+    kept = F.collect_list(F.struct(F.col("vec_id").cast("string").alias("text"), F.col("embedding").alias("vector")))
+    stored = rows.groupBy("label", "block").agg(F.to_json(F.sort_array(kept)).alias("payload"))
     decoded = canary.decoded(stored, "label", "payload")
     fresh = rows.select("label", F.col("vec_id").cast("string").alias("text"), "embedding")
     both = decoded.join(fresh, ["label", "text"], "full")
