@@ -27,13 +27,15 @@ BROADCAST_QUERIES = 50_000
 def gated(asked: DataFrame, matches: DataFrame, most: int = E.KNOWN_ITEM_DOCUMENTS, rows: int = E.MATCH_ROWS) -> DataFrame:
     """The rows of ``asked`` (``query, gold, ..``) that identify their gold document.
 
-    ``matches`` has ``query, document, chunks``: how many chunks of a document match. Of
-    a query the first ``rows`` chunks count, by document; they may lie in ``most``
-    documents, and the gold one must be one of them. Ranks above ``most + 1`` are dropped
-    before the exchange, and the last join is on query and gold, so a common query is no hot key.
+    ``matches`` has ``query, document`` for each chunk that matches. Of a query the first
+    ``rows`` chunks count, by document; they may lie in ``most`` documents, and the gold
+    one must be one of them. What comes after a query's first ``most + 1`` documents is
+    dropped in each task, before the one exchange of matches. The last join is on query
+    and gold, so a common query is no hot key.
     """
     by = Window.partitionBy("query").orderBy("document")
-    first = matches.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= most + 1)
+    first = matches.select("query", "document").withColumn("__n", F.dense_rank().over(by)).where(F.col("__n") <= most + 1)
+    first = first.groupBy("query", "document").agg(F.count(F.lit(1)).alias("chunks")).join(asked.select("query").distinct(), "query", "left_semi")
     before = F.coalesce(F.sum("chunks").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counted = first.withColumn("__before", before).where(F.col("__before") < rows)
     small = counted.groupBy("query").agg(F.collect_list("document").alias("__held")).where(F.size("__held") <= most)
@@ -63,9 +65,7 @@ def rare_token_set(chunks: DataFrame, doc: str, index: str, content: str, analyz
     asked = token_candidates(chunks, doc, index, content).withColumn("query", F.get(analysis.lexemes(F.col("shown"), analyzer), 0))
     asked = asked.where("query is not null")
     posts = chunks.select(F.col(doc).alias("document"), F.explode(F.array_distinct(analysis.lexemes(F.col(content), analyzer))).alias("query"))
-    held = posts.groupBy("query", "document").agg(F.count(F.lit(1)).alias("chunks"))
-    matches = held.join(asked.select("query").distinct(), "query", "left_semi")
-    return first_by_document(gated(asked, matches))
+    return first_by_document(gated(asked, posts))
 
 
 def phrase_asked(chunks: DataFrame, doc: str, index: str, content: str, analyzer: str = "simple") -> DataFrame:
@@ -79,7 +79,7 @@ def phrase_asked(chunks: DataFrame, doc: str, index: str, content: str, analyzer
 
 
 def conjunctions(chunks: DataFrame, queries: DataFrame, doc: str, index: str, content: str, analyzer: str = "simple", small: bool = False) -> DataFrame:
-    """``query, document, chunks``: how many chunks of each document hold all words of a query.
+    """``query, document``: a row for each chunk that holds all words of a query.
 
     A query is an array of distinct words. Chunks are met by the query's rarest word
     only, then hold against the others. ``small`` says that the queries may be broadcast.
@@ -93,7 +93,7 @@ def conjunctions(chunks: DataFrame, queries: DataFrame, doc: str, index: str, co
     probes = rarest.where(F.col("n") == F.size("query")).select("query", F.col("r.term").alias("term"))
     met = posts.join(hint(probes), "term").select("document", "i", "query")
     whole = met.join(sets, ["document", "i"]).where(F.size(F.array_except("query", "terms")) == 0)
-    return whole.groupBy("query", "document").agg(F.count(F.lit(1)).alias("chunks"))
+    return whole.select("query", "document")
 
 
 def phrase_set(chunks: DataFrame, doc: str, index: str, content: str, n: int, order: Column, analyzer: str = "simple") -> DataFrame:

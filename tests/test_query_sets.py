@@ -99,6 +99,6 @@ def test_empty_tables(spark):
 
 def test_a_common_query_is_cut_before_the_exchange(spark):
     asked = spark.createDataFrame([("q", 1)], "query string, gold long")
-    matches = spark.range(100).select(F.concat(F.lit("q"), F.when(F.col("id") < 0, "x").otherwise("")).alias("query"), F.col("id").alias("document"), F.lit(1).cast("long").alias("chunks"))
+    matches = spark.range(100).select(F.concat(F.lit("q"), F.when(F.col("id") < 0, "x").otherwise("")).alias("query"), F.col("id").alias("document"))
     plan = Q.gated(asked, matches)._jdf.queryExecution().toString()
     assert plan.count("WindowGroupLimit") >= 2 and Q.gated(asked, matches).count() == 0
