@@ -5,10 +5,11 @@ import random
 import shutil
 from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkfathom.operators import batch_search, knn, lexical
+from sparkfathom.operators import batch_search, knn, lexical, lexical_index
 from sparkfathom.operators.lexical_index import LexicalIndex
 from sparkfathom.operators.search import Corpus, Searcher
 
@@ -188,3 +189,34 @@ def test_arms_of_each_revision_fallback_and_lead(corpus, queries):
 
 def test_no_queries(corpus, queries):
     assert batch_search.search_many(corpus, queries.limit(0)).count() == 0
+
+
+def test_texts_are_cut_into_blocks_once(spark, chunks, tmp_path, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    made = lexical_index._blocks_of
+
+    def counted(batches):
+        def each():
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return made(each())
+
+    monkeypatch.setattr(lexical_index, "_blocks_of", counted)
+    assert LexicalIndex(spark, str(tmp_path / "once")).add(chunks) == 302
+    assert seen.value == 302
+
+
+def test_blocks_of_awkward_rows(monkeypatch):
+    monkeypatch.setattr(lexical_index, "HELD_WORDS", 4)
+    rows = [(1, 10, None, 0, []), (2, 10, "a", 0, ["b", "a", "b"]), (3, None, None, 0, ["b"]), (4, 11, "a", 0, ["é", "b"]), (5, 11, "a", 1, None), (6, 12, "a", 2, ["z"] * 9), (7, 12, "b", 2, ["z"])]
+    kinds = {"id": pa.int64(), "doc": pa.int64(), "r": pa.string(), "stripe": pa.int64(), "words": pa.list_(pa.string())}
+    for size in (1, 3, 7):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(kinds, r, strict=True)) for r in rows[i : i + size]], pa.schema(kinds)) for i in range(0, 7, size)]
+        found = [b for batch in lexical_index._blocks_of(iter(batches)) for b in batch.to_pylist()]
+        got = sorted((b["stripe"], b["term"], b["r"] or "", x, d, n, tf, p) for b in found for x, d, n, tf, p in zip(b["id"], b["doc"], b["length"], b["tf"], b["positions"], strict=True))
+        want = sorted((s, w, r or "", x, d, len(ws or []), ws.count(w), [i for i, v in enumerate(ws) if v == w]) for x, d, r, s, ws in rows for w in set(ws or []))
+        assert got == want
+        for b in found:
+            assert (b["first_id"], b["n"], b["max_tf"], b["min_length"]) == (min(b["id"]), len(b["id"]), max(b["tf"]), min(b["length"]))
