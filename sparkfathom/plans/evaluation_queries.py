@@ -12,25 +12,20 @@ from pyspark.sql.window import Window
 
 from sparkfathom.functions import analysis
 from sparkfathom.operators import evaluation as E
-from sparkfathom.operators import lexical
-from sparkfathom.sources.tables import table
+from sparkfathom.sources.tables import kept, table
 
 #: Places of a ranking that count.
 DEPTH = 50
 
 
-def shared_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``query, document, shared, length``: distinct words of a query that a document holds.
+def shared_words(spark: SparkSession, sf_dir: str, depth: int | None = None) -> DataFrame:
+    """``query, document, shared, length, words``: distinct words of a query that a document holds.
 
-    Queries are terms joined to postings: no pair is looked at that shares none.
+    With ``depth`` those that may be among a query's first, or hold all its words.
     """
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), F.col("text").alias("content"))
-    terms = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query"), F.explode(F.array_distinct(analysis.simple_lexemes(F.col("text")))).alias("term")
-    )
-    post = lexical.term_sets(docs, id_col="document")
-    shared = post.join(terms, "term").groupBy("query", "document").agg(F.count(F.lit(1)).alias("shared"), F.first("length").alias("length"))
-    return shared.repartition("query", "document")  # what follows uses this exchange again and again
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), analysis.simple_lexemes(F.coalesce("text", F.lit(""))).alias("terms"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), analysis.simple_lexemes(F.col("text")).alias("terms"))
+    return E.shared_words(docs, items, depth)
 
 
 _T = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
@@ -40,12 +35,9 @@ qu AS (SELECT item_id AS query, unnest(list_distinct({_T})) AS term FROM benchma
 s AS (SELECT query, document, count(*) AS shared, max(length) AS length FROM du JOIN qu USING (term) GROUP BY ALL)"""
 
 
-def known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items with the first document that holds all their words."""
-    size = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query"), F.size(F.array_distinct(analysis.simple_lexemes(F.col("text")))).alias("words")
-    )
-    whole = shared_words(spark, sf_dir).join(size, "query").where("shared = words")
+def known_items(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Items with the first document that holds all their words; ``rows`` is what ``shared_words`` gave."""
+    whole = (shared_words(spark, sf_dir, 0) if rows is None else rows).where("shared = words")
     return whole.groupBy("query").agg(F.min("document").alias("gold"), F.count(F.lit(1)).alias("holders"))
 
 
@@ -55,11 +47,11 @@ g AS (SELECT query, min(document) AS gold, count(*) AS holders FROM s JOIN w USI
 
 def known_item_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that at most five documents hold, their gold among them."""
-    gold = known_items(spark, sf_dir)
-    size = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query"), F.size(F.array_distinct(analysis.simple_lexemes(F.col("text")))).alias("words")
-    )
-    matches = shared_words(spark, sf_dir).join(size, "query").where("shared = words").join(gold.select("query", "gold"), "query")
+    by = Window.partitionBy("query").orderBy("document")
+    whole = shared_words(spark, sf_dir, 0).where("shared = words").select("query", "document")
+    # One more than may hold an item tells whether too many do; each task drops the rest.
+    first = whole.withColumn("n", F.row_number().over(by)).where(F.col("n") <= E.KNOWN_ITEM_DOCUMENTS + 1)
+    matches = first.withColumn("gold", F.min("document").over(Window.partitionBy("query")))
     return E.known_items(matches.select("query", "gold", "document")).select("query", "gold", "documents")
 
 
@@ -68,15 +60,15 @@ _GATE = f"WITH {_KNOWN} SELECT query, gold, holders AS documents FROM g WHERE ho
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both arms of every item with its gold document and the lead it would be given."""
-    rows = shared_words(spark, sf_dir)
+    rows = kept(shared_words(spark, sf_dir, DEPTH))  # few, and read for both arms and for the gold documents
+    pair = ["query", "document"]
     v = Window.partitionBy("query").orderBy(F.desc("shared"), "document")
     l = Window.partitionBy("query").orderBy("length", "document")  # noqa: E741
-    ranked = rows.withColumns({"v_rank": F.row_number().over(v), "l_rank": F.row_number().over(l)})
-    cut = ranked.where((F.col("v_rank") <= DEPTH) | (F.col("l_rank") <= DEPTH))
-    within = lambda c: F.when(F.col(c) <= DEPTH, F.col(c)).alias(c)
+    ranked = lambda name, w: rows.select(*pair, F.row_number().over(w).alias(name)).where(F.col(name) <= DEPTH)
+    cut = ranked("v_rank", v).join(ranked("l_rank", l), pair, "full")
     lead = F.when(F.col("query") < 20, "vector").otherwise("lexical")
-    return cut.join(known_items(spark, sf_dir).select("query", "gold"), "query").select(
-        "query", F.lit("passage").alias("kind"), "document", "gold", within("v_rank"), within("l_rank"), lead.alias("shipped_lead")
+    return cut.join(known_items(spark, sf_dir, rows).select("query", "gold"), "query").select(
+        "query", F.lit("passage").alias("kind"), "document", "gold", "v_rank", "l_rank", lead.alias("shipped_lead")
     )
 
 
@@ -115,9 +107,10 @@ count(*) FILTER (coalesce(rank, 1e9) < coalesce(base, 1e9)) AS better, count(*)
 
 def gold_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank and margin of the gold document of each item, by share of words."""
-    hits = shared_words(spark, sf_dir).withColumn("similarity", F.col("shared") / F.col("length"))
-    best = E.best_per_document(hits, ["query"], "document", "similarity")
-    gold = known_items(spark, sf_dir).select("query", F.col("gold").alias("document"))
+    similarity = F.col("shared") / F.col("length")
+    whole = shared_words(spark, sf_dir, 0).where("shared = words")
+    gold = kept(whole.groupBy("query").agg(F.min("document").alias("document"), F.min_by(similarity, "document").alias("best")))
+    best = shared_words(spark, sf_dir).select("query", "document", similarity.alias("best"))  # each document once
     found = E.gold_rank_and_margin(best, gold)
     return found.select("query", "rank", F.round("margin", 6).alias("margin"))
 
