@@ -24,6 +24,9 @@ from sparkfathom.operators.lexical_index import contribution
 #: Bytes of query vectors that one pass over the vectors compares with.
 PASS_BYTES = 32 << 20
 
+#: Terms of queries up to which their table goes to the postings; more are met by an exchange.
+BROADCAST_TERMS = 200_000
+
 
 def _distances(metric: str, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Distances of rows (first axis) to queries, as the column functions define them."""
@@ -111,29 +114,30 @@ def query_terms(queries: DataFrame, analyzer: str) -> DataFrame:
     return found.select("query_id", n.alias("n_terms"), relaxed.alias("relaxed"), F.explode("terms").alias("term"))
 
 
-def _postings(corpus, terms: DataFrame) -> tuple[DataFrame, int, float]:
-    """``term, id, doc, length, tf`` of the terms, from the index or the texts; chunks and mean length."""
+def _postings(corpus, terms: DataFrame) -> tuple[DataFrame, DataFrame, int, float]:
+    """``term, id, doc, length, tf`` of the terms, from the index or the texts; ``term, df``; chunks and mean length."""
     index = corpus.index
     if index is not None and index.segments():
         rows = index.segments()
         n, tokens = sum(r["chunks"] for r in rows), sum(r["tokens"] for r in rows)
         blocks = index.searched().join(terms, "term", "left_semi")
-        return blocks.select("term", F.inline(F.arrays_zip("id", "doc", "length", "tf"))), n, tokens / max(n, 1)
+        df = blocks.groupBy("term").agg(F.sum("n").alias("df"))
+        return blocks.select("term", F.inline(F.arrays_zip("id", "doc", "length", "tf"))), df, n, tokens / max(n, 1)
     text = F.coalesce("content", F.lit(""))
     words = corpus.chunks.select(F.col("chunk_id").alias("id"), F.col("document_id").alias("doc"), F.explode(F.array(analysis.lexemes(text, corpus.analyzer))).alias("words"))
     facts = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("m")).first()
     each = words.select("id", "doc", F.size("words").alias("length"), F.explode("words").alias("term"))
     counted = each.join(terms, "term", "left_semi").groupBy("term", "id").agg(F.first("doc").alias("doc"), F.first("length").alias("length"), F.count(F.lit(1)).cast("int").alias("tf"))
-    return counted, facts["n"], facts["m"] or 0.0
+    return counted, counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")), facts["n"], facts["m"] or 0.0
 
 
 def lexical_matches(corpus, queries: DataFrame, relaxed: bool = False) -> DataFrame:
     """``query_id, id, doc, rank``: for each query its pool of matches, by identifier."""
     asked = query_terms(queries, corpus.analyzer)
-    rows, n, mean = _postings(corpus, asked.select("term").distinct())
-    df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hint = F.broadcast if asked.count() <= BROADCAST_TERMS else (lambda rows: rows)
+    rows, df, n, mean = _postings(corpus, hint(asked.select("term").distinct()))
     weighted = asked.join(df, "term").withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    met = rows.join(weighted, "term").groupBy("query_id", "id").agg(
+    met = rows.join(hint(weighted), "term").groupBy("query_id", "id").agg(
         F.first("doc").alias("doc"), F.count(F.lit(1)).alias("matched"), F.first("relaxed" if relaxed else "n_terms").alias("need"),
         F.round(F.sum(contribution(F.col("tf"), F.col("length"), F.col("idf"), mean)), 9).alias("rank"),
     )

@@ -220,3 +220,12 @@ def test_blocks_of_awkward_rows(monkeypatch):
         assert got == want
         for b in found:
             assert (b["first_id"], b["n"], b["max_tf"], b["min_length"]) == (min(b["id"]), len(b["id"]), max(b["tf"]), min(b["length"]))
+
+
+def test_terms_of_few_queries_go_to_the_postings(spark, chunks, index):
+    queries = spark.createDataFrame([(1, "red the"), (2, "teal"), (3, "absent")], "query_id long, query string")
+    vectors = chunks.select("chunk_id", F.array(F.lit(1.0)).alias("embedding"))
+    found = batch_search.lexical_matches(Corpus(chunks, chunks, vectors, index=index), queries)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") >= 2
+    want = [(1, *r) for r in ranks(lexical.ranked_matches(chunks, ["red", "the"], 2))] + [(2, *r) for r in ranks(lexical.ranked_matches(chunks, ["teal"], 1))]
+    assert sorted((r.query_id, r.id, round(r["rank"], 9)) for r in found.collect()) == sorted(want)
