@@ -102,3 +102,36 @@ def test_a_common_query_is_cut_before_the_exchange(spark):
     matches = spark.range(100).select(F.concat(F.lit("q"), F.when(F.col("id") < 0, "x").otherwise("")).alias("query"), F.col("id").alias("document"))
     plan = Q.gated(asked, matches)._jdf.queryExecution().toString()
     assert plan.count("WindowGroupLimit") >= 2 and Q.gated(asked, matches).count() == 0
+
+
+def odd_texts():
+    """Texts of other white space, words that are cut by signs, letters that lower to others, and lengths at the ends of windows."""
+    draw = random.Random(5)
+    signs = ["Alpha", "beta", "Namely", "x-ray", "Kelvin", "İstan", "Straße", "--", "a1b2", "Common", " ", "Zeta_eta", "don't"]
+    rows = [(d, draw.choice(["", " ", "\n"]) + draw.choice([" ", "\t", "\n \x0b", "\r\n"]).join(draw.choice([*signs, f"Rare{chr(97 + draw.randrange(26))}"]) for _ in range(n)) + draw.choice(["", "\f"]))
+            for d, n in enumerate([1, 2, 7, 8, 9, 11, 12, 13, 14, 20, 60, 61, 62, 400, 64, 65])]
+    rows += [(50 + d, f"Sole{'abcdefgh'[d]} Common end. " * 3) for d in range(8)] + [(60, rows[13][1]), (61, rows[13][1])]
+    return [*rows, (70, None), (71, ""), (72, " \n"), (73, " "), (None, "Nobody Common")]
+
+
+def test_words_of_windows_are_those_of_their_chunks(spark, monkeypatch):
+    docs = spark.createDataFrame(odd_texts(), "doc long, body string")
+    windows = Q.Windows(docs, "doc", "body", 8, 3)
+    chunks = windows.chunks("i", "body")
+    asked = spark.createDataFrame([(f"rare{c}",) for c in "abcdefghijklmnopqrstuvwxyz"] + [("common",), ("kelvin",), ("x",), ("zeta",)], "query string")
+    want = chunks.select("doc", F.explode(F.array_distinct(Q.analysis.lexemes(F.col("body")))).alias("query")).groupBy("query", "doc").count()
+    want = {tuple(r) for r in want.join(asked, "query").collect()}
+    for held in (8_000_000, 200):
+        monkeypatch.setattr(Q, "HELD_BYTES", held)
+        got = Q.term_documents(windows, asked, "doc", "body", most=1000).join(asked, "query").groupBy("query", "document").agg(F.sum("chunks"))
+        assert {tuple(r) for r in got.collect()} == want
+    assert sorted(map(tuple, Q.rare_token_set(windows, "doc", "i", "body").collect())) == sorted(map(tuple, Q.rare_token_set(chunks, "doc", "i", "body").collect()))
+
+
+def test_words_are_counted_before_the_exchange(spark):
+    docs = spark.createDataFrame([(d, "Common words. " * 90) for d in range(60)], "doc long, body string").coalesce(1)
+    for chunks in (Q.Windows(docs, "doc", "body", 8, 3), Q.Windows(docs, "doc", "body", 8, 3).chunks("i", "body")):
+        got = Q.term_documents(chunks, spark.createDataFrame([("common",)], "query string"), "doc", "body").where("query = 'common'").collect()
+        assert [(r["document"], r["chunks"]) for r in got] == [(d, 36) for d in range(6)]
+        plan = Q.rare_token_set(chunks, "doc", "i", "body")._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and plan.count("Generate explode") <= 1  # of the documents that a query may have, not of words
