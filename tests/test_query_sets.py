@@ -135,3 +135,32 @@ def test_words_are_counted_before_the_exchange(spark):
         assert [(r["document"], r["chunks"]) for r in got] == [(d, 36) for d in range(6)]
         plan = Q.rare_token_set(chunks, "doc", "i", "body")._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and plan.count("Generate explode") <= 1  # of the documents that a query may have, not of words
+
+
+def test_phrases_of_windows_are_those_of_their_chunks(spark, monkeypatch):
+    draw = random.Random(9)
+    rows = [(d, " ".join(draw.choice([*WORDS, "Kelvin", "x-ray", f"rare{chr(97 + draw.randrange(26))}"]) for _ in range(n)) + ".\n") for d, n in enumerate([3, 9, 15, 20, 40, 41, 42, 60, 80] * 4)]
+    docs = spark.createDataFrame([*rows, (100, None), (101, " \t"), (102, rows[8][1]), (None, rows[7][1])], "doc long, body string")
+    windows = Q.Windows(docs, "doc", "body", 12, 4)
+    chunks, digest = windows.chunks("i", "body"), F.md5(F.coalesce(F.col("doc").cast("string"), F.lit("")))
+    want = sorted(map(tuple, Q.phrase_set(chunks, "doc", "i", "body", 1000, digest).collect()))
+    assert len(want) > 8
+    for held in (1_000_000, 5):  # words that are compared at once
+        monkeypatch.setattr(Q, "HELD_WORDS", held)
+        assert sorted(map(tuple, Q.phrase_set(windows, "doc", "i", "body", 1000, digest).collect())) == want
+    some = Q.phrase_set(windows, "doc", "i", "body", 3, digest).collect()
+    assert len(some) == 3 and {tuple(r) for r in some} <= set(want)
+    monkeypatch.setattr(Q, "BROADCAST_QUERIES", 0)
+    assert sorted(map(tuple, Q.phrase_set(windows, "doc", "i", "body", 1000, digest).collect())) == want
+
+
+def test_a_later_round_asks_other_documents(spark, monkeypatch):
+    """The first documents by the order match too often, so rounds go on; each asks those not asked before, and chunks are not exchanged."""
+    rows = [(d, i, f"common words stand here in every text of number {d if d > 20 else 0} again") for d in range(40) for i in range(3)]
+    made, asked = [], Q.phrase_asked
+    monkeypatch.setattr(Q, "phrase_asked", lambda own, *a: made.append({r["doc"] for r in own.select("doc").distinct().collect()}) or asked(own, *a))
+    monkeypatch.setattr(Q, "conjunctions", None)
+    rows += [(d, 2, f"quite singular findings {chr(97 + d - 25) * 4} appear inside documents") for d in range(25, 40)]
+    got = Q.phrase_set(frame(spark, rows), "doc", "i", "body", 3, F.format_string("%05d", F.col("doc"))).collect()
+    assert [r["gold"] for r in got] == [25, 26, 27]
+    assert made == [set(range(12)), set(range(12, 40))]
