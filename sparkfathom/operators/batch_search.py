@@ -132,17 +132,19 @@ def _postings(corpus, terms: DataFrame) -> tuple[DataFrame, DataFrame, int, floa
 
 
 def lexical_matches(corpus, queries: DataFrame, relaxed: bool = False) -> DataFrame:
-    """``query_id, id, doc, rank``: for each query its pool of matches, by identifier."""
+    """``query_id, id, doc, rank``: for each query all of its matches."""
     asked = query_terms(queries, corpus.analyzer)
-    hint = F.broadcast if asked.count() <= BROADCAST_TERMS else (lambda rows: rows)
+    n_asked = asked.count()
+    if not n_asked:  # nothing is read for no words
+        return queries.sparkSession.createDataFrame([], "query_id long, id long, doc long, matched long, need int, rank double")
+    hint = F.broadcast if n_asked <= BROADCAST_TERMS else (lambda rows: rows)
     rows, df, n, mean = _postings(corpus, hint(asked.select("term").distinct()))
     weighted = asked.join(df, "term").withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     met = rows.join(hint(weighted), "term").groupBy("query_id", "id").agg(
         F.first("doc").alias("doc"), F.count(F.lit(1)).alias("matched"), F.first("relaxed" if relaxed else "n_terms").alias("need"),
         F.round(F.sum(contribution(F.col("tf"), F.col("length"), F.col("idf"), mean)), 9).alias("rank"),
     )
-    w = Window.partitionBy("query_id").orderBy("id")
-    return met.where("matched >= need").withColumn("place", F.row_number().over(w)).where(F.col("place") <= lexical.POOL)
+    return met.where("matched >= need")
 
 
 def _cut(matches: DataFrame, scoped: DataFrame, k: int, by: tuple[str, ...]) -> DataFrame:
@@ -152,15 +154,16 @@ def _cut(matches: DataFrame, scoped: DataFrame, k: int, by: tuple[str, ...]) ->
     return seen.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def leading(corpus, queries: DataFrame, matches: DataFrame, scoped: DataFrame, most: int = lexical.RARE_DOCUMENTS) -> DataFrame:
+def leading(corpus, queries: DataFrame, scoped: DataFrame, most: int = lexical.RARE_DOCUMENTS) -> DataFrame:
     """``query_id`` of queries of one word that few documents in scope hold.
 
     As the probe of a single query has it: below the cap of the sample documents
     in scope count, at the cap every sampled one.
     """
     cap = 20 * most
-    single = queries.where(F.size(F.split(F.trim(F.regexp_replace("query", r"\s+", " ")), " ")) == 1).select("query_id")
-    sample = matches.where(F.col("place") <= cap).join(single, "query_id", "left_semi")
+    single = queries.where(F.size(F.split(F.trim(F.regexp_replace("query", r"\s+", " ")), " ")) == 1)
+    w = Window.partitionBy("query_id").orderBy("id")
+    sample = lexical_matches(corpus, single).withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap)
     marked = sample.join(scoped.select(F.col("chunk_id").alias("id"), F.lit(True).alias("inside")).distinct(), "id", "left")
     seen = marked.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("sampled"), F.count_distinct(F.when(F.col("inside"), F.col("doc"))).alias("inside"), F.count_distinct("doc").alias("all")
@@ -175,7 +178,7 @@ def arms(corpus, queries: DataFrame, top_k: int = 10, hybrid: bool = True, keep=
     Arm 0 is the vector arm, 1 the lexical one, relaxed for queries that match
     nothing exactly. ``pos`` numbers an arm over all revisions by score. ``keep``
     writes a table and reads it back: candidates are few, ``top_k`` times five a
-    query, revision and arm.
+    query, revision and arm. Matches are not kept, as they grow with the chunks.
     """
     keep = keep or (lambda df: df)
     by, k, scoped = tuple(corpus.by), knn.arm_limit(top_k), corpus.vectors
@@ -184,11 +187,10 @@ def arms(corpus, queries: DataFrame, top_k: int = 10, hybrid: bool = True, keep=
     columns = ["query_id", *by, "arm", "chunk_id", "score", "distance", "score_kind", "place", "leads"]
     found = near.select(*columns)
     if hybrid:
-        matches = keep(lexical_matches(corpus, queries))
-        exact = keep(_cut(matches, scoped, k, by))
+        exact = keep(_cut(lexical_matches(corpus, queries), scoped, k, by))
         left = queries.join(exact.select("query_id").distinct(), "query_id", "left_anti")
         relaxed = _cut(lexical_matches(corpus, left, relaxed=True), scoped, k, by)
-        ahead = leading(corpus, queries, matches, scoped).withColumn("leads", F.lit(True))
+        ahead = leading(corpus, queries, scoped).withColumn("leads", F.lit(True))
         words = exact.unionByName(relaxed).join(ahead, "query_id", "left").withColumns(
             {"arm": F.lit(1), "score": F.col("rank"), "distance": F.lit(None).cast("double"), "score_kind": F.lit("lexical_rank"), "leads": F.coalesce("leads", F.lit(False))}
         )

@@ -229,3 +229,39 @@ def test_terms_of_few_queries_go_to_the_postings(spark, chunks, index):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") >= 2
     want = [(1, *r) for r in ranks(lexical.ranked_matches(chunks, ["red", "the"], 2))] + [(2, *r) for r in ranks(lexical.ranked_matches(chunks, ["teal"], 1))]
     assert sorted((r.query_id, r.id, round(r["rank"], 9)) for r in found.collect()) == sorted(want)
+
+
+# -- more matches than a pool holds -------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """2400 chunks that hold the words, the best and the only ones with a vector last."""
+    content = F.when(F.col("id") < 2390, "red the grey").otherwise(F.concat(F.lit("the"), F.repeat(F.lit(" red"), (F.col("id") - 2388).cast("int"))))
+    return spark.range(2400).select(F.col("id").alias("chunk_id"), F.col("id").alias("document_id"), content.alias("content"))
+
+
+@pytest.fixture(scope="module")
+def crowd_index(spark, crowd, tmp_path_factory):
+    made = LexicalIndex(spark, str(tmp_path_factory.mktemp("crowd")), stripe_bits=6)
+    made.add(crowd)
+    return made
+
+
+@pytest.fixture(scope="module")
+def crowd_corpus(crowd):
+    documents = crowd.select(F.col("document_id").alias("id"), F.lit("x").alias("collection"), F.lit("p").alias("source_path"))
+    vectors = crowd.where("chunk_id >= 2390").select("chunk_id", F.array(F.lit(1.0), F.col("chunk_id") / 100).alias("embedding"), F.lit("x").alias("collection"))
+    return Corpus(documents, crowd, vectors)
+
+
+def test_all_matches_of_many_queries_compete(spark, crowd, crowd_index, crowd_corpus):
+    queries = spark.createDataFrame([(1, "red the", [1.0, 0.0]), (2, "red the qzxv", [1.0, 0.0])], "query_id long, query string, vector array<double>")
+    for index in (None, crowd_index):
+        own = replace(crowd_corpus, index=index, by=("collection",))
+        assert batch_search.lexical_matches(own, queries.where("query_id = 1")).count() == 2400
+        found = batch_search.arms(own, queries, 10).where("arm = 1").collect()
+        for q, need in ((1, 2), (2, 2)):
+            words = ["red", "the"] if q == 1 else ["red", "the", "qzxv"]
+            every = lexical.ranked_matches(crowd, words, need).where("chunk_id >= 2390").orderBy(F.desc("rank"), "chunk_id")
+            assert [r.chunk_id for r in sorted(found, key=lambda r: r.pos) if r.query_id == q] == [r.chunk_id for r in every.collect()]
