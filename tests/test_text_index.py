@@ -265,3 +265,12 @@ def test_all_matches_of_many_queries_compete(spark, crowd, crowd_index, crowd_co
             words = ["red", "the"] if q == 1 else ["red", "the", "qzxv"]
             every = lexical.ranked_matches(crowd, words, need).where("chunk_id >= 2390").orderBy(F.desc("rank"), "chunk_id")
             assert [r.chunk_id for r in sorted(found, key=lambda r: r.pos) if r.query_id == q] == [r.chunk_id for r in every.collect()]
+
+
+@pytest.mark.parametrize("query", ["red the", "red the qzxv"])
+def test_all_matches_of_a_search_compete(crowd, crowd_index, crowd_corpus, query):
+    every = lexical.ranked_matches(crowd, query.split(), 2).where("chunk_id >= 2390").orderBy(F.desc("rank"), "chunk_id").limit(4)
+    want = [r.chunk_id for r in every.collect()]
+    for index in (None, crowd_index):
+        found = Searcher(replace(crowd_corpus, index=index)).lexical_arm(query, 4, None, relaxed="qzxv" in query)
+        assert [r.chunk_id for r in found.orderBy("pos").collect()] == want
