@@ -274,3 +274,10 @@ def test_all_matches_of_a_search_compete(crowd, crowd_index, crowd_corpus, query
     for index in (None, crowd_index):
         found = Searcher(replace(crowd_corpus, index=index)).lexical_arm(query, 4, None, relaxed="qzxv" in query)
         assert [r.chunk_id for r in found.orderBy("pos").collect()] == want
+
+
+def test_all_matches_in_the_index_compete(crowd, crowd_index, crowd_corpus):
+    every = lexical.ranked_matches(crowd, ["red", "the"], 2)
+    assert ranks(crowd_index.lexical_top("red the", 3)) == ranks(every.orderBy(F.desc("rank"), "chunk_id").limit(3))
+    scoped = crowd_corpus.vectors.where("chunk_id < 2396")
+    assert ranks(crowd_index.lexical_top("red the", 3, scoped)) == ranks(every.where("chunk_id between 2390 and 2395").orderBy(F.desc("rank"), "chunk_id").limit(3))
